@@ -22,7 +22,7 @@ from .common import new_path, rows, texts
 
 MAGIC, BLOCK = b"DAC1", 512
 #: Tokens of a segment, and distinct words whose ids a worker remembers.
-SEGMENT, WORDS = 1 << 20, 300_000
+SEGMENT, WORDS = 1 << 20, 350_000
 
 
 def _widths(hist: list[int]) -> list[int]:
@@ -130,22 +130,44 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Memo(dict):
+    """Remembers at least WORDS and at most twice as many words; those in use outlive the rest."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def __missing__(self, word):
+        self[word] = value = self.old[word]
+        return value
+
+    def room(self):
+        if len(self) > WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class _Words:
     """Ids, as bytes, of words between ASCII white space; exact where the tokenizer drops white space."""
 
     def __init__(self, path: str):
-        self.tok, self.known = _tokenizer(path), {}
+        self.tok, self.known = _tokenizer(path), _Memo()
 
     def ids(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > WORDS:
-                self.known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, words))
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """The words of these texts that are new: encoded as one text, and cut again where each word begins."""
+        self.known.room()
+        old = self.known.old
+        new = [w for w in {w for t in texts for w in t} if w not in self.known and w not in old]
+        for at in range(0, len(new), 2000):
+            part = [w.decode() for w in new[at : at + 2000]]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            first = np.cumsum([0, *(len(w) + 1 for w in part)])
+            ids, starts = np.array(e.ids, dtype="<u4"), np.array([x for x, _ in e.offsets], dtype=np.int64)
+            cuts = np.searchsorted(starts, first).tolist()
+            raw = ids.tobytes()
+            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new[at : at + 2000], cuts, cuts[1:]))
 
 
 _words = lru_cache(maxsize=1)(_Words)
@@ -161,7 +183,9 @@ def _tokenised(batches, path, bounds, end_id, by_word):
     cuts, end = np.array(bounds, dtype=np.int64), np.array([end_id], dtype="<u4").tobytes()
     for ids, text in rows(batches):
         if by_word:
-            found = [words.ids(t.split()) + end for t in text]
+            split = [t.split() for t in text]
+            words.learn(split)
+            found = [words.ids(t) + end for t in split]
         else:
             found = [np.array(e.ids, dtype="<u4").tobytes() + end for e in words.tok.encode_batch([t.decode() for t in text], add_special_tokens=False)]
         part = np.searchsorted(cuts, np.array([-(1 << 63) if i is None else i for i in ids], dtype=np.int64), side="left")

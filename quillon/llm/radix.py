@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .common import SPACES, in_place, stored, texts
 
-#: Bytes of the digits up to each round; a group of more bytes or rows than these is split further.
+#: Bytes of the digits in the first round, and how many times as many the next one has.
 FIRST, WIDER = 16, 4
-GROUP_BYTES, GROUP_ROWS = 8 << 20, 4000
+#: Bounds of the size from which a group is split further, of bytes and of rows.
+LEAST_BYTES, MOST_BYTES, LEAST_ROWS = 1 << 20, 64 << 20, 200
+_SPACES = SPACES.encode()
 
 OUT = "doc_id long, uid long, keep_id long, group_size long, kept boolean, text_sha256 string"
 
@@ -71,21 +73,35 @@ def _settle(batches):
         yield batch(out)
 
 
-def exact_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _normalised(batches):
+    for batch in batches:
+        text = batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.decode()) for t in text], pa.int64()), pa.array([t.translate(None, _SPACES) for t in text], pa.binary())], names=["doc_id", "uid", "n_cp", "norm"])
+
+
+def exact_groups(docs: DataFrame, group_bytes: int | None = None, group_rows: int | None = None) -> DataFrame:
     """(doc_id, uid, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``.
 
     Texts are equal when the same after deleting ASCII white space; null counts as empty, so null,
     empty and blank texts are one group. The row with most code points stays, then the one with the
     smallest doc_id (null first), then the first of repeated rows; exactly one row of a group has
-    kept = true. uid is the row's place in the input. Other columns are left out.
+    kept = true. uid is the row's place in the input. Other columns are left out. Groups beyond
+    ``group_bytes`` or ``group_rows`` (default: a quarter of a shuffle partition's share, within
+    fixed bounds) are split by a further round.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.char_length(text).cast("long").alias("n_cp"), F.translate(text, SPACES, "").cast("binary").alias("norm"))
+    spark = docs.sparkSession
+    base = texts(docs).select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
+    norm = base.mapInArrow(_normalised, "doc_id long, uid long, n_cp long, norm binary")
     digits = lambda n: F.substring("norm", 1, n)
-    state = base.withColumns({"key": digits(FIRST), "ended": F.octet_length("norm") <= FIRST, "big": F.lit(False), "open": F.lit(True)})
+    base = stored(norm.withColumns({"size": F.octet_length("norm"), "key": digits(FIRST)}), "normalised", compression="zstd")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    group_bytes = group_bytes or min(max(total // parts, LEAST_BYTES), MOST_BYTES)
+    group_rows = group_rows or max(n // parts, LEAST_ROWS)
+    state = base.withColumns({"ended": F.col("size") <= FIRST, "big": F.lit(False), "open": F.lit(True)})
     width = FIRST
     while True:
-        sums = state.where("open").groupBy("key", "ended").agg(F.count("*").alias("c"), F.sum(F.octet_length("norm")).alias("b"))
+        sums = state.where("open").groupBy("key", "ended").agg(F.count("*").alias("c"), F.sum("size").alias("b"))
         large = stored(sums.where((F.col("c") > 1) & ((F.col("b") > group_bytes) | (F.col("c") > group_rows))).select(F.col("key").alias("k"), F.col("ended").alias("e")), "radix")
         rest = dict(large.groupBy("e").count().collect())
         if not rest:
@@ -93,7 +109,7 @@ def exact_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES, group_rows: in
         width *= WIDER
         state = state.join(large, F.col("open") & (F.col("key") == F.col("k")) & (F.col("ended") == F.col("e")), "left")
         on = F.col("k").isNotNull() & ~F.col("ended")
-        state = state.select("doc_id", "uid", "n_cp", "norm", F.when(on, digits(width)).otherwise(F.col("key")).alias("key"), F.when(on, F.octet_length("norm") <= width).otherwise(F.col("ended")).alias("ended"), (F.col("big") | (F.col("k").isNotNull() & F.col("ended"))).alias("big"), on.alias("open"))
+        state = state.select("doc_id", "uid", "n_cp", "norm", "size", F.when(on, digits(width)).otherwise(F.col("key")).alias("key"), F.when(on, F.col("size") <= width).otherwise(F.col("ended")).alias("ended"), (F.col("big") | (F.col("k").isNotNull() & F.col("ended"))).alias("big"), on.alias("open"))
         if False not in rest:
             break
     small = state.where(~F.col("big")).select("key", "ended", "doc_id", "uid", "n_cp", "norm")
@@ -102,3 +118,11 @@ def exact_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES, group_rows: in
     best = whole.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_cp")).alias("n"), "doc_id", "uid")).alias("best"))
     ended = whole.join(best, F.col("key") == F.col("k")).select("doc_id", "uid", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.sha2("key", 256).alias("text_sha256"))
     return out.unionByName(ended)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns kept; see exact_groups."""
+    base = in_place(docs)
+    marked = base.withColumn("__uid", F.monotonically_increasing_id())
+    gone = exact_groups(base).where(~F.col("kept")).select(F.col("uid").alias("__gone"))
+    return marked.join(gone, F.col("__uid") == F.col("__gone"), "left_anti").drop("__uid")
