@@ -1,0 +1 @@
+"""Prefix search, completion and faceted ranking over documents, as Spark DataFrames."""
