@@ -14,6 +14,7 @@ with the spaces before it, and all units of a batch of texts advance together, p
 from __future__ import annotations
 
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -354,19 +355,16 @@ def decoded(found: DataFrame, model: str) -> DataFrame:
     return out.withColumn("text", F.col("text").cast("string"))
 
 
-def digest(found: DataFrame, model: str) -> DataFrame:
-    """A row for each sample with hashes of its ids and of the text they decode to."""
-
-    def both(batches):
-        v = _vocabulary(model, 1.0)
-        import zlib
+def _digests(batches, model):
+    v = _vocabulary(model, 1.0)
+    for batch in batches:
+        ids = batch.column(2)
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+        crc = [zlib.crc32(flat[a:b].astype("<i4").tobytes()) for a, b in zip(ends, ends[1:])]
+        text = [zlib.crc32(v.decode(flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(text, pa.int64()), *batch.columns[3:]], names=["doc_id", "sample", "n_ids", "ids_crc32", "text_crc32", "log_prob", "score", "inclusion"])
 
-        for batch in batches:
-            ids = batch.column(2)
-            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
-            crc = [zlib.crc32(flat[a:b].astype("<i4").tobytes()) for a, b in zip(ends, ends[1:])]
-            text = [zlib.crc32(v.decode(flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
-            n = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(text, pa.int64()), *batch.columns[3:]], names=["doc_id", "sample", "n_ids", "ids_crc32", "text_crc32", "log_prob", "score", "inclusion"])
 
-    return found.mapInArrow(both, "doc_id long, sample int, n_ids long, ids_crc32 long, text_crc32 long, log_prob double, score double, inclusion double")
+def digest(found: DataFrame, model: str) -> DataFrame:
+    """A row for each sample with hashes of its ids and of the text they decode to."""
+    return found.mapInArrow(lambda it: _digests(it, model), "doc_id long, sample int, n_ids long, ids_crc32 long, text_crc32 long, log_prob double, score double, inclusion double")

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import dac, radix, suffixauto, urlalias
+from . import backoff, dac, gumbel, radix, recompress, rtree, suffixauto, toxcnn, urlalias, weaklabel
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,19 +17,46 @@ def op1_token_output(spark, sf_dir):
     return dac.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality(spark, sf_dir):
+    return weaklabel.quality(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return radix.exact_groups(_table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op4_subword_sampling(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return gumbel.digest(gumbel.sampled(_table(spark, sf_dir, "documents"), model, k=2), model)
+
+
 def op5_decontamination(spark, sf_dir):
     return suffixauto.digest(suffixauto.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return recompress.digest(recompress.repeated_spans(_table(spark, sf_dir, "documents")))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxcnn.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark, sf_dir):
     return urlalias.url_verdicts(_table(spark, sf_dir, "pages")).drop("component")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_exact_dedup, op5_decontamination, op8_url_filter)}
+def op9_jaccard_join(spark, sf_dir):
+    return rtree.near_components(_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def op10_lm_scoring(spark, sf_dir):
+    return backoff.scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality, op3_exact_dedup, op4_subword_sampling, op5_decontamination, op6_substring_dedup, op7_toxicity, op8_url_filter, op9_jaccard_join, op10_lm_scoring)}
 
 SQL = {
     "op3_exact_dedup": r"""
@@ -69,4 +95,21 @@ alias as (select reach.a, max((r.v = 'allow')::int) al, max((r.v = 'block')::int
        from (select distinct z from reach)) r using (z) group by 1)
 select page_id, host, path, rule, coalesce((select v from rules where h || s = rule), case when al = 1 then 'allow' when bl = 1 then 'block' end, 'allow') verdict
 from own left join alias on own.node = alias.a""",
+    "op6_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13)),
+firsts as (select s, min(doc_id) f from win group by s),
+gone as (select doc_id, list(distinct p) g from (select doc_id, unnest(range(i, i + 13)) p from win join firsts using (s) where f < doc_id) group by doc_id),
+k as (select doc_id, w, coalesce(g, []) g from d left join gone using (doc_id)),
+kept as (select doc_id, string_agg(x, ' ' order by i) t from (select doc_id, g, unnest(w) x, generate_subscripts(w, 1) i from k) where not list_contains(g, i) group by doc_id)
+select doc_id, len(w)::bigint n_words, len(g)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from k left join kept using (doc_id)""",
+    "op9_jaccard_join": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) i from d)),
+n as (select doc_id, count(*) n from s group by 1),
+pairs as (select a.doc_id x, b.doc_id y, count(*) common from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+link as (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * common >= 90 * (a.n + b.n - common)),
+reach as (select x, y from link union select r.x, l.y from reach r join link l on r.y = l.x),
+least_ as (select x, min(y) c from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) component_id from d left join n using (doc_id) left join least_ on d.doc_id = x""",
 }
