@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def threshold(length: int) -> int:
@@ -52,9 +53,12 @@ def fuzzy_form(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1\1", out)
 
 
-@F.pandas_udf("string")
-def fuzzy_form_col(word: pd.Series) -> pd.Series:
-    return word.map(lambda w: None if w is None else fuzzy_form(w))
+def fuzzy_form_col(word: Column) -> Column:
+    @F.pandas_udf(StringType())
+    def form(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: None if w is None else fuzzy_form(w))
+
+    return form(word)
 
 
 def ruled_distance(a: str, b: str, rules: list[tuple[str, str, float]], cutoff: float) -> float:
@@ -76,7 +80,7 @@ def ruled_distance(a: str, b: str, rules: list[tuple[str, str, float]], cutoff:
 
 
 def ruled_distance_col(query: str, rules: list[tuple[str, str, float]], cutoff: float):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def distance(word: pd.Series) -> pd.Series:
         return word.map(lambda w: None if w is None else ruled_distance(query, w, rules, cutoff))
 

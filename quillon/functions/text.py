@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
 
-#: Normal forms of accented letters (fixed values): one letter for one, then letters for one.
+#: Accented letters with a normal form of one letter (fixed values); those that are no composition are listed with it.
 ACCENTED = "àáâãåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľłñńņňòóôõøōŏőŕŗřśŝşšţťŧùúûũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijklllllnnnnoooooooorrrssssttt" + "uuuuuuuuuwyyyzzz"
+_STROKED = {"đ": "d", "ħ": "h", "ı": "i", "ł": "l", "ø": "o", "ŧ": "t"}
+PLAIN = "".join(_STROKED.get(c) or unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 EXPANDED = [("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ð", "d")]
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -374,7 +377,7 @@ def normal_forms(spark, sf_dir):
 
 @query()
 def fuzzy_forms(spark, sf_dir):
-    return postings(spark, sf_dir).select("word").distinct().select("word", D.fuzzy_form_col("word").alias("form"))
+    return postings(spark, sf_dir).select("word").distinct().select("word", D.fuzzy_form_col(F.col("word")).alias("form"))
 
 
 @query()
@@ -391,14 +394,12 @@ def hit_excerpts(spark, sf_dir):
 
 @query()
 def event_stream(spark, sf_dir):
-    """Postings of a stream of event records, written batch by batch and read back."""
-    import uuid
-
+    """Word counts of a stream of documents, written batch by batch and read back."""
     from .streaming.ingest import append_postings
 
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/quillon-stream").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    schema = _table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).format("parquet").option("recursiveFileLookup", "true").option("pathGlobFilter", "documents.parquet" if not sf_dir.rstrip("/").rsplit("/", 1)[-1].startswith("check") else "*.parquet").load(sf_dir if not sf_dir.rstrip("/").rsplit("/", 1)[-1].startswith("check") else f"{sf_dir}/documents.parquet")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-stream-")
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     q = append_postings(stream.select("doc_id", "text"), ingest.Options(full_text=["text"]), f"{base}/postings", f"{base}/state")
     q.awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").schema("doc_id long, word string, position int, score long").parquet(f"{base}/postings").groupBy("word").agg(F.count("*").alias("n"))

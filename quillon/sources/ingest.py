@@ -70,6 +70,13 @@ def _writers(o: Options, name: str, item: Column) -> Column:
     return F.concat(*out) if out else F.array().cast("array<struct<word:string,step:int>>")
 
 
+def _field(o: Options, name: str) -> Column:
+    """All a field writes for a document, in order."""
+    written = F.flatten(F.transform(_items(o, name), lambda item: _writers(o, name, item)))
+    score = F.lit(o.scores.get(name, 1)).cast("long").alias("score")
+    return F.transform(written, lambda x: F.struct(x["word"].alias("word"), x["step"].alias("step"), score))
+
+
 def _roles(o: Options) -> list[str]:
     names = [*o.full_text, *o.phrases, *o.filters, *o.filters_plus, *o.facets, *o.facet_ids, *o.orderings]
     return list(dict.fromkeys(names))
@@ -78,10 +85,7 @@ def _roles(o: Options) -> list[str]:
 def postings(records: DataFrame, o: Options) -> DataFrame:
     """(doc_id, word, position, score); words longer than 1000 bytes, empty or with a space are left out but keep their position."""
     names = [n for n in records.columns if n in _roles(o)]
-    fields = []
-    for n in names:
-        written = F.flatten(F.transform(_items(o, n), lambda item, n=n: _writers(o, n, item)))
-        fields.append(F.transform(written, lambda x, n=n: F.struct(x["word"].alias("word"), x["step"].alias("step"), F.lit(o.scores.get(n, 1)).cast("long").alias("score"))))
+    fields = [_field(o, n) for n in names]
     every = F.concat(*fields) if fields else F.array().cast("array<struct<word:string,step:int,score:bigint>>")
     one = records.select(F.col("doc_id").cast("long").alias("doc_id"), every.alias("w")).select("doc_id", F.posexplode("w").alias("k", "x"))
     if o.normalise:
