@@ -76,33 +76,51 @@ def rows(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes: i
                 start, total = i + 1, 0
 
 
+def _contract(batches, most: int = 500_000):
+    """Edges in, for each ``most`` of them a forest of their components out: (node, smallest node), nodes that differ."""
+    held, n = [], 0
+
+    def forest():
+        nodes, place = np.unique(np.concatenate(held), return_inverse=True)
+        a, b = place.reshape(-1, 2).T
+        label = np.arange(len(nodes))
+        while True:  # hook the larger label to the smaller one, then let labels run down
+            x, y = label[a], label[b]
+            if (x == y).all():
+                break
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label != label[label]).any():
+                label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1).ravel())
+            n += batch.num_rows
+        if n >= most:
+            yield forest()
+            held, n = [], 0
+    if n:
+        yield forest()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node each node of ``edges`` is connected with.
+    """(node, component) for every node whose component has a smaller one: the smallest node it is connected with.
 
-    Alternating large-star and small-star rounds: in each, every node links its neighbours to its
-    smallest neighbour, so a node of any degree costs one minimum (combined before the shuffle) and
-    one equi-join that adaptive execution may split. Each round is a table in the shared folder;
-    the loop ends when a round changes nothing. Only two numbers a round reach the driver.
+    Each round deals edges by their larger node to tasks, which contract what they hold to a forest
+    (small star), and then links every node to the smallest neighbour of its parent (large star).
+    A forest has one row for each child, so before either shuffle a node of any degree has a row or a
+    minimum for each task at most. It ends when every child has one neighbour. Rounds are tables in
+    the shared folder; no edges reach the driver.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    seen = None
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    forest = lambda df: df.mapInArrow(_contract, "u long, v long")
+    e = forest(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v"))
     for _ in range(most_rounds):
-        both = e.union(e.select(F.col("v"), F.col("u")))
-        m = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
-        large = both.where("v > u").join(m, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "cc")
-        small_m = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-        joined = large.join(small_m, F.col("u") == F.col("c"))
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_m.select(F.col("c"), F.col("m")))
-        e = stored(small.where("u <> v").distinct(), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    tops = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+        s = stored(forest(e.repartition("u")), "cc")
+        both = s.union(s.select(F.col("v"), F.col("u")))
+        m = stored(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("low"), F.max("v").alias("high")), "cc")
+        if m.where("low < c and low < high").isEmpty():
+            return s.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        e = forest(s.join(m, F.col("v") == F.col("c")).select("u", F.least("c", "low").alias("v")))
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -7,7 +7,8 @@ of the boxes of an R-tree. Pairs whose bound suffices are verified on the sets t
 Spark deals the points to trees: sets of similar size that can be similar agree wholly in at least
 one of k parts of their shingles (k exceeds the largest admissible difference), so each set meets all
 its partners over the hashes of its parts; connected sets form clusters, and the clusters, ordered
-by size, the trees' pages. A page is joined in one task; pages of one cluster first over one member
+by size, the trees' pages. Shingles that very many documents have are left out of the parts, which
+leaves no more differences than before; where too few remain, whole sets are dealt as well. A page is joined in one task; pages of one cluster first over one member
 of each component, then exactly, each member outside the cluster's main component against all pages
 whose boxes allow a link. Links come as a spanning forest; no group's pairs are ever spelled out.
 """
@@ -26,7 +27,9 @@ from .common import components, rows, stored, texts
 
 GROUPS, FANOUT = 64, 16
 #: Of a page: sets and shingles at most (a single larger set is a page of its own).
-PAGE_SETS, PAGE_SHINGLES = 1000, 600_000
+PAGE_SETS, PAGE_SHINGLES = 2000, 600_000
+#: Share of the documents from which a shingle is common; the common ones are at most the mean set size / COMMON.
+COMMON = 0.001
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -58,42 +61,57 @@ def _classes(num: int, den: int, top: int = 1 << 40) -> tuple[np.ndarray, np.nda
         d = (den - num) * 2 * (nxt - 1) // (den + num)
         k, low = d + 3, max(1.0, s * num / den)
         for _ in range(6):
-            k = d + 3 + int(1.5 * k * np.exp(-low / k)) if d else 1
+            k = d + 3 + int(1.5 * k * np.exp(-0.85 * low / k)) if d else 1
         first.append(s), differ.append(d), parts.append(k)
         s = nxt
     return np.array(first), np.array(differ), np.array(parts)
 
 
-def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(set index, signature) rows: hashes of the parts of each set under its own and the next size class.
 
-    Two linked sets differ in at most d shingles and so agree in at least k - d of k parts. Where a set
-    has fewer than k - d empty parts, some part they agree in is not empty; only other sets also emit
-    their empty parts.
+    Two linked sets differ in at most d shingles and so agree in at least k - d of k parts, also without
+    ``common`` shingles. Where all these parts may be empty, as both sets then have k - d empty parts or
+    more, they both also emit the parts of their whole sets; where even those may be, the empty ones too.
     """
-    first, differ, parts = _classes(num, den)
     sizes = np.array([len(s) for s in sets])
+    if common is None or not len(common):
+        return _parts(sets, sizes, num, den, True)[:2]
+    rare = [s[np.take(common, np.searchsorted(common, s), mode="clip") != s] for s in sets]
+    which, sig, bare = _parts(rare, sizes, num, den, False)
+    again = np.flatnonzero(bare)
+    if len(again):
+        w, g, _ = _parts([sets[i] for i in again], sizes[again], num, den, True)
+        which, sig = np.concatenate([which, again[w]]), np.concatenate([sig, g])
+    return which, sig
+
+
+def _parts(sets, sizes, num, den, whole):
+    """Rows of the parts, and which sets have so many empty ones that a partner may share no other."""
+    first, differ, parts = _classes(num, den)
+    have = np.array([len(s) for s in sets])
     own = np.searchsorted(first, sizes, side="right") - 1
     flat = np.concatenate(sets)
     add, turn = mix(flat ^ _C[2]), mix(flat + _C[3]) >> np.uint64(16)
-    which, found = [], []
+    which, found, bare = [], [], np.zeros(len(sets), dtype=bool)
     for step in (0, 1):
         c = own + step
         k = parts[c]
         start = np.cumsum(k) - k
-        part = (turn % np.repeat(k, sizes).astype(np.uint64)).astype(np.int64)
-        at = part + np.repeat(start, sizes)
+        part = (turn % np.repeat(k, have).astype(np.uint64)).astype(np.int64)
+        at = part + np.repeat(start, have)
         total = int(k.sum())
         acc = np.zeros(total, dtype=np.uint64)
         np.add.at(acc, at, add)
         full = np.bincount(at, minlength=total) > 0
         who = np.repeat(np.arange(len(sets)), k)
-        empty = k - np.add.reduceat(full.astype(np.int64), start)
-        keep = full | (empty >= k - differ[c])[who]
+        few = k - np.add.reduceat(full.astype(np.int64), start) >= k - differ[c]
+        bare |= few
+        keep = full | few[who] if whole else full
         inner = np.arange(total) - np.repeat(start, k)
-        sig = mix(acc * _C[0] + inner.astype(np.uint64) * _C[1] + np.repeat(c, k).astype(np.uint64) * _C[2])
+        sig = mix(acc * _C[0] + inner.astype(np.uint64) * _C[1] + np.repeat(c, k).astype(np.uint64) * _C[2] + np.uint64(whole))
         which.append(who[keep]), found.append(sig[keep])
-    return np.concatenate(which), np.concatenate(found)
+    return np.concatenate(which), np.concatenate(found), bare
 
 
 def vector(s: np.ndarray) -> np.ndarray:
@@ -173,10 +191,36 @@ def join_page(sets, cluster, num, den, known=None, side=None) -> list[tuple[int,
     return out
 
 
+SETS = "doc_id long, n long, digest binary, many binary"
+
+
 def _digests(batches, size):
+    """A row for each set, and rows without one of the shingles that are common in some thousand documents, with counts."""
+    held, docs = [], 0
+
+    def common():
+        s, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= max(3, COMMON * docs)
+        raw = np.stack([s[often].view(np.int64), n[often]], axis=1).astype("<i8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([raw], pa.binary())], names=["doc_id", "n", "digest", "many"])
+
     for ids, text in rows(batches):
         sets = [shingles(t, size) for t in text]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "digest"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "n", "digest", "many"])
+        held += sets
+        docs += len(sets)
+        if docs >= 4000 or sum(map(len, held)) > 2_000_000:
+            yield common()
+            held, docs = [], 0
+    if docs:
+        yield common()
+
+
+def _counted(batches):
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            s, n = np.frombuffer(raw, dtype="<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], names=["s", "n"])
 
 
 PAIRS = "sig long, a long, b long"
@@ -186,7 +230,7 @@ def _pairs(sig, a, b=None):
     return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], names=["sig", "a", "b"])
 
 
-def _signed(batches, size, num, den):
+def _signed(batches, size, num, den, sent):
     """Signature rows of one set each (b null); where several sets of a buffer agree, one row and links to its set."""
     held_sig, held_doc, n, seen = [], [], 0, set()
 
@@ -210,7 +254,7 @@ def _signed(batches, size, num, den):
             if d is not None and len(s) and (key := s.tobytes() if len(s) < 4 else xxhash.xxh3_128_digest(s.tobytes())) not in seen:
                 seen.add(key), sets.append(s), docs.append(d)
         if sets:
-            who, sig = signatures(sets, num, den)
+            who, sig = signatures(sets, num, den, sent.value)
             held_sig.append(sig), held_doc.append(np.array(docs, dtype=np.int64)[who])
             n += len(sig)
         if n > 1_500_000:
@@ -243,7 +287,7 @@ def _met(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def _number(batches):
+def _number(batches, page_sets, page_shingles):
     """Cuts the sorted members of clusters into pages, between clusters where a page allows it."""
     from pyspark import TaskContext
 
@@ -260,9 +304,9 @@ def _number(batches):
             if starts[i]:
                 run += 1
                 size, weight = int(ends[run]) - i, int(sums[ends[run] - 1] - sums[i] + n[i])
-                if size > PAGE_SETS or weight > PAGE_SHINGLES:  # a cluster of several pages begins a new one
-                    size, weight = PAGE_SETS, PAGE_SHINGLES
-            if sets and (sets + size > PAGE_SETS or total + weight > PAGE_SHINGLES):
+                if size > page_sets or weight > page_shingles:  # a cluster of several pages begins a new one
+                    size, weight = page_sets, page_shingles
+            if sets and (sets + size > page_sets or total + weight > page_shingles):
                 page, sets, total = page + 1, 0, 0
             sets, total = sets + 1, total + int(n[i])
             out[i] = page
@@ -309,42 +353,48 @@ def _boxes(batches, size):
         yield pa.RecordBatch.from_pylist([{"page": group[0][0], "cluster": group[0][1], "low": min(map(len, sets)), "high": np.stack([vector(s) for s in sets]).max(0).tolist()}])
 
 
-def _pages(members: DataFrame) -> DataFrame:
+def _pages(members: DataFrame, limits: tuple[int, int]) -> DataFrame:
     m = members.select("cluster", "n", "doc_id").repartitionByRange(F.col("cluster"), F.col("n"), F.col("doc_id")).sortWithinPartitions("cluster", "n", "doc_id")
-    return stored(m.mapInArrow(_number, "cluster long, n long, doc_id long, page long"), "pages")
+    return stored(m.mapInArrow(lambda it: _number(it, *limits), "cluster long, n long, doc_id long, page long"), "pages")
 
 
-def jaccard_links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, limits: tuple[int, int] = (PAGE_SETS, PAGE_SHINGLES)) -> tuple[DataFrame, DataFrame]:
     """(sets, links): sets (doc_id, n, component) of every row; links (a, b), a spanning forest of the linked documents.
 
     Two documents link when den * intersection >= num * union of their distinct ``size``-word
     shingles. Rows with the same doc_id are one node; a row with null doc_id, null text or no words
-    links with nothing and is its own component. Columns other than doc_id and text are left out.
+    links with nothing and is its own component. limits: sets and shingles of a page. Columns other
+    than doc_id and text are left out.
     """
     base = texts(docs)
-    sets = stored(base.mapInArrow(lambda it: _digests(it, size), "doc_id long, n long, digest binary"), "sets")
+    every = stored(base.mapInArrow(lambda it: _digests(it, size), SETS), "sets")
+    sets = every.where("many is null").drop("many")
+    counts = every.where("many is not null").select("many").mapInArrow(_counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    # at most the mean set size / COMMON rows, as each counts a share COMMON of all sets
+    common = counts.where(F.col("n") >= max(3.0, COMMON * sets.count())).select("s").toArrow().column(0).to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(common.astype(np.int64).view(np.uint64)))
     real = sets.where("digest is not null and doc_id is not null")
     rep = real.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = stored(real.join(rep, "digest").where("doc_id <> rep").select("doc_id", "rep"), "same")  # equal sets
-    rows_ = base.mapInArrow(lambda it: _signed(it, size, num, den), PAIRS)
+    rows_ = base.mapInArrow(lambda it: _signed(it, size, num, den, sent), PAIRS)
     met = rows_.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(_met, "a long, b long")
-    alias = lambda d, c: d.join(same.select(F.col("doc_id").alias(c), F.col("rep").alias("to")).groupBy(c).agg(F.min("to").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    near = alias(alias(met.distinct(), "a"), "b").where("a <> b")
-    clusters = components(near)
-    members = stored(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(real.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "members")
-    links = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    if not members.isEmpty():
-        links = links.union(_verified(base, members, size, num, den))
-    links = stored(links, "links")
-    return sets, links
-
-
-def _verified(base: DataFrame, members: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    alike = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    near = stored(components(met.union(alike)), "near")
+    tops = near.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    clusters = near.union(tops).join(same.select(F.col("doc_id").alias("node")), "node", "left_anti")
+    some = clusters.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
+    clusters = clusters.join(some, "component", "left_semi").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    members = stored(clusters.join(real.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "members")
+    links = stored(alike, "links")
+    return sets, (links if members.isEmpty() else _verified(base, members, links, size, num, den, limits))
+
+
+def _verified(base: DataFrame, members: DataFrame, links: DataFrame, size: int, num: int, den: int, limits: tuple[int, int]) -> DataFrame:
     with_text = lambda p: p.join(base, "doc_id")
     sorted_by = lambda d, key: d.repartition(key).sortWithinPartitions(key)
-    pages = _pages(members)
+    pages = _pages(members, limits)
     inside = lambda p: sorted_by(with_text(p).select("page", "cluster", "doc_id", "text"), "page").mapInArrow(lambda it: _joined(it, size, num, den), "a long, b long")
-    links = stored(inside(pages), "links")
+    links = links.union(stored(inside(pages), "links"))
     split = stored(pages.groupBy("cluster").agg(F.countDistinct("page").alias("k")).where("k > 1").select("cluster"), "split")
     if split.isEmpty():
         return links
@@ -352,7 +402,7 @@ def _verified(base: DataFrame, members: DataFrame, size: int, num: int, den: int
     last = None
     while True:
         comps = components(links)
-        placed = wide.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = stored(wide.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
         leaders = stored(placed.groupBy("cluster", "component").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("cluster", "x.doc_id", "x.n"), "leaders")
         left = leaders.groupBy("cluster").count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
         if left == 0:
@@ -360,14 +410,13 @@ def _verified(base: DataFrame, members: DataFrame, size: int, num: int, den: int
         if last is not None and left > 0.9 * last:
             break
         last = left
-        links = links.union(stored(inside(_pages(leaders)), "links"))
-    placed = stored(placed, "placed")
+        links = links.union(stored(inside(_pages(leaders, limits)), "links"))
     # exact: whatever is outside its cluster's largest component, against all of the cluster
     counts = placed.groupBy("cluster", "component").count()
     main = counts.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("x"), F.count("*").alias("k")).where("k > 1").select("cluster", F.col("x.component").alias("main"))
     open_ = stored(placed.join(main, "cluster"), "open")
     rest = open_.where("component <> main")
-    asked = _pages(rest).withColumnRenamed("page", "ask").join(rest.select("doc_id", "component"), "doc_id")
+    asked = _pages(rest, limits).withColumnRenamed("page", "ask").join(rest.select("doc_id", "component"), "doc_id")
     boxes = lambda p, key: sorted_by(with_text(p).select(F.col(key).alias("page"), "cluster", "doc_id", "text"), "page").mapInArrow(lambda it: _boxes(it, size), "page long, cluster long, low long, high array<long>")
     left_box = asked.select("ask", "cluster").distinct().join(stored(boxes(asked, "ask"), "boxes").select(F.col("page").alias("ask"), F.col("low").alias("l1"), F.col("high").alias("h1")), "ask")
     right_box = open_.select("page", "cluster").distinct().join(stored(boxes(open_, "page"), "boxes").select("page", F.col("low").alias("l2"), F.col("high").alias("h2")), "page")
@@ -392,5 +441,5 @@ def without_near(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     Repeated rows of a doc_id that stays all stay; so do rows with null doc_id.
     """
     _, links = jaccard_links(docs, size, num, den)
-    gone = components(links).where("node <> component").select(F.col("node").alias("__gone"))
+    gone = components(links).select(F.col("node").alias("__gone"))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -76,7 +76,10 @@ def url_verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RUL
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("a")), node_of(F.col("b"))))
-    members = components(edges)
+    number = F.xxhash64  # components are of numbers
+    hashed = components(edges.select(number(F.col("a")).alias("a"), number(F.col("b")).alias("b")))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("h", number(F.col("node")))
+    members = nodes.join(hashed.select(F.col("node").alias("h"), F.col("component").alias("top")), "h", "left").select("node", F.coalesce("top", "h").alias("component"))
     bare = F.regexp_extract("node", r"(?s)^([^/?#]*)", 1)
     way = F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1)
     ruled = members.select("component", matching_rule(bare, way, rules)["verdict"].alias("v"))
@@ -89,5 +92,5 @@ def url_verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RUL
         "path",
         F.col("hit")["rule"].alias("rule"),
         F.coalesce(F.col("hit")["verdict"], F.col("spread"), F.lit("allow")).alias("verdict"),
-        F.coalesce("component", F.when(F.col("node") != "", F.col("node"))).alias("component"),
+        F.coalesce("component", F.when(F.col("node") != "", F.xxhash64("node"))).alias("component"),
     )
