@@ -109,7 +109,7 @@ class Lattices:
         self.base: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
         self.first, self.many = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.cum, self.p, self.log = (np.zeros(1 << 17, np.float32) for _ in range(3))
+        self.cum, self.p, self.log, self.other = (np.zeros(1 << 17, np.float32) for _ in range(4))
         self.to, self.piece, self.node = (np.zeros(1 << 17, np.int32) for _ in range(3))
 
     def _room(self, names, used, more):
@@ -165,12 +165,17 @@ class Lattices:
         cum = np.cumsum(p)
         cum -= np.repeat(cum[f] - p[f], many)
         cum[f + many - 1] = 2.0
+        with np.errstate(divide="ignore"):  # log of what the node's other edges have; small masses beside a likely edge are summed, not subtracted
+            other = np.log1p(-np.minimum(p, 0.999))
+            beside = p.copy()
+            beside[f] = 0.0
+            other[f] = np.log(np.add.reduceat(beside, f))
         p[f[many == 1]], log[f[many == 1]] = 1.0, 0.0
         self._room(("first", "many"), self.n_nodes, len(text))
-        self._room(("cum", "p", "log", "to", "piece", "node"), self.n_edges, len(src))
+        self._room(("cum", "p", "log", "other", "to", "piece", "node"), self.n_edges, len(src))
         n, e = slice(self.n_nodes, self.n_nodes + len(text)), slice(self.n_edges, self.n_edges + len(src))
         self.first[n], self.many[n] = f + self.n_edges, many
-        self.cum[e], self.p[e], self.log[e], self.piece[e] = cum, p, log, piece
+        self.cum[e], self.p[e], self.log[e], self.other[e], self.piece[e] = cum, p, log, other, piece
         self.to[e] = np.where(done, -1, dst + self.n_nodes)
         self.node[e] = src + self.n_nodes
         self.base.update(zip(units, (np.cumsum(size) - size + self.n_nodes).tolist()))
@@ -231,8 +236,8 @@ def _extend(lat, row, nodes, todo, sample):
     done = np.array([x[2] for x in todo])
     depth = np.arange(len(edges)) - first + np.repeat(np.array([len(x[1]) for x in todo]), size)
     of = np.repeat(np.array([x[0] for x in todo]), size)
-    with np.errstate(divide="ignore", over="ignore"):
-        loc = before_all - before_all[first] + np.repeat(done, size) + np.log1p(-lat.p[edges].astype(np.float64))
+    with np.errstate(over="ignore"):
+        loc = before_all - before_all[first] + np.repeat(done, size) + lat.other[edges]
         noise = _noise(row[of], sample, depth)
         opened = -np.logaddexp(-np.repeat(np.array([x[5] for x in todo]), size), -(loc + noise))
     for (d, before, log, _, _, score), b in zip(todo, stop.tolist()):
