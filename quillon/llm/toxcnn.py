@@ -1,9 +1,10 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-Words are hashed into an embedding table; filters of several widths slide over the words, each
-keeps its largest response, and a linear layer over these maxima gives the score. Embeddings start
-with a smoothed log-odds of each bucket in toxic and other documents. Scores are shifted so that 0.5
-is the best single cut; thresholds are then calibrated for each language.
+Words and their first letters are hashed into an embedding table; filters of several widths slide
+over the words, each keeps its largest response, and a linear layer over these maxima gives the score.
+Two coordinates of a word start, and stay, as the smoothed log-odds of the word and of its first
+letters in toxic documents, the lesser of two buckets each, so that one collision makes no toxic word.
+Scores are shifted so that 0.5 is the best single cut; thresholds are then calibrated for each language.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod_col, rows, texts
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 12
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
+#: Coordinates of log-odds, and letters of a word's beginning.
+ODDS, LETTERS = 2, 4
 #: Labelled rows the classifier is fitted on, at most, of each class; those of the smallest hashes of their ids.
 SAMPLE = 1500
+#: Words a scoring task remembers.
+WORDS = 300_000
 _WORD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -26,134 +31,172 @@ def words_of(t: bytes) -> list[bytes]:
     return t.lower().translate(_WORD).split()
 
 
-def bucket(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1)
-
-
-def _ids(text: list[bytes], pad: int = max(WIDTHS) - 1) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, each text followed by padding (bucket -1), and where each text starts."""
-    parts, sizes = [], []
-    for t in text:
-        w = list(map(xxhash.xxh3_64_intdigest, words_of(t)))
-        a = np.full(max(1, len(w)) + pad, BUCKETS, dtype=np.int64)
-        a[: len(w)] = (np.array(w, dtype=np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
-        parts.append(a)
-        sizes.append(len(a))
-    sizes = np.array(sizes)
-    return np.concatenate(parts), np.cumsum(sizes) - sizes
+def places(word: bytes) -> tuple[int, int, int, int]:
+    """Two buckets of the word and two of its first letters."""
+    a = xxhash.xxh3_64_intdigest(word)
+    b = xxhash.xxh3_64_intdigest(b"\0" + word.decode("utf-8", "ignore")[:LETTERS].encode())
+    return a & BUCKETS - 1, a >> 24 & BUCKETS - 1, b & BUCKETS - 1, b >> 24 & BUCKETS - 1
 
 
 class Net:
-    """Parameters: embedding (the last row, padding, stays 0), filters by width, output weights and bias, the cut's shift."""
+    """Parameters: log-odds by two hashes, embeddings, filters by width, output weights and bias, the cut's shift."""
 
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
-        self.embedding = r.normal(0, 0.1, (BUCKETS + 1, DIM)).astype(np.float32)
-        self.embedding[-1] = 0
+        self.odds = np.zeros((2, BUCKETS), np.float32)
+        self.embedding = r.normal(0, 0.05, (BUCKETS, DIM - ODDS)).astype(np.float32)
         self.filters = []
         for k in WIDTHS:
-            w = r.normal(0, 0.3 / k, (k * DIM, FILTERS)).astype(np.float32)
-            w[::DIM] = np.abs(w[::DIM])
+            w = r.normal(0, 0.3 / k, (k, DIM, FILTERS)).astype(np.float32)
+            w[:, :ODDS] = np.abs(w[:, :ODDS])
             self.filters.append(w)
         self.out = np.full(len(WIDTHS) * FILTERS, 0.05, dtype=np.float32)
         self.bias = np.zeros(1, dtype=np.float32)
         self.shift, self.scale = 0.0, 1.0
 
-    def pooled(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The largest response of each filter in each text."""
-        e = self.embedding[ids]
-        out = []
-        for k, w in zip(WIDTHS, self.filters):
-            y = e[: len(e) - k + 1] @ w[:DIM]
-            for j in range(1, k):
-                y += e[j : len(e) - k + 1 + j] @ w[j * DIM : (j + 1) * DIM]
-            out.append(np.maximum.reduceat(y, first, axis=0))
-        return np.concatenate(out, axis=1)
+    def fixed(self, at) -> tuple[float, float]:
+        a, b, c, d = at
+        return min(self.odds[0, a], self.odds[1, b]), min(self.odds[0, c], self.odds[1, d])
+
+    def scorer(self) -> "Scorer":
+        return Scorer(self)
+
+
+class Scorer(dict):
+    """Scores texts; remembers words as rows of a matrix, row 0 being the padding after each text."""
 
-    def raw(self, text: list[bytes]) -> np.ndarray:
-        return np.tanh(self.pooled(*_ids(text)) / 4) @ self.out * 4 + self.bias[0]
+    def __init__(self, net: Net):
+        self.net = net
+        self.vectors = np.zeros((WORDS + 1, DIM), np.float32)
+        self.weights = np.concatenate([w for f in net.filters for w in f], axis=1).T.copy()
+
+    def __missing__(self, word: bytes) -> int:
+        at = places(word)
+        row = len(self) + 1
+        if row >= len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        self.vectors[row, :ODDS] = self.net.fixed(at)
+        self.vectors[row, ODDS:] = self.net.embedding[at[0]] + self.net.embedding[at[2]]
+        self[word] = row
+        return row
 
     def score(self, text: list[bytes]) -> np.ndarray:
-        z = (self.raw(text).astype(float) - self.shift) * self.scale
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        if len(self) > WORDS:
+            self.clear()
+        pad = [0] * (max(WIDTHS) - 1)
+        rows_, sizes = [], []
+        for t in text:
+            ids = [*map(self.__getitem__, words_of(t)), *pad]
+            if len(ids) == len(pad):
+                ids.append(0)
+            rows_ += ids
+            sizes.append(len(ids))
+        first = np.cumsum(sizes) - sizes
+        z = self.weights @ self.vectors[rows_].T
+        n, at, tops = z.shape[1], 0, []
+        for k in WIDTHS:
+            y = z[at : at + FILTERS, : n - k + 1].copy()
+            for j in range(1, k):
+                y += z[at + j * FILTERS : at + (j + 1) * FILTERS, j : n - k + 1 + j]
+            at += k * FILTERS
+            tops.append(np.maximum.reduceat(y, first, axis=1))
+        net = self.net
+        raw = np.tanh(np.concatenate(tops).T / 4) @ net.out * 4 + net.bias[0]
+        x = (raw.astype(float) - net.shift) * net.scale
+        return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train(sample: list[tuple[bytes, int]], epochs: int = 8, rate: float = 0.01, seed: int = 11) -> Net:
-    """Adam on cross-entropy; the gradient of a maximum goes to the words that gave it."""
+def train(sample: list[tuple[bytes, int]], ratio: float = 1.0, epochs: int = 5, rate: float = 0.01, seed: int = 11) -> Net:
+    """Adam on cross-entropy; the gradient of a maximum goes to the words that gave it.
+
+    ratio: how many times as frequent the other class is, against toxic, as in the sample; the cut is set for that.
+    """
     net = Net(seed)
     if not sample or len({y for _, y in sample}) < 2:
         net.bias[0] = -4 if not sample or not sample[0][1] else 4
         return net
     y = np.array([v for _, v in sample], dtype=float)
-    cut = len(sample) // 4  # the last quarter calibrates the cut
-    coded = [_ids([t])[0] for t, _ in sample]
-    learn = np.arange(len(sample))[cut:]
-    hit = np.zeros((2, BUCKETS + 1))
+    cut = len(sample) // 4  # the first quarter calibrates the cut
+    texts_, known = [words_of(t) for t, _ in sample], {}
+    for ws in texts_:
+        for w in ws:
+            if w not in known:
+                known[w] = len(known)
+    at = np.array([places(w) for w in known] or [(0, 0, 0, 0)])
+    coded = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in texts_]
+    learn = np.array([i for i in range(cut, len(sample)) if len(coded[i]) >= max(WIDTHS)])
+    hit = np.zeros((2, 2, BUCKETS))
     for i in learn:
-        hit[int(y[i]), np.unique(coded[i])] += 1
+        own = at[np.unique(coded[i])]
+        for h in (0, 1):
+            hit[h, int(y[i]), np.unique(own[:, [h, 2 + h]])] += 1
     n1, n0 = max(1, y[learn].sum()), max(1, (1 - y[learn]).sum())
-    odds = np.log((hit[1] / n1 + 1 / n1) / (hit[0] / n0 + 1 / n1))
-    net.embedding[:, 0] = np.clip(odds, -3, 5)
-    net.embedding[-1] = 0
+    net.odds = np.clip(np.log((hit[:, 1] / n1 + 2 / n1) / (hit[:, 0] / n0 + 2 / n1)), -3, 5).astype(np.float32)
+    fixed = np.array([net.fixed(x) for x in at], np.float32)
     params = [*net.filters, net.out, net.bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    turn, step, size = np.random.default_rng(seed), 0, len(WIDTHS) * FILTERS
-    balance = n0 / n1
+    turn, step = np.random.default_rng(seed), 0
     for _ in range(epochs):
         for i in turn.permutation(learn):
             ids = coded[i]
-            e = net.embedding[ids]
-            grads, where, pooled = [], [], []
+            e = np.concatenate([fixed[ids], net.embedding[at[ids, 0]] + net.embedding[at[ids, 2]]], axis=1)
+            tops, pooled = [], []
             for k, w in zip(WIDTHS, net.filters):
-                x = np.concatenate([e[j : len(e) - k + 1 + j] for j in range(k)], axis=1)
-                r = x @ w
+                r = sum(e[j : len(e) - k + 1 + j] @ w[j] for j in range(k))
                 top = r.argmax(0)
-                where.append((x, top))
+                tops.append(top)
                 pooled.append(r[top, np.arange(FILTERS)])
             p = np.tanh(np.concatenate(pooled) / 4)
             z = p @ net.out * 4 + net.bias[0]
-            d = float(1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) * (min(balance, 10) if y[i] else 1.0)
+            d = float(1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i])
             back = d * net.out * (1 - p * p)
-            for f, (x, top) in enumerate(where):
+            grads = []
+            for f, (k, top) in enumerate(zip(WIDTHS, tops)):
                 g = back[f * FILTERS : (f + 1) * FILTERS]
-                grads.append(x[top].T * g)
-                for c, at in enumerate(top):  # embeddings by plain gradient: few rows each time
-                    k = WIDTHS[f]
-                    net.embedding[ids[at : at + k]] -= rate * 0.5 * (g[c] * net.filters[f][:, c]).reshape(k, DIM)
-            net.embedding[-1] = 0
+                near = top[:, None] + np.arange(k)  # filter, place in it
+                grads.append(np.einsum("fkd,f->kdf", e[near], g))
+                move = -rate * 0.5 * np.einsum("kdf,f->fkd", net.filters[f][:, ODDS:], g).reshape(-1, DIM - ODDS)
+                for c in (0, 2):
+                    np.add.at(net.embedding, at[ids[near.ravel()], c], move)
             grads += [d * p * 4, np.array([d], dtype=np.float32)]
             step += 1
             for q, g, a, b in zip(params, grads, m, v):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 q -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    raw = np.concatenate([net.raw([t]) for t, _ in sample[:cut]]).astype(float) if cut else np.zeros(1)
-    net.shift = best_cut(raw, y[:cut]) if cut and 0 < y[:cut].sum() < cut else 0.0
-    net.scale = 2 / max(0.5, float(np.std(raw)))
+    if 0 < y[:cut].sum() < cut:
+        s = net.scorer()
+        raw = np.concatenate([s.score([t]) for t, _ in sample[:cut]])
+        raw = np.log(raw / (1 - raw))
+        net.shift, net.scale = best_cut(raw, y[:cut], np.where(y[:cut] > 0, 1.0, ratio)), 2 / max(0.5, float(np.std(raw)))
     return net
 
 
-def best_cut(values: np.ndarray, y: np.ndarray) -> float:
-    """The cut of the best F1 of ``values >= cut``, in the middle of the gap below it."""
+def best_cut(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The cut of the best weighted F1 of ``values >= cut``, in the middle of the gap below it."""
     order = np.argsort(-values, kind="stable")
-    v, t = values[order], np.cumsum(y[order])
-    f1 = 2 * t / (np.arange(1, len(v) + 1) + y.sum())
+    v = values[order]
+    t, n = np.cumsum(y[order] * weight[order]), np.cumsum(weight[order])
+    f1 = 2 * t / (n + (y * weight).sum())
     last = np.append(v[1:] != v[:-1], True)
     k = int(np.argmax(np.where(last, f1, -1)))
     return float((v[k] + v[k + 1]) / 2) if k + 1 < len(v) else float(v[k] - 1e-6)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5) -> list[tuple[bytes, int, str]]:
-    """(text, toxic, lang), at most ``sample`` of each class, from labelled rows outside the held-out fold, mixed by hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5) -> tuple[list[tuple[bytes, int, str]], float]:
+    """(text, toxic, lang) of at most ``sample`` labelled rows of each class outside the held-out fold, mixed by hash; and
+    how many times as frequent the other class is among all such labels as in the sample."""
     lab = labels.select(F.col("doc_id").cast("long").alias("l"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and l is not null")
     lab = lab.where(crc_mod_col("l", fold) != 0).groupBy("l").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(3), "l"))
+    sizes = dict(lab.groupBy("toxic").count().collect())
     some = lab.where("toxic = 1").orderBy("h").limit(sample).union(lab.where("toxic = 0").orderBy("h").limit(sample))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    d = texts(docs).select("doc_id", "text").withColumn("k", F.col("doc_id")) if "lang" not in docs.columns else docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), lang.alias("lang"))
-    if "lang" not in d.columns:
-        d = d.withColumn("lang", lang)
+    d = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), lang.alias("lang"))
     found = d.join(F.broadcast(some), d["k"] == some["l"]).select("h", "text", "toxic", "lang")  # at most 2 * sample small rows
-    return [(bytes(r.text), int(r.toxic), r.lang) for r in sorted(found.toLocalIterator(), key=lambda r: (r.h, r.text))]
+    rows_ = [(bytes(r.text), int(r.toxic), r.lang) for r in sorted(found.toLocalIterator(), key=lambda r: (r.h, r.text))]
+    got = sum(y for _, y, _ in rows_)
+    ratio = sizes.get(0, 0) / max(1, sizes.get(1, 0)) / (max(1, len(rows_) - got) / max(1, got))
+    return rows_, max(ratio, 1e-3)
 
 
 class Classifier:
@@ -166,24 +209,25 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5, least: int = 60) -> Classifier:
     """Fits the net, then a threshold for each language with ``least`` calibration rows of both classes together (else 0.5)."""
-    rows_ = labelled_sample(docs, labels, sample, fold)
-    net = train([(t, y) for t, y, _ in rows_])
+    rows_, ratio = labelled_sample(docs, labels, sample, fold)
+    net = train([(t, y) for t, y, _ in rows_], ratio)
     cut = rows_[: len(rows_) // 4]
     thresholds: dict[str | None, float] = {}
     if cut:
-        scores = np.concatenate([net.score([t]) for t, _, _ in cut])
+        s = net.scorer()
+        scores = np.concatenate([s.score([t]) for t, _, _ in cut])
         for lang in {x for _, _, x in cut}:
             at = np.array([i for i, (_, _, x) in enumerate(cut) if x == lang])
             y = np.array([cut[i][1] for i in at], dtype=float)
             if len(at) >= least and 10 <= y.sum() <= len(at) - 10:
-                thresholds[lang] = float(np.clip(best_cut(scores[at], y), 0.3, 0.7))
+                thresholds[lang] = float(np.clip(best_cut(scores[at], y, np.where(y > 0, 1.0, ratio)), 0.3, 0.7))
     return Classifier(net, thresholds)
 
 
 def _scored(batches, sent):
-    net = sent.value.net
-    for ids, text in rows(batches, most_rows=400, most_bytes=1 << 20):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(net.score(text))], names=["doc_id", "score"])
+    s = sent.value.net.scorer()
+    for ids, text in rows(batches, most_rows=200, most_bytes=500_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.score(text))], names=["doc_id", "score"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5) -> DataFrame:
@@ -199,14 +243,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int
 
 
 def _kept(batches, sent):
-    c = sent.value
+    c, s = sent.value, sent.value.net.scorer()
     for batch in batches:
         text = [(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
         at = batch.schema.get_field_index("lang")
         lang = batch.column(at).to_pylist() if at >= 0 else [None] * len(text)
         keep = []
         for k in range(0, len(text), 200):
-            keep += [not c.rejects(s, x) for s, x in zip(c.net.score(text[k : k + 200]), lang[k : k + 200])]
+            keep += [not c.rejects(p, x) for p, x in zip(s.score(text[k : k + 200]), lang[k : k + 200])]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
