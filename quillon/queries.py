@@ -282,9 +282,9 @@ def field_filter(spark, sf_dir):
     return rank.word_stats(part_index(spark, sf_dir).query(":filter:p_name:*")).select("word", "occ_count")
 
 
-@query(_PART + " select doc_id, 1 score from t where p_retailprice >= 950 and p_retailprice <= 1200")
+@query(_PART + " select doc_id, 1 score from t where p_retailprice >= 950 and p_retailprice <= 980")
 def ordering_range(spark, sf_dir):
-    return rank.scored_docs(part_index(spark, sf_dir).query(":ordering:p_retailprice:00095000--:ordering:p_retailprice:00120000*"))
+    return rank.scored_docs(part_index(spark, sf_dir).query(":ordering:p_retailprice:00095000--:ordering:p_retailprice:00098000*"))
 
 
 @query(_PART + ", x as (select p_name, unnest(w) word from t where contains(p_name, ' ')) select word || ':' || replace(lower(p_name), ' ', '_') word, count(*) occ_count from x group by 1")
