@@ -7,6 +7,7 @@ document is good; these posterior labels train a linear scorer over hashed words
 
 from __future__ import annotations
 
+import operator
 import re
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, texts
+from .common import in_place, stored, texts
 
 #: Function words of the four languages, by which running text is told from lists and noise (fixed values).
 FUNCTION_WORDS = frozenset("the of and to in is that it for was on with as at by an be this are from der die und den das von zu mit sich auf ist im ein eine nicht le la les de des et un une que en est pour qui dans du au sur el los las y del se por con para su una".encode().split())
@@ -23,30 +24,40 @@ BUCKETS = 1 << 16
 #: Documents the linear scorer is fitted on: those of the smallest hashes of their ids.
 SAMPLE = 4000
 
-_SYMBOLS = re.compile(rb"[*%$#&!@^~=<>{}\\]")
-_REPEATED = re.compile(rb"([^\w\s.])\1")
+_SYMBOLS = b"*%$#&!@^~=<>{}\\"
+_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+_MARKS = b".,;:!?\"'()"
+_DOUBLED = [bytes([c, c]) for c in b"!?*%$#&@^~=<>{}\\|-+_"]
 
 
 def _measures(t: bytes) -> tuple:
     words = t.split()
     n = max(1, len(words))
-    lower = [w.strip(b".,;:!?\"'()").lower() for w in words]
-    letters = max(1, len(re.findall(rb"[A-Za-z]", t)))
-    lines = [x for x in t.split(b"\n") if x.strip()]
+    lower = t.lower().translate(None, _MARKS).split()
+    size, upper = len(t), len(t) - len(t.translate(None, _UPPER))
+    letters = max(1, upper + size - len(t.translate(None, _LOWER)))
+    lines = [x for x in map(bytes.strip, t.split(b"\n")) if x]
+    single = [w for w in words if len(w) == 1]
     return (
         len(words),
-        len(_SYMBOLS.findall(t)) / n,
-        len(re.findall(rb"[A-Z]", t)) / letters,
-        sum(len(w) == 1 and not w.isalnum() for w in words) / n,
+        (size - len(t.translate(None, _SYMBOLS))) / n,
+        upper / letters,
+        sum(not w.isalnum() for w in single) / n,
         sum(map(FUNCTION_WORDS.__contains__, lower)) / n,
         len(set(lines)) / max(1, len(lines)),
-        len(set(lower)) / n ** 0.85,
-        sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / max(1, len(lines)),
-        len(_REPEATED.findall(t)) / n,
-        len(t) / n,
+        len(set(lower)) / n**0.85,
+        sum(x[-1:] in (b".", b"!", b"?") for x in lines) / max(1, len(lines)),
+        sum(map(t.count, _DOUBLED)) / n,
+        size / n,
+        repeats(words) / n,
     )
 
 
+def repeats(words: list[bytes]) -> int:
+    """Words that are the same as the one before."""
+    return sum(map(operator.eq, words, words[1:]))
+
+
 #: Each labeller: its measure, and the bounds (low, high) up to which and from which it votes, with the vote there.
 LABELLERS = [
     ("symbols", 1, (0.05, 0.3), "10"),
@@ -59,6 +70,7 @@ LABELLERS = [
     ("repeated_marks", 8, (0.02, 0.2), "10"),
     ("word_length", 9, (11.0, 16.0), "10"),
     ("length", 0, (8, 30), "01"),
+    ("stutter", 10, (0.03, 0.15), "10"),
 ]
 
 
@@ -69,17 +81,24 @@ def votes(t: bytes) -> str:
 
 
 def fit_labellers(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.ndarray]:
-    """Prior of good, and P(vote | class) as an array [class, labeller, vote of 0 1 -], by EM from a majority start."""
+    """Prior of good, and P(vote | class) as an array [class, labeller, vote of 0 1 -], by EM.
+
+    It starts from documents with two complaints or more as bad, with none as good: each labeller sees
+    one kind of fault only, so most others find nothing wrong with a bad document. For the same reason
+    a complaint about a good document is rare beforehand (pseudo-counts, a twentieth of all documents).
+    """
     keys = sorted(patterns)
     weight = np.array([patterns[k] for k in keys], dtype=float)
     seen = np.array([["01-".index(x) for x in k] for k in keys])
     hot = np.eye(3)[seen]
-    good, bad = (seen == 1).sum(1), (seen == 0).sum(1)
-    post = np.clip((good + 1) / (good + 2.5 * bad + 2), 0.02, 0.98)
+    bad = (seen == 0).sum(1)
+    post = np.where(bad == 0, 0.98, np.where(bad == 1, 0.6, 0.05))
+    before = np.full((2, seen.shape[1], 3), 0.5)
+    before[1] += 0.05 * weight.sum() * np.array([0.002, 0.988, 0.01])
     for _ in range(rounds):
         share = np.stack([1 - post, post]) * weight
         prior = share.sum(1) / share.sum()
-        table = np.einsum("cp,plv->clv", share, hot) + 0.5
+        table = np.einsum("cp,plv->clv", share, hot) + before
         table /= table.sum(2, keepdims=True)
         logs = np.log(prior)[:, None] + np.einsum("plv,clv->cp", hot, np.log(table))
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
@@ -95,26 +114,36 @@ def posterior(pattern: str, prior: float, table: np.ndarray) -> float:
     return float(1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50))))
 
 
+_SHAPE = bytes(88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1{2,}", re.S)
+_REPEAT = xxhash.xxh3_64_intdigest(b"\0repeat") % BUCKETS
+
+
 def shape(w: bytes) -> bytes:
     """A word with letters, digits and other bytes as classes, runs shortened to two."""
-    kind = re.sub(rb"[0-9]", b"9", re.sub(rb"[A-Z]", b"X", re.sub(rb"[a-z\x80-\xff]", b"x", w)))
-    return re.sub(rb"(.)\1{2,}", rb"\1\1", kind)
+    return _RUN.sub(rb"\1\1", w.translate(_SHAPE))
 
 
 def _buckets(w: bytes) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(w.lower()) % BUCKETS, xxhash.xxh3_64_intdigest(b"\0" + shape(w)) % BUCKETS
 
 
+def _features(t: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's words, shapes and repeats, and their shares."""
+    words = t.split()
+    flat = [x for w in words for x in _buckets(w)] + [_REPEAT] * repeats(words)
+    k, c = np.unique(np.array(flat, dtype=np.int64), return_counts=True)
+    return k, 4 * c / max(1, len(words))
+
+
 def fit_scorer(sample: list[tuple[bytes, float]], epochs: int = 6, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer on mean hashed features, fitted to posterior labels by Adagrad."""
-    data = [(np.array([_buckets(w) for w in t.split()] or [(0, 0)]).ravel(), y) for t, y in sample]
-    feats = [(*np.unique(x, return_counts=True), len(x) / 2, y) for x, y in data]
+    feats = [(*_features(t), y) for t, y in sample]
     w, b, g, gb = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-6), 1e-6
     turn = np.random.default_rng(7)
     for _ in range(epochs):
         for i in turn.permutation(len(feats)):
-            k, c, n, y = feats[i]
-            x = c / n * 4
+            k, x, y = feats[i]
             d = 1 / (1 + np.exp(-np.clip(w[k] @ x + b, -30, 30))) - y
             step = d * x + 1e-6 * w[k]
             g[k] += step * step
@@ -136,41 +165,43 @@ class _Weights(dict):
 
 def score(text: bytes, w: _Weights, b: float) -> float:
     words = text.split()
-    total = sum(map(w.__getitem__, words)) * 4 / len(words) if words else 4 * (w.w[0] * 2)
+    total = (sum(map(w.__getitem__, words)) + w.w[_REPEAT] * repeats(words)) * 4 / max(1, len(words))
     return float(1 / (1 + np.exp(-np.clip(total + b, -50, 50))))
 
 
 def _voted(batches):
-    for ids, text in rows(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([votes(t) for t in text])], names=["doc_id", "votes"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([votes(t) for t in part.column(1).to_pylist()])], names=["doc_id", "uid", "votes"])
 
 
 def _scored(batches, sent):
-    w, b, prior, table = sent.value
-    weights, known = _Weights(w), {}
-    for ids, text in rows(batches):
-        if len(weights) > 400_000:
-            weights.clear()
-        found = [votes(t) for t in text]
-        post = [known.get(v) or known.setdefault(v, posterior(v, prior, table)) for v in found]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found), pa.array(post), pa.array([score(t, weights, b) for t in text])], names=["doc_id", "votes", "posterior", "score"])
+    weights, b = _Weights(sent.value[0]), sent.value[1]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            if len(weights) > 400_000:
+                weights.clear()
+            yield pa.RecordBatch.from_arrays([part.column(2), pa.array([score(t, weights, b) for t in part.column(1).to_pylist()], pa.float64())], names=["uid", "score"])
 
 
 def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, votes, posterior, score, keep) of every whole text.
 
-    Vote patterns are counted over all rows (at most 3 ** 10 of them); only the linear scorer is
+    Vote patterns are counted over all rows (at most 3 ** 11 of them); only the linear scorer is
     fitted on a bounded sample of ``sample`` rows. Null text is empty; empty texts are scored like any
     other; repeated rows are each scored; an empty table gives an empty result. keep: score >= 0.5.
     """
     spark = docs.sparkSession
-    base = texts(docs)
-    patterns = {r.votes: r["count"] for r in base.mapInArrow(_voted, "doc_id long, votes string").groupBy("votes").count().collect()}
-    if not patterns:
-        patterns = {"-" * len(LABELLERS): 1}
+    base = in_place(texts(docs)).withColumn("uid", F.monotonically_increasing_id())
+    voted = stored(base.mapInArrow(_voted, "doc_id long, uid long, votes string"), "votes")
+    patterns = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()} or {"-" * len(LABELLERS): 1}
     prior, table = fit_labellers(patterns)
-    rows_ = base.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", F.xxhash64("text")).limit(sample).toLocalIterator()
-    w, b = fit_scorer([(bytes(r.text), posterior(votes(bytes(r.text)), prior, table)) for r in rows_])
-    sent = spark.sparkContext.broadcast((w, b, prior, table))
-    out = base.mapInArrow(lambda it: _scored(it, sent), "doc_id long, votes string, posterior double, score double")
-    return out.withColumn("keep", F.col("score") >= 0.5)
+    known = spark.createDataFrame([(v, posterior(v, prior, table)) for v in patterns], "votes string, posterior double")
+    some = base.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", F.xxhash64("text")).limit(sample).toLocalIterator()
+    w, b = fit_scorer([(bytes(r.text), posterior(votes(bytes(r.text)), prior, table)) for r in some])
+    sent = spark.sparkContext.broadcast((w, b))
+    scored = base.mapInArrow(lambda it: _scored(it, sent), "uid long, score double")
+    out = voted.join(scored, "uid").join(F.broadcast(known), "votes")  # at most 3 ** 11 patterns
+    return out.select("doc_id", "votes", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))
