@@ -287,11 +287,11 @@ def _met(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def _number(batches, page_sets, page_shingles):
+def _number(batches, page_sets, page_shingles, first):
     """Cuts the sorted members of clusters into pages, between clusters where a page allows it."""
     from pyspark import TaskContext
 
-    page, sets, total = TaskContext.get().partitionId() << 32, 0, 0
+    page, sets, total = (TaskContext.get().partitionId() * 2 + first) << 31, 0, 0
     for batch in batches:
         cluster, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         out = np.empty(len(cluster), dtype=np.int64)
@@ -354,8 +354,16 @@ def _boxes(batches, size):
 
 
 def _pages(members: DataFrame, limits: tuple[int, int]) -> DataFrame:
-    m = members.select("cluster", "n", "doc_id").repartitionByRange(F.col("cluster"), F.col("n"), F.col("doc_id")).sortWithinPartitions("cluster", "n", "doc_id")
-    return stored(m.mapInArrow(lambda it: _number(it, *limits), "cluster long, n long, doc_id long, page long"), "pages")
+    """Pages of whole clusters, several to a page; a cluster beyond the limits is spread in order of size over pages of its own."""
+    m = members.select("cluster", "n", "doc_id")
+    large = m.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where((F.col("k") > limits[0]) | (F.col("s") > limits[1])).where("k > 1")
+    large = stored(large.select(F.col("cluster").alias("c")), "large")
+    number = lambda d, first: d.mapInArrow(lambda it: _number(it, *limits, first), "cluster long, n long, doc_id long, page long")
+    key = ["cluster", "n", "doc_id"]
+    out = number(m.join(large, F.col("cluster") == F.col("c"), "left_anti").repartition("cluster").sortWithinPartitions(*key), 0)
+    if not large.isEmpty():
+        out = out.union(number(m.join(large, F.col("cluster") == F.col("c"), "left_semi").repartitionByRange(*key).sortWithinPartitions(*key), 1))
+    return stored(out, "pages")
 
 
 def jaccard_links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, limits: tuple[int, int] = (PAGE_SETS, PAGE_SHINGLES)) -> tuple[DataFrame, DataFrame]:
