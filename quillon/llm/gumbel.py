@@ -26,7 +26,7 @@ from .common import rows, texts
 
 SPACE = "▁"
 #: Lattice nodes a worker keeps.
-NODES = 1_500_000
+NODES = 3_000_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)]
 
 
@@ -109,8 +109,8 @@ class Lattices:
         self.base: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
         self.first, self.many = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.cum, self.p, self.log, self.other = (np.zeros(1 << 17, np.float32) for _ in range(4))
-        self.to, self.piece, self.node = (np.zeros(1 << 17, np.int32) for _ in range(3))
+        self.cum, self.log, self.other = (np.zeros(1 << 17, np.float32) for _ in range(3))
+        self.to, self.piece = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32)
 
     def _room(self, names, used, more):
         if used + more > len(getattr(self, names[0])):
@@ -170,14 +170,13 @@ class Lattices:
             beside = p.copy()
             beside[f] = 0.0
             other[f] = np.log(np.add.reduceat(beside, f))
-        p[f[many == 1]], log[f[many == 1]] = 1.0, 0.0
+        log[f[many == 1]] = 0.0
         self._room(("first", "many"), self.n_nodes, len(text))
-        self._room(("cum", "p", "log", "other", "to", "piece", "node"), self.n_edges, len(src))
+        self._room(("cum", "log", "other", "to", "piece"), self.n_edges, len(src))
         n, e = slice(self.n_nodes, self.n_nodes + len(text)), slice(self.n_edges, self.n_edges + len(src))
         self.first[n], self.many[n] = f + self.n_edges, many
-        self.cum[e], self.p[e], self.log[e], self.other[e], self.piece[e] = cum, p, log, other, piece
+        self.cum[e], self.log[e], self.other[e], self.piece[e] = cum, log, other, piece
         self.to[e] = np.where(done, -1, dst + self.n_nodes)
-        self.node[e] = src + self.n_nodes
         self.base.update(zip(units, (np.cumsum(size) - size + self.n_nodes).tolist()))
         self.n_nodes += len(text)
         self.n_edges += len(src)
@@ -259,18 +258,18 @@ def _turn(lat, row, d, paths, sample):
         return None
     at = int(x.open.argmax())
     gone = x.gone.setdefault(at, [int(x.edges[at])])
-    node = lat.node[x.edges[at]]
+    node = int(np.searchsorted(lat.first[: lat.n_nodes], np.int32(x.edges[at]), side="right")) - 1
     rest = [e for e in range(lat.first[node], lat.first[node] + lat.many[node]) if e not in gone]
     if not rest:
         x.open[at] = -np.inf
         return _turn(lat, row, d, paths, sample)
-    p = np.cumsum(lat.p[rest])
+    p = np.cumsum(np.exp(lat.log[rest].astype(np.float64)))
     u = uniform(row[d : d + 1] + _times(sample, _M[4]) + _M[1])[0]
     new = rest[min(int(np.searchsorted(p, u * p[-1], side="right")), len(rest) - 1)]
     gone.append(new)
     log = float(lat.log[x.edges[:at]].sum(dtype=np.float64))
     left = [e for e in rest if e != new]
-    x.open[at] = trunc(log + np.log(lat.p[left].sum()) + _noise(row[d : d + 1], sample + 1000, np.array([at]))[0], score) if left else -np.inf
+    x.open[at] = trunc(log + np.log(np.exp(lat.log[left].astype(np.float64)).sum()) + _noise(row[d : d + 1], sample + 1000, np.array([at]))[0], score) if left else -np.inf
     done = int((lat.to[x.edges[:at]] < 0).sum())
     return d, np.append(x.edges[:at], new), log + float(lat.log[new]), int(lat.to[new]), done + 1, float(score)
 
