@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -62,6 +65,32 @@ def crc_mod_col(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps from task to task, ``make()`` the first time; one thing at once, whatever operator asks.
+
+    Workers outlive tasks and run all operators' tasks in turn: what one has gathered goes, back to the
+    system too, when another begins. held(None, None) keeps nothing.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        if key is not None:
+            _held[key] = make()
+    return _held.get(key)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], most_rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, most_rows):
+            yield batch.slice(at, most_rows)
+
+
 def rows(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes: int = 24 << 20):
     """(ids, texts) lists of bounded size from (doc_id, text) batches."""
     for batch in batches:

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, texts
+from .common import held, rows, sliced, texts
 
 SPACE = "▁"
 #: Lattice nodes a worker keeps.
-NODES = 3_000_000
+NODES = 1_500_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)]
 
 
@@ -315,13 +315,8 @@ OUT = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list
 DDL = "doc_id long, sample int, ids array<int>, log_prob double, score double, inclusion double"
 
 
-@lru_cache(maxsize=1)
-def _lattices(path: str, alpha: float) -> Lattices:
-    return Lattices(_vocabulary(path, alpha))
-
-
 def _sampled(batches, path, k, alpha, seed):
-    lat = _lattices(path, alpha)
+    lat = held(("lattices", path, alpha), lambda: Lattices(_vocabulary(path, alpha)))
     for keys, raw in rows(batches, most_rows=200, most_bytes=400_000):
         docs, number, flat, sizes, log, score, inc = [], [], [], [], [], [], []
         for d, (paths, bound) in zip(keys, sample_batch(lat, [d or 0 for d in keys], [t.decode() for t in raw], k, seed)):
@@ -346,7 +341,7 @@ def sampled(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, seed: i
 
 def _decoded(batches, path, alpha):
     v = _vocabulary(path, alpha)
-    for batch in batches:
+    for batch in sliced(batches):
         ids = batch.column(2)
         flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
         text = [v.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
@@ -361,7 +356,7 @@ def decoded(found: DataFrame, model: str) -> DataFrame:
 
 def _digests(batches, model):
     v = _vocabulary(model, 1.0)
-    for batch in batches:
+    for batch in sliced(batches):
         ids = batch.column(2)
         flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
         crc = [zlib.crc32(flat[a:b].astype("<i4").tobytes()) for a, b in zip(ends, ends[1:])]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, in_place, stored, texts
+from .common import SPACES, held, in_place, sliced, stored, texts
 
 #: Bytes of the digits in the first round, and how many times as many the next one has.
 FIRST, WIDER = 16, 4
@@ -46,25 +46,25 @@ def split_equal(items: list[bytes]) -> list[list[int]]:
 
 def _settle(batches):
     """Rows sorted by digits in, their groups out; holds the rows of one digit group at a time."""
-    key, held = None, []
+    key, group_rows = None, []
 
     def judged():
-        for group in split_equal([x[3] for x in held]) if len(held) > 1 else [[0]] * bool(held):
-            best = min(group, key=lambda i: (-held[i][2], held[i][0] is not None, held[i][0] or 0, held[i][1]))
-            sha = hashlib.sha256(held[best][3]).hexdigest()
+        for group in split_equal([x[3] for x in group_rows]) if len(group_rows) > 1 else [[0]] * bool(group_rows):
+            best = min(group, key=lambda i: (-group_rows[i][2], group_rows[i][0] is not None, group_rows[i][0] or 0, group_rows[i][1]))
+            sha = hashlib.sha256(group_rows[best][3]).hexdigest()
             for i in group:
-                yield held[i][0], held[i][1], held[best][0], len(group), i == best, sha
+                yield group_rows[i][0], group_rows[i][1], group_rows[best][0], len(group), i == best, sha
 
     def batch(found):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], names=["doc_id", "uid", "keep_id", "group_size", "kept", "text_sha256"])
 
     out = []
-    for b in batches:
+    for b in sliced(batches):
         for k, ended, *row in zip(*(c.to_pylist() for c in b.columns)):
             if (k, ended) != key:
                 out += judged()
-                key, held = (k, ended), []
-            held.append(row)
+                key, group_rows = (k, ended), []
+            group_rows.append(row)
         if len(out) > 5000:
             yield batch(out)
             out = []
@@ -74,7 +74,8 @@ def _settle(batches):
 
 
 def _normalised(batches):
-    for batch in batches:
+    held(None, None)
+    for batch in sliced(batches):
         text = batch.column(2).to_pylist()
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.decode()) for t in text], pa.int64()), pa.array([t.translate(None, _SPACES) for t in text], pa.binary())], names=["doc_id", "uid", "n_cp", "norm"])
 

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, rows, stored, texts
+from .common import held as keep_nothing
+from .common import components, rows, sliced, stored, texts
 
 GROUPS, FANOUT = 64, 16
 #: Of a page: sets and shingles at most (a single larger set is a page of its own).
@@ -196,6 +197,7 @@ SETS = "doc_id long, n long, digest binary, many binary"
 
 def _digests(batches, size):
     """A row for each set, and rows without one of the shingles that are common in some thousand documents, with counts."""
+    keep_nothing(None, None)
     held, docs = [], 0
 
     def common():
@@ -316,7 +318,7 @@ def _number(batches, page_sets, page_shingles, first):
 def _groups(batches, key):
     """Lists of rows (tuples) with the same first value, from rows sorted by it."""
     held, at = [], None
-    for batch in batches:
+    for batch in sliced(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[0] != at and held:
                 yield held

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import held, sliced, texts
 
 WINDOW = 10
 #: Item words in one automaton; a larger benchmark is taken in several blocks, each against all documents.
@@ -187,7 +187,7 @@ schema_arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_wor
 
 def _scan(batches, sent, window, schema):
     automaton = SuffixAutomaton([(n, item_words(t)) for n, t in sent.value] if sent else [], window)
-    for batch in batches:
+    for batch in sliced(batches):
         had = batch.select(["spans", "items", "longest"]).to_pylist()
         ids, text = batch.column(0), batch.column(1)
         n, spans, items, longest = [], [], [], []
@@ -229,8 +229,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def _clean(batches, sent, window, most):
+    held(None, None)
     automaton = SuffixAutomaton([(n, item_words(t)) for n, t in sent.value], window)
-    for batch in batches:
+    for batch in sliced(batches):
         at = batch.schema.get_field_index("text")
         keep, new = [], []
         for t in batch.column(at).to_pylist():

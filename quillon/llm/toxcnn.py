@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod_col, rows, texts
+from .common import crc_mod_col, held, rows, sliced, texts
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 #: Coordinates of log-odds, and letters of a word's beginning.
@@ -225,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5,
 
 
 def _scored(batches, sent):
+    held(None, None)
     s = sent.value.net.scorer()
     for ids, text in rows(batches, most_rows=200, most_bytes=500_000):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.score(text))], names=["doc_id", "score"])
@@ -243,14 +244,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int
 
 
 def _kept(batches, sent):
+    held(None, None)
     c, s = sent.value, sent.value.net.scorer()
-    for batch in batches:
+    for batch in sliced(batches, 200):
         text = [(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
         at = batch.schema.get_field_index("lang")
         lang = batch.column(at).to_pylist() if at >= 0 else [None] * len(text)
-        keep = []
-        for k in range(0, len(text), 200):
-            keep += [not c.rejects(p, x) for p, x in zip(s.score(text[k : k + 200]), lang[k : k + 200])]
+        keep = [not c.rejects(p, x) for p, x in zip(s.score(text), lang)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
