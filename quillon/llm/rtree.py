@@ -15,6 +15,7 @@ whose boxes allow a link. Links come as a spanning forest; no group's pairs are
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -289,11 +290,11 @@ def _met(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def _number(batches, page_sets, page_shingles, first):
+def _number(batches, page_sets, page_shingles):
     """Cuts the sorted members of clusters into pages, between clusters where a page allows it."""
     from pyspark import TaskContext
 
-    page, sets, total = (TaskContext.get().partitionId() * 2 + first) << 31, 0, 0
+    page, sets, total = TaskContext.get().partitionId() << 32, 0, 0
     for batch in batches:
         cluster, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         out = np.empty(len(cluster), dtype=np.int64)
@@ -355,16 +356,19 @@ def _boxes(batches, size):
         yield pa.RecordBatch.from_pylist([{"page": group[0][0], "cluster": group[0][1], "low": min(map(len, sets)), "high": np.stack([vector(s) for s in sets]).max(0).tolist()}])
 
 
-def _pages(members: DataFrame, limits: tuple[int, int]) -> DataFrame:
-    """Pages of whole clusters, several to a page; a cluster beyond the limits is spread in order of size over pages of its own."""
+def _pages(members: DataFrame, limits: tuple[int, int], num: int, den: int) -> DataFrame:
+    """Pages of whole clusters, several to a page; a cluster beyond the limits is spread over pages of its own, by class
+    of size and, within a class, by hash over as many pages as the limits ask for."""
     m = members.select("cluster", "n", "doc_id")
     large = m.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where((F.col("k") > limits[0]) | (F.col("s") > limits[1])).where("k > 1")
     large = stored(large.select(F.col("cluster").alias("c")), "large")
-    number = lambda d, first: d.mapInArrow(lambda it: _number(it, *limits, first), "cluster long, n long, doc_id long, page long")
-    key = ["cluster", "n", "doc_id"]
-    out = number(m.join(large, F.col("cluster") == F.col("c"), "left_anti").repartition("cluster").sortWithinPartitions(*key), 0)
+    small = m.join(large, F.col("cluster") == F.col("c"), "left_anti").repartition("cluster").sortWithinPartitions("cluster", "n", "doc_id")
+    out = small.mapInArrow(lambda it: _number(it, *limits), "cluster long, n long, doc_id long, page long")
     if not large.isEmpty():
-        out = out.union(number(m.join(large, F.col("cluster") == F.col("c"), "left_semi").repartitionByRange(*key).sortWithinPartitions(*key), 1))
+        rest = m.join(large, F.col("cluster") == F.col("c"), "left_semi").withColumn("size", F.floor(F.log("n") / math.log(den / num)))
+        parts = rest.groupBy("cluster", "size").agg(F.ceil(F.greatest(F.count("*") / limits[0], F.sum("n") / limits[1])).alias("p"))
+        spread = rest.join(parts, ["cluster", "size"]).select("cluster", "n", "doc_id", F.xxhash64("cluster", "size", F.pmod(F.xxhash64("doc_id"), "p")).alias("page"))
+        out = out.union(spread)
     return stored(out, "pages")
 
 
@@ -402,7 +406,7 @@ def jaccard_links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
 def _verified(base: DataFrame, members: DataFrame, links: DataFrame, size: int, num: int, den: int, limits: tuple[int, int]) -> DataFrame:
     with_text = lambda p: p.join(base, "doc_id")
     sorted_by = lambda d, key: d.repartition(key).sortWithinPartitions(key)
-    pages = _pages(members, limits)
+    pages = _pages(members, limits, num, den)
     inside = lambda p: sorted_by(with_text(p).select("page", "cluster", "doc_id", "text"), "page").mapInArrow(lambda it: _joined(it, size, num, den), "a long, b long")
     links = links.union(stored(inside(pages), "links"))
     split = stored(pages.groupBy("cluster").agg(F.countDistinct("page").alias("k")).where("k > 1").select("cluster"), "split")
@@ -420,13 +424,13 @@ def _verified(base: DataFrame, members: DataFrame, links: DataFrame, size: int,
         if last is not None and left > 0.9 * last:
             break
         last = left
-        links = links.union(stored(inside(_pages(leaders, limits)), "links"))
+        links = links.union(stored(inside(_pages(leaders, limits, num, den)), "links"))
     # exact: whatever is outside its cluster's largest component, against all of the cluster
     counts = placed.groupBy("cluster", "component").count()
     main = counts.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("x"), F.count("*").alias("k")).where("k > 1").select("cluster", F.col("x.component").alias("main"))
     open_ = stored(placed.join(main, "cluster"), "open")
     rest = open_.where("component <> main")
-    asked = _pages(rest, limits).withColumnRenamed("page", "ask").join(rest.select("doc_id", "component"), "doc_id")
+    asked = _pages(rest, limits, num, den).withColumnRenamed("page", "ask").join(rest.select("doc_id", "component"), "doc_id")
     boxes = lambda p, key: sorted_by(with_text(p).select(F.col(key).alias("page"), "cluster", "doc_id", "text"), "page").mapInArrow(lambda it: _boxes(it, size), "page long, cluster long, low long, high array<long>")
     left_box = asked.select("ask", "cluster").distinct().join(stored(boxes(asked, "ask"), "boxes").select(F.col("page").alias("ask"), F.col("low").alias("l1"), F.col("high").alias("h1")), "ask")
     right_box = open_.select("page", "cluster").distinct().join(stored(boxes(open_, "page"), "boxes").select("page", F.col("low").alias("l2"), F.col("high").alias("h2")), "page")
