@@ -9,6 +9,8 @@ uncompressed Parquet table in ascending doc_id order, each with a self-contained
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, rows, texts
+from .common import held, new_path, rows, texts
 
 MAGIC, BLOCK = b"DAC1", 512
 #: Tokens of a segment, and distinct words whose ids a worker remembers.
@@ -146,31 +148,73 @@ class _Memo(dict):
             self.clear()
 
 
+#: Words of printable ASCII and single Latin letters, on which normalising is lower-casing alone.
+_SIMPLE = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+_LETTERS = "a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F"
+
+
+def _byte_marks() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from 256 on."""
+    out, more = [], 256
+    for b in range(256):
+        plain = 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD
+        out.append(chr(b) if plain else chr(more))
+        more += not plain
+    return out
+
+
 class _Words:
-    """Ids, as bytes, of words between ASCII white space; exact where the tokenizer drops white space."""
+    """Ids, as bytes, of words between ASCII white space; exact where the tokenizer drops white space.
+
+    Where the tokenizer lower-cases and its byte-level BPE takes letter runs, digits and runs of signs
+    each for itself, simple words are cut into these here and each distinct piece goes to the
+    library's BPE model once; all other words go through the library's whole encoding.
+    """
 
     def __init__(self, path: str):
-        self.tok, self.known = _tokenizer(path), _Memo()
+        self.tok, self.known, self.pieces = _tokenizer(path), _Memo(), _Memo()
+        d = json.loads(self.tok.to_str())
+        steps = [x.get("type") for x in (d.get("normalizer") or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex", "") for x in (d.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.simple = steps == ["NFC", "Replace", "Lowercase"] and len(split) == 2 and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in split[0] and d["model"]["type"] == "BPE"
+        endings = split[0].split("|[")[0] if self.simple else ""
+        self.cut = re.compile(f"{endings}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
+        self.marks = _byte_marks()
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
+    def _piece(self, p: str) -> bytes:
+        try:
+            return self.pieces[p]
+        except KeyError:
+            marked = p if p.isascii() else "".join(map(self.marks.__getitem__, p.encode()))
+            out = np.array([t.id for t in self.tok.model.tokenize(marked)], dtype="<u4").tobytes()
+            self.pieces[p] = out
+            return out
+
     def learn(self, texts: list[list[bytes]]) -> None:
-        """The words of these texts that are new: encoded as one text, and cut again where each word begins."""
-        self.known.room()
-        old = self.known.old
-        new = [w for w in {w for t in texts for w in t} if w not in self.known and w not in old]
-        for at in range(0, len(new), 2000):
-            part = [w.decode() for w in new[at : at + 2000]]
-            e = self.tok.encode(" ".join(part), add_special_tokens=False)
-            first = np.cumsum([0, *(len(w) + 1 for w in part)])
-            ids, starts = np.array(e.ids, dtype="<u4"), np.array([x for x, _ in e.offsets], dtype=np.int64)
+        """The words of these texts that are new; those that are not simple as one text, cut again where each word begins."""
+        self.known.room(), self.pieces.room()
+        known, old = self.known, self.known.old
+        rest = []
+        for w in set().union(*texts):
+            if w in known or w in old:
+                continue
+            s = w.decode()
+            if self.simple and _SIMPLE.fullmatch(s) and "<|" not in s:
+                known[w] = b"".join(map(self._piece, self.cut(s.lower())))
+            else:
+                rest.append((w, s))
+        for at in range(0, len(rest), 2000):
+            part = rest[at : at + 2000]
+            e = self.tok.encode(" ".join(s for _, s in part), add_special_tokens=False)
+            first = np.cumsum([0, *(len(s) + 1 for _, s in part)])
+            starts = np.array([x for x, _ in e.offsets], dtype=np.int64)
             cuts = np.searchsorted(starts, first).tolist()
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new[at : at + 2000], cuts, cuts[1:]))
-
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            known.update((w, raw[4 * a : 4 * b]) for (w, _), a, b in zip(part, cuts, cuts[1:]))
 
-_words = lru_cache(maxsize=1)(_Words)
 
 SEGMENTS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_sizes", pa.binary()), ("image", pa.binary())])
 
@@ -179,7 +223,7 @@ def _tokenised(batches, path, bounds, end_id, by_word):
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1)
-    words = _words(path)
+    words = held(("words", path), lambda: _Words(path))
     cuts, end = np.array(bounds, dtype=np.int64), np.array([end_id], dtype="<u4").tobytes()
     for ids, text in rows(batches):
         if by_word:
