@@ -50,14 +50,22 @@ def _unpack(data, n: int, width: int) -> np.ndarray:
 
 def encode(ids: np.ndarray) -> bytes:
     """The image of one segment."""
-    values, place, counts = np.unique(ids.astype(np.uint32), return_inverse=True, return_counts=True)
+    ids = ids.astype(np.uint32)
+    if len(ids) and ids.max() < 1 << 20:  # a vocabulary: count by id
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts).astype(np.uint32)
+        counts = counts[values]
+        place = np.zeros(int(ids.max()) + 1, dtype=np.uint32)
+        place[values] = np.arange(len(values), dtype=np.uint32)
+        place = place[ids]
+    else:
+        values, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(values), dtype=np.uint32)
     rank[order] = np.arange(len(values), dtype=np.uint32)
     codes = rank[place]
-    bits = np.zeros(len(codes), dtype=np.int64)
-    for b in range(32):
-        bits += codes >= (1 << b)
+    length = np.ceil(np.log2(np.arange(len(values)) + 1.0)).astype(np.uint8)  # bits of each rank
+    bits = length[codes]
     widths = _widths(np.bincount(bits, minlength=2).tolist()) if len(codes) else []
     out = [MAGIC, struct.pack("<III", len(codes), len(values), len(widths)), bytes(widths), values[order].astype("<u4").tobytes()]
     done = 0
