@@ -3,9 +3,12 @@
 States are the start of a text, the frequent words as histories, and the root. A kept bigram is an
 arc with its discounted log-probability; every history has a failure arc to the root, weighted with
 its backoff mass; the root's arcs are the smoothed unigrams. A text is scored in one traversal from
-left to right. Kept are n-grams of at least a fixed share of all training tokens, so however large
-the corpus, at most 1 / share of them exist and the automaton's size is bounded. The unigrams of all
-other words stay in a table and reach the documents by an equi-join.
+left to right. Every bigram of the training texts is an arc. Broadcast is the part of the automaton
+with n-grams of at least a fixed share of all training tokens, so however large the corpus, at most
+1 / share of them; the failure arcs in it weigh all arcs of their history. All other arcs, and the
+unigrams and failure arcs of all other words, stay in tables and reach the documents by equi-joins on
+(history, word) and on the word: a text is first scored as if it failed wherever the broadcast part
+has no arc, and each arc found adds what it weighs more. The shares do not change any score.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import crc_mod, rows, stored, texts
 WORD_SHARE, BIGRAM_SHARE = 2.0**-21, 2.0**-21
 DISCOUNT, ADD = 0.75, 0.1
 BITS = 22
+#: Ids of rare words in one batch count on from here.
+TOP = 1 << BITS
 #: The end of a text as a word; no text holds it, as words have no white space.
 END = b" "
 FLUSH = 400_000
@@ -53,9 +58,11 @@ class Automaton:
     """``words``: frequent words by id (END among them), ``counts``, then bigram keys ``h << BITS | w`` and their counts.
 
     The id of the start state is len(words); an id of -1 is a rare word, whose arc is not in here.
+    ``all_arcs``: for each state the number of all its arcs, their counts' sum and the sum of their words'
+    counts, where ``keys`` are a part of them.
     """
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, n_texts: int, keys: np.ndarray, pairs: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, n_texts: int, keys: np.ndarray, pairs: np.ndarray, all_arcs: np.ndarray | None = None):
         self.ids = {w: i for i, w in enumerate(words)}
         self.start = len(words)
         self.denominator = n + ADD * (v + 1)
@@ -67,9 +74,14 @@ class Automaton:
         of = np.append(counts, n_texts).astype(float)
         arc = (pairs - DISCOUNT) / of[h]
         self.arcs = np.log10(arc)
-        kept, base = np.bincount(h, arc, self.start + 1), np.bincount(h, p[w], self.start + 1)
+        if all_arcs is None:
+            kept, base = np.bincount(h, arc, self.start + 1), np.bincount(h, p[w], self.start + 1)
+        else:
+            many, seen, words_seen = all_arcs
+            kept, base = (seen - DISCOUNT * many) / np.maximum(of, 1), (words_seen + ADD * many) / self.denominator
         left = np.where(base < 1, (1 - kept) / np.maximum(1 - base, 1e-12), 1.0)
         self.fail = np.append(np.log10(np.maximum(left, 1e-12)), 0.0)  # [-1]: the root needs no failure arc
+        self.of = of
 
     def step(self, state: int, word: int) -> tuple[int, float]:
         """The next state and the weight of getting there, failure arc included (rare words: without their unigram)."""
@@ -82,70 +94,127 @@ class Automaton:
 
     def traverse(self, ids: np.ndarray, states: np.ndarray) -> np.ndarray:
         """The weights of many steps at once; states[i] is where the traversal stands before ids[i]."""
-        out = self.fail[states] + self.uni[ids]
+        return self.weights(ids, states, self.find(ids, states))
+
+    def find(self, ids: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """Places of the steps' arcs; -1 where there is none here."""
+        out = np.full(len(ids), -1)
         both = np.flatnonzero((states >= 0) & (ids >= 0))
         if len(self.keys) and len(both):
             key = states[both] << BITS | ids[both]
             k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[k] == key
-            out[both[hit]] = self.arcs[k[hit]]
+            out[both] = np.where(self.keys[k] == key, k, -1)
+        return out
+
+    def weights(self, ids: np.ndarray, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        out = self.fail[states] + self.uni[ids]
+        hit = arcs >= 0
+        out[hit] = self.arcs[arcs[hit]]
         return out
 
 
-def _coded(text: list[bytes], ids: dict[bytes, int], start: int):
-    """Words of each text, and flat arrays: word ids with the end of each text, the states before them, sizes."""
+def _coded(text: list[bytes], ids: dict[bytes, int], start: int, rare: dict[bytes, int]):
+    """Flat arrays over the texts: word ids with the end of each text, the states before them; and sizes. Rare words get their ids in ``rare``."""
     words = [[*words_of(t), END] for t in text]
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    get = ids.get
-    flat = np.fromiter((get(w, -1) for ws in words for w in ws), dtype=np.int64, count=int(sizes.sum()))
+    get, put = ids.get, rare.setdefault
+    flat = np.fromiter((i if (i := get(w)) is not None else put(w, TOP + len(rare)) for ws in words for w in ws), dtype=np.int64, count=int(sizes.sum()))
     states = np.empty_like(flat)
     states[1:] = flat[:-1]
     states[np.cumsum(sizes) - sizes] = start
-    return words, flat, states, sizes
+    return flat, states, sizes
+
+
+def _names(ids: np.ndarray, rare: list[bytes]) -> pa.Array:
+    """What ids are called in tables: three bytes for a state of the automaton, byte 255 and the word for a rare one."""
+    place = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.int32)
+    place[ids] = 1
+    found = np.flatnonzero(place)
+    place[found] = np.arange(len(found))
+    names = [i.to_bytes(3, "big") if i < TOP else b"\xff" + rare[i - TOP] for i in found.tolist()]
+    return pa.array(names, pa.binary()).take(pa.array(place[ids]))
+
+
+def _is_rare(column: str):
+    return F.substring(column, 1, 1) == F.lit(b"\xff")
 
 
 def _bigrams(batches, sent, fold):
-    ids, start = sent.value
-    held, n = [], 0
+    """(h, w, cw, c): names of history and word, the word's count (0: rare, comes by a join), how often."""
+    ids, counts = sent.value
+    held, n, rare = [], 0, {}
 
     def out():
         keys, c = np.unique(np.concatenate(held), return_counts=True)
+        words = list(rare)
         for k in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000]), pa.array(c[k : k + 200_000])], names=["key", "c"])
+            h, w = keys[k : k + 200_000] >> 32, keys[k : k + 200_000] & 0xFFFFFFFF
+            cw = np.where(w < TOP, counts[np.minimum(w, len(counts) - 1)], 0)
+            yield pa.RecordBatch.from_arrays([_names(h, words), _names(w, words), pa.array(cw), pa.array(c[k : k + 200_000])], names=["h", "w", "cw", "c"])
 
     for docs, text in rows(batches):
         if text := [t for d, t in zip(docs, text) if not fold or crc_mod(d, fold) != 0]:
-            _, flat, states, _ = _coded(text, ids, start)
-            both = (flat >= 0) & (states >= 0)
-            held.append(states[both] << BITS | flat[both])
-            n += len(held[-1])
+            flat, states, _ = _coded(text, ids, len(ids), rare)
+            held.append(states << 32 | flat)
+            n += len(flat)
         if n > 6_000_000:
             yield from out()
             held, n = [], 0
+            rare.clear()
     if n:
         yield from out()
 
 
+def _ahead(batches, sent):
+    """(h, w, more) of arcs whose history is a state of the automaton: what the arc weighs more than failing there."""
+    a = sent.value
+    behind = np.log10(np.maximum(a.of, 1)) + a.fail[:-1]
+    for b in batches:
+        if b.num_rows:
+            h = b.column(0)
+            at = int(np.frombuffer(h.buffers()[1], dtype=np.int32)[h.offset])
+            parts = np.frombuffer(h.buffers()[2], dtype=np.uint8)[at : at + 3 * b.num_rows].reshape(-1, 3).astype(np.int64)
+            cw, c = b.column(2).to_numpy(), b.column(3).to_numpy()
+            more = np.log10(c - DISCOUNT) - behind[parts @ [1 << 16, 1 << 8, 1]] - np.log10((cw + ADD) / a.denominator)
+            yield pa.RecordBatch.from_arrays([h, b.column(1), pa.array(more)], names=["h", "w", "more"])
+
+
+def _counted(who: np.ndarray, what: np.ndarray, n: int, size: int):
+    """How often each text has each thing: offsets by text, things, counts. ``what`` is less than ``size``."""
+    both, c = np.unique(who * max(size, 1) + what, return_counts=True)
+    doc, thing = np.divmod(both, max(size, 1))
+    return pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), thing, pa.array(c, pa.int32())
+
+
 def _scored(batches, sent, fold):
     a = sent.value
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            docs = part.column(0).to_pylist()
-            words, flat, states, sizes = _coded(part.column(1).to_pylist(), a.ids, a.start)
+            docs, rare = part.column(0).to_pylist(), {}
+            own, before, sizes = _coded(part.column(1).to_pylist(), a.ids, a.start, rare)
+            words = list(rare)
+            flat, states = np.where(own < TOP, own, -1), np.where(before < TOP, before, -1)
+            arcs = a.find(flat, states)
             first = np.cumsum(sizes) - sizes
-            score, base = np.add.reduceat(a.traverse(flat, states), first), np.add.reduceat(a.uni[flat], first)
+            score, base = np.add.reduceat(a.weights(flat, states, arcs), first), np.add.reduceat(a.uni[flat], first)
             known = np.add.reduceat((flat >= 0).astype(np.int64), first)
-            rare = []
-            for ws, x, y in zip(words, first.tolist(), (first + sizes).tolist()):
-                rare.append(list(Counter(ws[i] for i in np.flatnonzero(flat[x:y] < 0).tolist()).items()))
+            who = np.repeat(np.arange(len(docs)), sizes)
+            left, few = np.flatnonzero(arcs < 0), np.flatnonzero(flat < 0)
+            pairs, which = np.unique(before[left] << 32 | own[left], return_inverse=True)
+            to, pair, n = _counted(who[left], which, len(docs), len(pairs))
+            h, w = (_names(x, words).take(pa.array(pair)) for x in (pairs >> 32, pairs & 0xFFFFFFFF))
+            pairs = pa.ListArray.from_arrays(to, pa.StructArray.from_arrays([h, w, n], fields=list(PAIRS.value_type)))
+            to, word, n = _counted(who[few], own[few] - TOP, len(docs), len(words))
+            rare = pa.ListArray.from_arrays(to, pa.StructArray.from_arrays([_names(word + TOP, words), n], fields=list(RARE.value_type)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), part.column(2), pa.array([fold > 0 and crc_mod(d, fold) == 0 for d in docs]), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score), pa.array([[{"word": w, "n": n} for w, n in r] for r in rare], RARE)],
-                names=["doc_id", "uid", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                [part.column(0), part.column(2), pa.array([fold > 0 and crc_mod(d, fold) == 0 for d in docs]), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score), rare, pairs],
+                names=["doc_id", "uid", "held_out", "n_tokens", "known", "base", "score", "rare", "pairs"],
             )
 
 
 RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+PAIRS = pa.list_(pa.struct([("h", pa.binary()), ("w", pa.binary()), ("n", pa.int32())]))
 
 
 def scores(docs: DataFrame, fold: int = 10, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE) -> DataFrame:
@@ -153,32 +222,54 @@ def scores(docs: DataFrame, fold: int = 10, word_share: float = WORD_SHARE, bigr
 
     Learns from the rows whose crc32 of doc_id modulo ``fold`` is not 0 (all rows if fold is 0). Null
     text is empty: its end is its one token. Repeated rows count and are scored each; without
-    training rows every token is unknown and both scores are those of an empty count table.
+    training rows every token is unknown and both scores are those of an empty count table. The
+    shares bound what is broadcast; all words and bigrams count, whatever they are.
     """
     spark = docs.sparkSession
     base = texts(docs)
     uni = stored(base.mapInArrow(lambda it: _unigrams(it, fold), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "unigrams")
     n, v, n_texts = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
     # at most 1 / word_share rows
-    frequent = uni.where((F.col("c") >= max(1, n * word_share)) | (F.col("word") == F.lit(END))).toArrow()
+    often = (F.col("c") >= max(1, n * word_share)) | (F.col("word") == F.lit(END))
+    frequent = uni.where(often).toArrow()
     words = frequent.column("word").to_pylist()
     counts = frequent.column("c").to_numpy()
     if END not in words:
         words, counts = [*words, END], np.append(counts, 0)
     assert len(words) < 1 << BITS
-    ids = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, len(words)))
-    pairs = base.mapInArrow(lambda it: _bigrams(it, ids, fold), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    denominator = n + ADD * (v + 1)
+    ids = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, counts))
+    pairs = stored(base.mapInArrow(lambda it: _bigrams(it, ids, fold), "h binary, w binary, cw long, c long").groupBy("h", "w", "cw").agg(F.sum("c").alias("c")), "bigrams", compression="zstd")
+    few = uni.where(~often).select(F.concat(F.lit(b"\xff"), "word").alias("w"), F.col("c").alias("cw"))
+    after_rare = stored(pairs.where(_is_rare("w")).drop("cw").join(few, "w").select("h", "w", "cw", "c"), "rare-words", compression="zstd")
+    arcs = pairs.where(~_is_rare("w")).unionByName(after_rare)
+    histories = stored(arcs.groupBy("h").agg(F.count("*").alias("many"), F.sum("c").alias("seen"), F.sum("cw").alias("words_seen")), "histories")
+    # at most 1 / word_share rows
+    of_states = histories.where(~_is_rare("h")).toArrow()
+    all_arcs = np.zeros((3, len(words) + 1))
+    all_arcs[:, [int.from_bytes(h, "big") for h in of_states.column("h").to_pylist()]] = [of_states.column(k).to_numpy() for k in ("many", "seen", "words_seen")]
+    sent_along = ~_is_rare("h") & ~_is_rare("w") & (F.col("c") >= max(1, n * bigram_share))
     # at most 1 / bigram_share rows
-    kept = pairs.where(F.col("c") >= max(1, n * bigram_share)).toArrow()
-    automaton = Automaton(words, counts, n, v, n_texts, kept.column("key").to_numpy().astype(np.int64), kept.column("c").to_numpy())
+    kept = pairs.where(sent_along).toArrow()
+    h, w = (np.array([int.from_bytes(x, "big") for x in kept.column(k).to_pylist()], dtype=np.int64) for k in ("h", "w"))
+    automaton = Automaton(words, counts, n, v, n_texts, h << BITS | w, kept.column("c").to_numpy(), all_arcs)
     sent = spark.sparkContext.broadcast(automaton)
     whole = texts(docs).withColumn("uid", F.monotonically_increasing_id())
-    schema = "doc_id long, uid long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:binary,n:int>>"
-    done = whole.mapInArrow(lambda it: _scored(it, sent, fold), schema)
-    rare = done.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n")
-    low, denominator = math.log10(ADD / automaton.denominator), automaton.denominator
-    weight = F.when(F.col("c").isNull(), F.lit(low)).otherwise(F.log10((F.col("c") + ADD) / denominator))
-    sums = rare.join(uni, "word", "left").groupBy("uid").agg(F.sum(F.col("n") * weight).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
-    out = done.drop("rare").join(sums, "uid", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0)) - F.lit(int(n == 0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    schema = "doc_id long, uid long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:binary,n:int>>, pairs array<struct<h:binary,w:binary,n:int>>"
+    done = stored(whole.mapInArrow(lambda it: _scored(it, sent, fold), schema), "scored", compression="zstd")
+
+    unigram = lambda c: F.log10((F.col(c) + F.lit(ADD)) / F.lit(denominator))
+    share = (F.col("words_seen") + F.lit(ADD) * F.col("many")) / F.lit(denominator)
+    mass = F.when(share < 1, F.lit(DISCOUNT) * F.col("many") / F.col("seen") / F.greatest(1 - share, F.lit(1e-12))).otherwise(F.lit(1.0))
+    of_rare = histories.where(_is_rare("h")).select("h", "seen", F.log10(F.greatest(mass, F.lit(1e-12))).alias("fail"))
+    from_states = arcs.where(~_is_rare("h") & ~sent_along).mapInArrow(lambda it: _ahead(it, sent), "h binary, w binary, more double")
+    from_rare = arcs.where(_is_rare("h")).join(of_rare, "h").select("h", "w", (F.log10(F.col("c") - F.lit(DISCOUNT)) - F.log10("seen") - F.col("fail") - unigram("cw")).alias("more"))
+    steps = done.select("uid", F.explode("pairs").alias("r")).select("uid", "r.h", "r.w", "r.n")
+    found = steps.join(from_states.unionByName(from_rare), ["h", "w"]).select("uid", F.lit(0.0).alias("base"), (F.col("n") * F.col("more")).alias("score"), F.lit(0).alias("seen"))
+    rare = done.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("h"), "r.n")
+    weight = F.when(F.col("seen").isNull(), F.lit(math.log10(ADD / denominator))).otherwise(unigram("seen"))
+    single = rare.join(of_rare, "h", "left").select("uid", (F.col("n") * weight).alias("base"), (F.col("n") * (weight + F.coalesce("fail", F.lit(0.0)))).alias("score"), F.when(F.col("seen") > 0, F.col("n")).otherwise(0).alias("seen"))
+    sums = found.unionByName(single).groupBy("uid").agg(F.sum("base").alias("more_base"), F.sum("score").alias("more"), F.sum("seen").alias("seen"))
+    out = done.drop("rare", "pairs").join(sums, "uid", "left")
+    none = F.lit(0.0)
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0)) - F.lit(int(n == 0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", none)).alias("base_score"), (F.col("score") + F.coalesce("more", none)).alias("score"))

@@ -471,3 +471,29 @@ def test_automaton_is_a_distribution():
         state, x = a.step(state, w)
         want.append(x)
     assert np.allclose(a.traverse(ids, np.append(4, ids[:-1])), want)
+
+
+@pytest.mark.parametrize("word_share, bigram_share", [(0.003, 0.003), (0.0, 0.02)])
+def test_lm_scores_of_all_bigrams(docs, pairs, word_share, bigram_share):
+    """Whatever the shares, the scores are those of a model with every bigram of the training texts."""
+    words = lambda t: text_of(t).lower().split() + [backoff.END]
+    c, arcs = Counter(), defaultdict(Counter)
+    for d, t in pairs:
+        if crc(d) % 10:
+            for h, w in zip([None, *words(t)], words(t)):
+                c[w] += 1
+                arcs[h][w] += 1
+    n, v = sum(c.values()), len(c)
+    uni = lambda w: (c[w] + backoff.ADD) / (n + backoff.ADD * (v + 1))
+
+    def step(h, w):
+        total = sum(arcs[h].values())
+        if arcs[h][w]:
+            return math.log10((arcs[h][w] - backoff.DISCOUNT) / total)
+        rest = [x for x in arcs[h] if arcs[h][x]]
+        left = backoff.DISCOUNT * len(rest) / total / (1 - sum(map(uni, rest))) if total else 1
+        return math.log10(left * uni(w))
+
+    want = Counter((d, round(sum(step(h, w) for h, w in zip([None, *words(t)], words(t))), 5)) for d, t in pairs)
+    got = backoff.scores(docs, word_share=word_share, bigram_share=bigram_share).collect()
+    assert Counter((x.doc_id, round(x.score, 5)) for x in got) == want
