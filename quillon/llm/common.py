@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
 import tempfile
 import uuid
 import zlib
@@ -41,18 +40,12 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_place(docs: DataFrame) -> DataFrame:
-    """``docs`` if each execution reads the same rows in the same partition; else a table of them."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    nodes = {x for line in plan.splitlines() if (x := re.sub(r"^[\s:+*|-]*(\(\d+\))?\s*|\W.*$", "", line))}
-    return docs if nodes <= {"Project", "ColumnarToRow", "FileScan", "LocalTableScan", "Scan", "BatchScan"} else stored(docs, "in-place")
-
-
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text as binary); null text is empty. Further columns, whatever their names, are left out."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """(doc_id, text as binary, ``more``); null text is empty. Further columns, whatever their names, are left out."""
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"),
+        *[col.alias(name) for name, col in more.items()],
     )
 
 

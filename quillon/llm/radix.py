@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, held, in_place, sliced, stored, texts
+from .common import SPACES, held, sliced, stored, texts
 
 #: Bytes of the digits in the first round, and how many times as many the next one has.
 FIRST, WIDER = 16, 4
@@ -80,18 +80,18 @@ def _normalised(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.decode()) for t in text], pa.int64()), pa.array([t.translate(None, _SPACES) for t in text], pa.binary())], names=["doc_id", "uid", "n_cp", "norm"])
 
 
-def exact_groups(docs: DataFrame, group_bytes: int | None = None, group_rows: int | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, group_bytes: int | None = None, group_rows: int | None = None, uid_col: str | None = None) -> DataFrame:
     """(doc_id, uid, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``.
 
     Texts are equal when the same after deleting ASCII white space; null counts as empty, so null,
     empty and blank texts are one group. The row with most code points stays, then the one with the
     smallest doc_id (null first), then the first of repeated rows; exactly one row of a group has
-    kept = true. uid is the row's place in the input. Other columns are left out. Groups beyond
+    kept = true. uid is the row's place in the input, or ``uid_col`` where one is named. Other columns are left out. Groups beyond
     ``group_bytes`` or ``group_rows`` (default: a quarter of a shuffle partition's share, within
     fixed bounds) are split by a further round.
     """
     spark = docs.sparkSession
-    base = texts(docs).select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
+    base = texts(docs, uid=F.col(uid_col) if uid_col else F.monotonically_increasing_id()).select("doc_id", "uid", "text")
     norm = base.mapInArrow(_normalised, "doc_id long, uid long, n_cp long, norm binary")
     digits = lambda n: F.substring("norm", 1, n)
     base = stored(norm.withColumns({"size": F.octet_length("norm"), "key": digits(FIRST)}), "normalised", compression="zstd")
@@ -123,7 +123,7 @@ def exact_groups(docs: DataFrame, group_bytes: int | None = None, group_rows: in
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept; see exact_groups."""
-    base = in_place(docs)
-    marked = base.withColumn("__uid", F.monotonically_increasing_id())
-    gone = exact_groups(base).where(~F.col("kept")).select(F.col("uid").alias("__gone"))
+    # a table, as a second reading of the input may number its rows otherwise
+    marked = stored(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered", compression="zstd")
+    gone = exact_groups(marked, uid_col="__uid").where(~F.col("kept")).select(F.col("uid").alias("__gone"))
     return marked.join(gone, F.col("__uid") == F.col("__gone"), "left_anti").drop("__uid")

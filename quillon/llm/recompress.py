@@ -7,19 +7,22 @@ executors. Each window of words is represented by one interior symbol of its hig
 neighbours, chosen by the window's content alone; a Spark round tells which such names several
 documents share, and a second one verifies the windows themselves and finds their first document.
 
-Both rounds answer to the partition a question came from, by tables in the shared folder, so
-documents are read in place three times and their texts are never shuffled.
+Both rounds answer to the part of the documents a question came from, by tables in the shared folder,
+so texts are never shuffled. Documents are first written as a table in which every row has the label
+of its part; what partitions later jobs read that table in doesn't matter.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_place, new_path, rows, texts
+from .common import new_path, rows, stored, texts
 
 WINDOW, ROUNDS = 13, 1
 #: Names a task gathers before it sends them.
@@ -122,11 +125,23 @@ def anchors(batch: Batch, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.
     return at, who, chosen, whole
 
 
-def _sent(batches, size, rounds):
-    """(name, from): names of a task's windows; from is twice the partition, odd if two documents here have the name."""
-    from pyspark import TaskContext
+def _by_part(batches, each):
+    """What ``each`` makes of the rows of one part, (doc_id, text) batches and the part's label, for each run of them."""
+
+    def runs():
+        for batch in batches:
+            p = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield int(p[a]), batch.slice(a, b - a)
+
+    for p, found in groupby(runs(), key=lambda x: x[0]):
+        yield from each((batch for _, batch in found), p)
 
-    p = TaskContext.get().partitionId()
+
+def _sent(batches, p, size, rounds):
+    """(name, from): names of a part's windows; from is twice the part, odd if two documents here have the name."""
     held, n = [], 0
 
     def out():
@@ -171,7 +186,7 @@ def _runs(batches):
 
 
 def _shared(batches):
-    """The names several documents have, for each partition that asked."""
+    """The names several documents have, for each part that asked."""
     for name, source in _runs(batches):
         first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         sizes = np.diff(np.append(first, len(name)))
@@ -179,14 +194,13 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(source[many] >> 1), pa.array(name[many])], names=["p", "name"])
 
 
-def _told(path: str, columns: list[str]):
-    """What the shared table tells this task's partition: columns, sorted by the first."""
+def _told(path: str, p: int, columns: list[str]):
+    """What the shared table tells this part: columns, sorted by the first."""
     import pyarrow.fs as pfs
     import pyarrow.parquet as pq
-    from pyspark import TaskContext
 
     fs, root = pfs.FileSystem.from_uri(path)
-    found = fs.get_file_info(pfs.FileSelector(f"{root}/p={TaskContext.get().partitionId()}", allow_not_found=True))
+    found = fs.get_file_info(pfs.FileSelector(f"{root}/p={p}", allow_not_found=True))
     parts = [pq.ParquetFile(fs.open_input_file(f.path)).read(columns=columns) for f in found if f.base_name.endswith(".parquet")]
     cols = [np.concatenate([t.column(c).to_numpy() for t in parts]) if parts else np.zeros(0, dtype=np.int64) for c in columns]
     order = np.argsort(cols[0], kind="stable")
@@ -201,12 +215,9 @@ def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == values, at, -1)
 
 
-def _asked(batches, path, size, rounds):
-    """(window name, first and last document here, partition) of the windows whose representative is shared."""
-    from pyspark import TaskContext
-
-    p = TaskContext.get().partitionId()
-    (shared,) = _told(path, ["name"])
+def _asked(batches, p, path, size, rounds):
+    """(window name, first and last document here, part) of the windows whose representative is shared."""
+    (shared,) = _told(path, p, ["name"])
     held, n = [], 0
 
     def out():
@@ -231,7 +242,7 @@ def _asked(batches, path, size, rounds):
 
 
 def _earliest(batches):
-    """(p, window name, its first document), to the partitions that have the window in a later one."""
+    """(p, window name, its first document), to the parts that have the window in a later one."""
     for name, low, high, p in _runs(batches):
         first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(name))))
@@ -239,8 +250,8 @@ def _earliest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(p[later]), pa.array(name[later]), pa.array(least[later])], names=["p", "name", "low"])
 
 
-def _cut(batches, path, size):
-    names, low = _told(path, ["name", "low"])
+def _cut(batches, p, path, size):
+    names, low = _told(path, p, ["name", "low"])
     for ids, text in rows(batches, most_rows=300, most_bytes=1 << 20):
         b = Batch(text)
         at, who = b.windows(size)
@@ -270,16 +281,16 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) ->
     earlier; texts of fewer words have no window; other columns are left out.
     """
     spark = docs.sparkSession
-    base = in_place(texts(docs))
-    names = base.mapInArrow(lambda it: _sent(it, size, rounds), "name long, source long")
+    base = stored(texts(docs, p=F.spark_partition_id().cast("long")), "parts", compression="zstd")
+    names = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _sent(part, p, size, rounds)), "name long, source long")
     shared = names.repartition("name").sortWithinPartitions("name").mapInArrow(_shared, "p long, name long")
     to_p = lambda df, path: df.repartition("p").sortWithinPartitions("p").write.partitionBy("p").parquet(path)
     first, second = new_path(spark, "shared-names"), new_path(spark, "first-documents")
     to_p(shared, first)
-    asked = base.mapInArrow(lambda it: _asked(it, first, size, rounds), "name long, low long, high long, p long")
+    asked = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _asked(part, p, first, size, rounds)), "name long, low long, high long, p long")
     found = asked.repartition("name").sortWithinPartitions("name").mapInArrow(_earliest, "p long, name long, low long")
     to_p(found, second)
-    return base.mapInArrow(lambda it: _cut(it, second, size), "doc_id long, n_words long, removed array<struct<a:int,b:int>>, kept binary")
+    return base.mapInArrow(lambda it: _by_part(it, lambda part, p: _cut(part, p, second, size)), "doc_id long, n_words long, removed array<struct<a:int,b:int>>, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_place, stored, texts
+from .common import texts
 
 #: Function words of the four languages, by which running text is told from lists and noise (fixed values).
 FUNCTION_WORDS = frozenset("the of and to in is that it for was on with as at by an be this are from der die und den das von zu mit sich auf ist im ein eine nicht le la les de des et un une que en est pour qui dans du au sur el los las y del se por con para su una".encode().split())
@@ -172,18 +172,21 @@ def score(text: bytes, w: _Weights, b: float) -> float:
 def _voted(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([votes(t) for t in part.column(1).to_pylist()])], names=["doc_id", "uid", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in batch.slice(at, 1000).column(1).to_pylist()], pa.string())], names=["votes"])
 
 
 def _scored(batches, sent):
-    weights, b = _Weights(sent.value[0]), sent.value[1]
+    weights, b, prior, table, known = _Weights(sent.value[0]), *sent.value[1:4], {}
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             if len(weights) > 400_000:
                 weights.clear()
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.array([score(t, weights, b) for t in part.column(1).to_pylist()], pa.float64())], names=["uid", "score"])
+            text = part.column(1).to_pylist()
+            found = [votes(t) for t in text]
+            for v in set(found) - known.keys():
+                known[v] = posterior(v, prior, table)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string()), pa.array([known[v] for v in found], pa.float64()), pa.array([score(t, weights, b) for t in text], pa.float64())], names=["doc_id", "votes", "posterior", "score"])
 
 
 def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -194,14 +197,12 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     other; repeated rows are each scored; an empty table gives an empty result. keep: score >= 0.5.
     """
     spark = docs.sparkSession
-    base = in_place(texts(docs)).withColumn("uid", F.monotonically_increasing_id())
-    voted = stored(base.mapInArrow(_voted, "doc_id long, uid long, votes string"), "votes")
-    patterns = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()} or {"-" * len(LABELLERS): 1}
+    base = texts(docs)
+    patterns = {r.votes: r["count"] for r in base.mapInArrow(_voted, "votes string").groupBy("votes").count().collect()} or {"-" * len(LABELLERS): 1}
     prior, table = fit_labellers(patterns)
-    known = spark.createDataFrame([(v, posterior(v, prior, table)) for v in patterns], "votes string, posterior double")
     some = base.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", F.xxhash64("text")).limit(sample).toLocalIterator()
     w, b = fit_scorer([(bytes(r.text), posterior(votes(bytes(r.text)), prior, table)) for r in some])
-    sent = spark.sparkContext.broadcast((w, b))
-    scored = base.mapInArrow(lambda it: _scored(it, sent), "uid long, score double")
-    out = voted.join(scored, "uid").join(F.broadcast(known), "votes")  # at most 3 ** 11 patterns
+    sent = spark.sparkContext.broadcast((w, b, prior, table))
+    # votes again, not joined: a second reading of the input may number its rows otherwise
+    out = base.mapInArrow(lambda it: _scored(it, sent), "doc_id long, votes string, posterior double, score double")
     return out.select("doc_id", "votes", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))

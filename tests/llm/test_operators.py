@@ -497,3 +497,27 @@ def test_lm_scores_of_all_bigrams(docs, pairs, word_share, bigram_share):
     want = Counter((d, round(sum(step(h, w) for h, w in zip([None, *words(t)], words(t))), 5)) for d, t in pairs)
     got = backoff.scores(docs, word_share=word_share, bigram_share=bigram_share).collect()
     assert Counter((x.doc_id, round(x.score, 5)) for x in got) == want
+
+
+# -- inputs that are split otherwise from job to job -------------------------------------------------
+
+
+def test_other_splits_between_jobs(spark, pairs, tmp_path):
+    """As when executors join or go: the jobs read the same files in other partitions."""
+    found = pairs * 3
+    table(spark, found).repartition(16).write.parquet(path := str(tmp_path / "docs"))
+    docs = spark.read.parquet(path)
+    few = {"spark.sql.files.minPartitionNum": "2", "spark.sql.files.openCostInBytes": "64m"}
+    try:
+        whole = [recompress.repeated_spans(docs), radix.without_copies(docs), weaklabel.quality(docs)]
+        before = docs.rdd.getNumPartitions()
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        assert spark.read.parquet(path).rdd.getNumPartitions() != before
+        assert Counter(map(tuple, recompress.digest(whole[0]).collect())) == brute_removed(found)
+        norm = lambda t: text_of(t).translate(None, common.SPACES.encode())
+        assert Counter(norm(r.text) for r in whole[1].collect()) == Counter({norm(t) for _, t in found})
+        assert Counter((r.doc_id, r.votes) for r in whole[2].collect()) == Counter((d, weaklabel.votes(text_of(t))) for d, t in found)
+    finally:
+        for k in few:
+            spark.conf.unset(k)
