@@ -341,6 +341,12 @@ def partial_words(spark, sf_dir):
     return expand.partial_words(v, 6)
 
 
+@query()
+def all_partial_words(spark, sf_dir):
+    """partial_words over the whole vocabulary; its SQL is bounded to words of 12 letters, as substrings of long ones are many."""
+    return expand.partial_words(rank.vocabulary(postings(spark, sf_dir)), 6)
+
+
 @query(_DOC + ", v as (select word, count(*) n from p group by 1), a as (select word, levenshtein(word, 'idiots') d from v where levenshtein(word, 'idiots') <= 2), b as (select word, levenshtein(word, 'clowns') d from v where levenshtein(word, 'clowns') <= 2), x as (select distinct doc_id, word, d from p join a using (word)), y as (select distinct doc_id, word, d from p join b using (word)) select x.word || ' ' || y.word words, floor(count(*) * greatest(0, 1 - x.d / length(x.word) - y.d / length(y.word)))::bigint score from x join y using (doc_id) group by x.word, y.word, x.d, y.d order by score desc, words limit 10")
 def suggestions(spark, sf_dir):
     return index(spark, sf_dir).suggest(["idiots", "clowns"])

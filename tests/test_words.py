@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillon import queries
 from quillon.functions import distance as D
 from quillon.functions import text as T
 from quillon.operators import expand, rank
@@ -51,6 +52,20 @@ def test_partial_words(spark):
     assert found == {("bahnhof", "hauptbahnhof"), ("bahnhofs", "hauptbahnhofs")}
 
 
+def test_partial_words_of_any_length(spark):
+    """The registered query against brute force, words beyond the bound of the SQL's vocabulary included."""
+    sf = "/root/testdata/sf0.001"
+    v = {r.word for r in queries.postings(spark, sf).select("word").distinct().collect()}
+    want = set()
+    for outer in v:
+        for at in range(1, len(outer) - 5):
+            inner = next((outer[at:end] for end in range(len(outer), at + 5, -1) if outer[at:end] in v), None)
+            if inner:
+                want.add((inner, outer))
+    assert any(len(outer) > 12 for _, outer in want)
+    assert {(r.inner, r.outer) for r in queries.QUERIES["all_partial_words"](spark, sf).collect()} == want
+
+
 def test_suggestions(spark):
     p = spark.createDataFrame([(1, "idiot", 1, 1), (1, "clown", 2, 1), (2, "idiot", 1, 1), (2, "clown", 9, 1)], "doc_id long, word string, position int, score long")
     like = lambda w: spark.createDataFrame([(w, 0)], "word string, distance int")
