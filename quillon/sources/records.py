@@ -126,8 +126,11 @@ def read_index_words(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_query_list(spark: SparkSession, path: str) -> list[str]:
-    """Queries to keep in the cache, a line each, # comments: a hand-written list, the first 10,000."""
-    return [r[0].strip() for r in spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')").limit(10_000).collect()]
+    """Queries to keep in the cache, a line each, # comments: a hand-written list, refused beyond 10,000."""
+    got = [r[0].strip() for r in spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')").limit(10_001).collect()]
+    if len(got) > 10_000:
+        raise ValueError("too many queries to keep in the cache")
+    return got
 
 
 def headed_text(pages: DataFrame) -> DataFrame:

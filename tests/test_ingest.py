@@ -115,3 +115,12 @@ def test_stream(spark, tmp_path):
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     append_postings(s, ingest.Options(full_text=["text"]), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_query_list_is_never_cut(spark, tmp_path):
+    path = tmp_path / "queries"
+    path.write_text("# comment\n" + "".join(f"q{k}\n" for k in range(10_000)))
+    assert len(records.read_query_list(spark, str(path))) == 10_000
+    path.write_text(path.read_text() + "one more\n")
+    with pytest.raises(ValueError):
+        records.read_query_list(spark, str(path))
