@@ -19,13 +19,21 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where none is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder if all of Spark
+    is in this process (a local master), else one in the warehouse."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,7 +45,22 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def lookup(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, to be broadcast in a join if it has at most ``most`` rows; else Spark deals both sides."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
@@ -98,8 +121,29 @@ def rows(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes: i
                 start, total = i + 1, 0
 
 
-def _contract(batches, most: int = 500_000):
-    """Edges in, for each ``most`` of them a forest of their components out: (node, smallest node), nodes that differ."""
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Whole runs of equal first values, as numpy columns, many runs at a time, from rows sorted by it."""
+    rest = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        if not len(cols[0]):
+            continue
+        cut = np.searchsorted(cols[0], cols[0][-1], side="left")
+        rest = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def contracted(batches, most: int = 500_000):
+    """Edges in, a forest of their components out: (node, smallest node) of the nodes that differ.
+
+    Whenever ``most`` new edges are held, they are contracted with the forest so far; a task so gives each node once,
+    and holds its nodes and ``most`` edges.
+    """
     held, n = [], 0
 
     def forest():
@@ -114,17 +158,19 @@ def _contract(batches, most: int = 500_000):
             while (label != label[label]).any():
                 label = label[label]
         moved = np.flatnonzero(label != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+        return nodes[moved], nodes[label[moved]]
 
     for batch in batches:
         if batch.num_rows:
             held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1).ravel())
             n += batch.num_rows
         if n >= most:
-            yield forest()
-            held, n = [], 0
-    if n:
-        yield forest()
+            u, v = forest()
+            held, n = [np.stack([u, v], axis=1).ravel()], 0
+    if held:
+        u, v = forest()
+        for at in range(0, len(u), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 100_000]), pa.array(v[at : at + 100_000])], names=["u", "v"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -133,16 +179,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Each round deals edges by their larger node to tasks, which contract what they hold to a forest
     (small star), and then links every node to the smallest neighbour of its parent (large star).
     A forest has one row for each child, so before either shuffle a node of any degree has a row or a
-    minimum for each task at most. It ends when every child has one neighbour. Rounds are tables in
-    the shared folder; no edges reach the driver.
+    minimum for each task at most. Many children of one parent are dealt by the parent in the join only,
+    where Spark splits a large partition. It ends when every child has one neighbour. Rounds are tables in
+    the shared folder, of which the last stays; no edges reach the driver.
     """
-    forest = lambda df: df.mapInArrow(_contract, "u long, v long")
-    e = forest(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v"))
+    forest = lambda df: df.mapInArrow(contracted, "u long, v long")
+    e, old = forest(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")), ()
     for _ in range(most_rounds):
         s = stored(forest(e.repartition("u")), "cc")
+        drop(*old)
         both = s.union(s.select(F.col("v"), F.col("u")))
         m = stored(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("low"), F.max("v").alias("high")), "cc")
         if m.where("low < c and low < high").isEmpty():
+            drop(m)
             return s.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        e = forest(s.join(m, F.col("v") == F.col("c")).select("u", F.least("c", "low").alias("v")))
+        e, old = forest(s.join(m, F.col("v") == F.col("c")).select("u", F.least("c", "low").alias("v"))), (s, m)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -389,8 +389,8 @@ def brute_components(pairs, size, num, den):
     return Counter((d, len(s), None if d is None else find(d)) for d, s in each), sets
 
 
-@pytest.mark.parametrize("size, num, limits", [(3, 90, (1000, 600_000)), (5, 80, (1000, 600_000)), (3, 80, (4, 2000)), (3, 60, (3, 800))])
-def test_jaccard(spark, docs, pairs, none, size, num, limits):
+@pytest.mark.parametrize("size, num, limits, frequent", [(3, 90, (1000, 600_000), 255), (5, 80, (1000, 600_000), 255), (3, 80, (4, 2000), 3), (3, 60, (3, 800), 2), (3, 60, (3, 800), 20)])
+def test_jaccard(spark, docs, pairs, none, size, num, limits, frequent):
     r = random.Random(size * num)
     more = list(pairs)
     family = prose(r, 60).split()
@@ -402,7 +402,7 @@ def test_jaccard(spark, docs, pairs, none, size, num, limits):
         more.append((k, " ".join(w[: r.randrange(3, 14)])))
     found = table(spark, more).repartition(4)
     want, _ = brute_components(more, size, num, 100)
-    sets, links = rtree.jaccard_links(found, size, num, 100, limits)
+    sets, links = rtree.jaccard_links(found, size, num, 100, limits, frequent)
     comps = {x.node: x.component for x in common.components(links).collect()}
     got = Counter((x.doc_id, x.n, comps.get(x.doc_id, x.doc_id)) for x in sets.collect())
     assert got == want
@@ -417,19 +417,40 @@ def test_jaccard_edges(docs, pairs, none):
     assert kept.count() == sum(n for (d, _, c), n in want.items() if d is None or d == c)
 
 
-def test_signatures_meet():
-    """Sets at the least admissible similarity share a signature."""
+def test_cells_meet():
+    """Sets at the least admissible similarity share a cell, whatever is frequent, and their points' bound allows the link."""
     r = np.random.default_rng(3)
     for num in (80, 90):
-        for n in (1, 2, 3, 5, 9, 10, 11, 19, 25, 40, 90, 300):
-            for _ in range(20):
-                a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for n in (1, 2, 3, 5, 9, 10, 11, 19, 25, 40, 90, 97, 300):
+            for _ in range(10):
+                a = np.unique(r.integers(0, 2**48, n).astype(np.uint64))
                 for gone in range(n + 1):
-                    b = np.unique(np.concatenate([a[gone:], r.integers(0, 2**63, r.integers(0, 3)).astype(np.uint64)]))
-                    if len(b) and rtree.linked(a, b, num, 100):
-                        for common in (None, np.sort(np.union1d(a, b)[:: r.integers(1, 4)])):
-                            who, sig = rtree.signatures([a, b], num, 100, common)
-                            assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+                    b = np.unique(np.concatenate([a[gone:], r.integers(0, 2**48, r.integers(0, 3)).astype(np.uint64)]))
+                    if not len(b) or not rtree.linked(a, b, num, 100):
+                        continue
+                    df = dict(zip(np.union1d(a, b).tolist(), r.integers(2, 9, 400).tolist()))
+                    both = np.intersect1d(a, b)  # no others are in several documents
+                    cells = [set(rtree._prefix(both, np.array([df[x] for x in both.tolist()]), len(s), num, 100)[0].tolist()) for s in (a, b)]
+                    assert cells[0] & cells[1]
+                    v = []
+                    for s in (a, b):
+                        c = rtree.vector(both, 4 * rtree.groups_of(len(s)))
+                        v.append((c[::2] | c[1::2] << 4).astype(np.uint8).tobytes())
+                    assert len(rtree._fit(v, np.array([len(a), len(b)]), np.array([0]), np.array([1]), num, 100)) == 1
+
+
+def test_tree_prunes_and_loses_nothing():
+    r = np.random.default_rng(4)
+    base = [np.unique(r.integers(0, 2**48, 200).astype(np.uint64)) for _ in range(40)]
+    sets = [np.sort(np.concatenate([r.permutation(s)[r.integers(0, 12) :], r.integers(0, 2**48, 5).astype(np.uint64)])) for s in base for _ in range(6)]
+    sizes = np.array([len(s) for s in sets])
+    vectors = np.stack([rtree.vector(s, 64) for s in sets])
+    tree, passed = rtree.RTree(vectors, sizes), 0
+    for i, s in enumerate(sets):
+        found = set(tree.search(vectors[i], sizes[i], 90, 100)[0].tolist())
+        passed += len(found)
+        assert {j for j, t in enumerate(sets) if rtree.linked(s, t, 90, 100)} <= found
+    assert passed < 10 * len(sets)
 
 
 # -- 10 --------------------------------------------------------------------------------------------
