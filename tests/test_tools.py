@@ -1,4 +1,6 @@
-"""XML to JSON, and running lists of queries."""
+"""XML to JSON by its rules, and running lists of queries."""
+
+import json
 
 import pytest
 
@@ -7,31 +9,51 @@ from quillon.plans import batch
 from quillon.plans.session import Index
 
 
-@pytest.mark.parametrize(
-    "xml, lists, want",
-    [
-        ("<![CDATA[a <b> <!c]] d]]>", (), '"a <b> <!c]] d"'),
-        (r'<show field="t"><![CDATA[\\<x>\\ "<h>\" b\"]]></show>', (), r'{"show":{"@field":"t","text":"\\<x>\\ \"<h>\" b\""}}'),
-        ('<show field="t"><![CDATA[]]></show>', (), '{"show":{"@field":"t","text":""}}'),
-        ('<s f="t"><title ee="h"><![CDATA[ x]] y]]></title><author><![CDATA[n"l"]]></author></s>', (), r'{"s":{"@f":"t","title":{"@ee":"h","text":" x]] y"},"author":"n\"l\""}}'),
-        ("<a>b</a> <a>c</a>", (), '{"a":["b","c"]}'),
-        ("<d></d>", (), '{"d":""}'),
-        ('<d z="a"></d>', (), '{"d":{"@z":"a"}}'),
-        ('<h a="b"><d></d></h>', (), '{"h":{"@a":"b","d":""}}'),
-        ("<d></d>", ("d",), '{"d":[]}'),
-        ('<d z="a"/>', ("d",), '{"d":[{"@z":"a"}]}'),
-        ("<z>h</z><z>z</z><a>a</a><y>y</y>", (), '{"z":["h","z"],"a":"a","y":"y"}'),
-        ('<a b="g">a</a><b>b</b><c>c</c>', ("a", "b"), '{"a":[{"@b":"g","text":"a"}],"b":["b"],"c":"c"}'),
-        ('<u b="<x><y>">p\\k"q</u>', (), r'{"u":{"@b":"<x><y>","text":"p\\k\"q"}}'),
-    ],
-)
-def test_xml_to_json(xml, lists, want):
-    assert xml_to_json(xml, lists) == want
+def turned(xml, *lists):
+    return json.loads(xml_to_json(xml, lists))
+
+
+def test_elements_nest_and_keep_their_order():
+    got = turned("<book><title>Ferns</title><year>1911</year><place><city>Jena</city></place></book>")
+    assert got == {"book": {"title": "Ferns", "year": "1911", "place": {"city": "Jena"}}}
+    assert list(got["book"]) == ["title", "year", "place"]
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_repeats_become_a_list(n):
+    names = [f"name {k}" for k in range(n)]
+    assert turned("<o>" + "".join(f"<who>{x}</who>" for x in names) + "</o>") == {"o": {"who": names}}
+
+
+def test_attributes_stand_beside_text_and_children():
+    assert turned('<river length="865" unit="km">Elbe</river>') == {"river": {"@length": "865", "@unit": "km", "text": "Elbe"}}
+    assert turned('<river length="865"><mouth>Cuxhaven</mouth></river>') == {"river": {"@length": "865", "mouth": "Cuxhaven"}}
+    assert turned('<river length="865"/>') == {"river": {"@length": "865"}}
+
+
+def test_nothing_inside_is_the_empty_string():
+    assert turned("<lake/>") == turned("<lake></lake>") == {"lake": ""}
+
+
+def test_cdata_is_taken_as_it_stands():
+    assert turned("<code><![CDATA[if (x < 3 && y > 4) { z(); }]]></code>") == {"code": "if (x < 3 && y > 4) { z(); }"}
+    assert turned('<code lang="c"><![CDATA[]]></code>') == {"code": {"@lang": "c", "text": ""}}
+
+
+def test_escaped_quotes_and_backslashes_are_not_escaped_again():
+    assert turned(r"<path>C:\\tmp\\\"new\"</path>") == {"path": 'C:\\tmp\\"new"'}
+    assert turned('<path>say "aye"</path>') == {"path": 'say "aye"'}
+
+
+def test_forced_lists():
+    assert turned("<team><player>Ada</player></team>", "player") == {"team": {"player": ["Ada"]}}
+    assert turned("<team><player></player></team>", "player") == {"team": {"player": []}}
+    assert turned('<player no="7">Ada</player>', "player") == {"player": [{"@no": "7", "text": "Ada"}]}
 
 
 def test_column(spark):
-    df = spark.createDataFrame([("<a>1</a>",), (None,)], "x string")
-    assert [r.j for r in df.select(xml_to_json_col(df.x).alias("j")).collect()] == ['{"a":"1"}', None]
+    df = spark.createDataFrame([("<n>41</n>",), (None,)], "x string")
+    assert [r.j for r in df.select(xml_to_json_col(df.x).alias("j")).collect()] == ['{"n":"41"}', None]
 
 
 def test_batch(spark):
