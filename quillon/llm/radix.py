@@ -1,7 +1,7 @@
 """Exact deduplication by distributed MSD radix partitioning.
 
 Documents are split by successive bytes of their normalised text. Each Spark round looks one digit
-deeper, only into groups still too large for a task; digits widen from round to round. A group whose
+deeper, only into groups still too large for a task, whose rows alone go on; digits widen from round to round. A group whose
 texts all end within its digits is a group of equal texts. What is small enough is dealt to tasks by
 its digits, and the same splitting goes on there. Texts are compared byte by byte; no digest decides.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, held, sliced, stored, texts
+from .common import SPACES, held, lookup, sliced, stored, texts
 
 #: Bytes of the digits in the first round, and how many times as many the next one has.
 FIRST, WIDER = 16, 4
@@ -99,25 +99,31 @@ def exact_groups(docs: DataFrame, group_bytes: int | None = None, group_rows: in
     n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     group_bytes = group_bytes or min(max(total // parts, LEAST_BYTES), MOST_BYTES)
     group_rows = group_rows or max(n // parts, LEAST_ROWS)
-    state = base.withColumns({"ended": F.col("size") <= FIRST, "big": F.lit(False), "open": F.lit(True)})
-    width = FIRST
+    level, width, small, whole, groups = base.withColumn("ended", F.col("size") <= FIRST), FIRST, None, None, None
     while True:
-        sums = state.where("open").groupBy("key", "ended").agg(F.count("*").alias("c"), F.sum("size").alias("b"))
-        large = stored(sums.where((F.col("c") > 1) & ((F.col("b") > group_bytes) | (F.col("c") > group_rows))).select(F.col("key").alias("k"), F.col("ended").alias("e")), "radix")
-        rest = dict(large.groupBy("e").count().collect())
-        if not rest:
+        sums = level.groupBy(F.col("key").alias("k"), F.col("ended").alias("e")).agg(F.count("*").alias("c"), F.sum("size").alias("b"))
+        # a row for each group beyond the limits, so few beside the documents
+        large = stored(sums.where((F.col("c") > 1) & ((F.col("b") > group_bytes) | (F.col("c") > group_rows))).select("k", "e", F.concat_ws("-", F.lit(width), F.monotonically_increasing_id()).alias("g")), "radix")
+        on = (F.col("key") == F.col("k")) & (F.col("ended") == F.col("e"))
+        none, beyond = large.isEmpty(), lookup(large, 10_000)
+        rest = (level if none else level.join(beyond, on, "left_anti")).select("key", "ended", "doc_id", "uid", "n_cp", "norm")
+        small = rest if small is None else small.unionByName(rest)
+        if none:
             break
-        width *= WIDER
-        state = state.join(large, F.col("open") & (F.col("key") == F.col("k")) & (F.col("ended") == F.col("e")), "left")
-        on = F.col("k").isNotNull() & ~F.col("ended")
-        state = state.select("doc_id", "uid", "n_cp", "norm", "size", F.when(on, digits(width)).otherwise(F.col("key")).alias("key"), F.when(on, F.col("size") <= width).otherwise(F.col("ended")).alias("ended"), (F.col("big") | (F.col("k").isNotNull() & F.col("ended"))).alias("big"), on.alias("open"))
-        if False not in rest:
+        equal = level.join(beyond.where("e"), on).select("g", "doc_id", "uid", "n_cp")
+        shas = large.where("e").select("g", F.sha2("k", 256).alias("sha"))
+        whole, groups = (equal, shas) if whole is None else (whole.unionByName(equal), groups.unionByName(shas))
+        if large.where("not e").isEmpty():
             break
-    small = state.where(~F.col("big")).select("key", "ended", "doc_id", "uid", "n_cp", "norm")
+        width *= WIDER  # only the rows of groups still open go on, as a table of their own
+        wider = level.join(beyond.where("not e"), on, "left_semi").withColumns({"key": digits(width), "ended": F.col("size") <= width})
+        level = stored(wider, "open", compression="zstd")
     out = small.repartition("key", "ended").sortWithinPartitions("key", "ended").mapInArrow(_settle, OUT)
-    whole = state.where("big").select("key", "doc_id", "uid", "n_cp")
-    best = whole.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_cp")).alias("n"), "doc_id", "uid")).alias("best"))
-    ended = whole.join(best, F.col("key") == F.col("k")).select("doc_id", "uid", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.sha2("key", 256).alias("text_sha256"))
+    if whole is None:
+        return out
+    best = whole.groupBy("g").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_cp")).alias("n"), "doc_id", "uid")).alias("best"))
+    best = stored(best.join(groups, "g"), "largest")
+    ended = whole.join(lookup(best, 10_000), "g").select("doc_id", "uid", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"))
     return out.unionByName(ended)
 
 

@@ -238,10 +238,23 @@ def test_decontamination(spark, docs, pairs, none):
     rest = {x.doc_id: x.text for x in clean.collect()}
     assert rest[7] == base[7] and rest[40] is None and 51 not in rest
     assert rest[48] is not None and brute_hits(suffixauto.item_words(rest[48].encode()), coded[5:6])[0] == set()
+    for words in (1, 40):  # an automaton for each item, or for a few
+        again = suffixauto.contamination(docs, bench, block_words=words).collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, got))
+        assert sorted(map(repr, suffixauto.decontaminated(docs, bench, block_words=words).collect())) == sorted(map(repr, clean.collect()))
     assert suffixauto.contamination(none, bench).count() == 0
     assert suffixauto.contamination(docs, bench.where("false")).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("words", [None, 1])
+def test_items_that_overlap_are_judged_together(spark, words):
+    """Two items cover 20 of 35 words between them, each alone fewer than half: the document goes in whatever blocks they come."""
+    w = [f"t{k}" for k in range(35)]
+    bench = spark.createDataFrame([(1, " ".join(w[:12])), (2, " ".join(w[8:20]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w + [f"u{k}" for k in range(20)]))], "doc_id long, text string")
+    assert [tuple(x) for x in suffixauto.decontaminated(docs, bench, block_words=words).collect()] == [(2, " " + " ".join(w[20:] + [f"u{k}" for k in range(20)]))]
+
+
 def test_automaton_on_random_words():
     r = random.Random(7)
     for _ in range(60):
