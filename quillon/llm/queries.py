@@ -82,9 +82,16 @@ from dw left join covered using (doc_id) left join named using (doc_id)""",
 with recursive p as (select page_id, coalesce(url, '') u, html from pages),
 b as (select page_id, html, translate(regexp_extract(u, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
       regexp_extract(u, '^[\s\S]*?://[^/?#]*([^?#]*)', 1) path, regexp_extract(u, '^[\s\S]*?://[^/?#]*([^#]*)', 1) rest from p),
-t as (select host || rest a, host, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) link from b where html is not null),
-f as (select a, case when contains(link, '://') then link when starts_with(link, '//') then 'http:' || link when starts_with(link, '/') then 'http://' || host || link end l from t where link <> ''),
+t as (select distinct host || rest a, host, path, replace(unnest(
+        list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)) ||
+        list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1))), '&amp;', '&') link from b where html is not null),
+w as (select a, host, path, link, regexp_extract(link, '^[^?#]*(\?[^#]*)', 1) q, regexp_extract(link, '^([^?#]*)', 1) way from t where link <> ''),
+g as (select *, string_split(case when starts_with(way, '/') then way when path = '' then '/' || way else regexp_extract(path, '^(.*/)', 1) || way end, '/') s from w),
+r as (select *, list_reduce(list_transform(s[2:], lambda x: [x]), lambda acc, x: case x[1] when '.' then acc when '..' then acc[:len(acc) - 1] else acc || x end, []::varchar[]) k from g),
+f as (select a, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when starts_with(link, '//') then 'http:' || link
+      when starts_with(link, '#') or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') or host = '' then null
+      when starts_with(link, '?') then 'http://' || host || path || q
+      else 'http://' || host || '/' || array_to_string(k, '/') || case when s[-1] in ('.', '..') and len(k) > 0 then '/' else '' end || q end l from r),
 e as (select a, translate(regexp_extract(l, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(l, '^[\s\S]*?://[^/?#]*([^#]*)', 1) z from f where l is not null),
 two as (select a, z from e where a <> z and a <> '' and z <> '' union select z, a from e where a <> z and a <> '' and z <> ''),
 reach as (select a, a z from two union select r.a, two.z from reach r join two on r.z = two.a),

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components
+from .common import components, stored
 
 #: (verdict, host, path) of the contract's rule list.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+#: Tags that name another url of the page: the tag, what makes it one, and where the url stands.
 _LINKS = (
-    r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)",
-    r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>;]+)",
+    (r"(?is)<link\b[^>]*>", r"(?is)\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+    (r"(?is)<meta\b[^>]*>", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"),
 )
 
 
@@ -49,17 +50,44 @@ def node_of(url: Column) -> Column:
     return F.concat(host_of(url), F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1), F.lit("")))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments . and .., the latter with the segment before it."""
+    last = F.element_at(F.split(path, "/"), -1)
+    kept = F.aggregate(
+        F.slice(F.split(path, "/"), 2, 1 << 30),
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The absolute url of a link on the page ``url``; null for other schemes and for places within the page."""
+    host, path = host_of(url), path_of(url)
+    query = F.regexp_extract(to, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    way = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    full = F.when(way.startswith("/"), way).otherwise(F.concat(F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)), way))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("#") | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host == ""), F.lit(None))
+        .when(to.startswith("?"), F.concat(F.lit("http://"), host, path, query))
+        .otherwise(F.concat(F.lit("http://"), host, without_dots(full), query))
+    )
+
+
+def _named(tag: str, kind: str, where: str) -> Column:
+    tags = F.filter(F.regexp_extract_all("html", F.lit(tag), 0), lambda x: x.rlike(kind))
+    return F.transform(tags, lambda x: F.regexp_extract(x, where, 1))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) nodes of each page and of the canonical or redirect target its html names."""
+    """(a, b) nodes of each page and of every canonical or redirect target its html names, relative ones resolved."""
     base = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    target = F.array(*[F.nullif(F.regexp_extract("html", p, 1), F.lit("")) for p in _LINKS])
-    out = base.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(target).alias("to")).where("`to` is not null")
-    absolute = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), F.col("to")))
-    )
-    return out.select(node_of(F.col("url")).alias("a"), node_of(absolute).alias("b")).where("a is not null and b is not null and a <> b and a <> '' and b <> ''")
+    found = [_named(tag, kind, where) for tag, kind, where in _LINKS]
+    out = base.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(F.array_distinct(F.concat(*found))).alias("to")).where("`to` <> ''")
+    target = resolved(F.col("url"), F.replace("to", F.lit("&amp;"), F.lit("&")))
+    return out.select(node_of(F.col("url")).alias("a"), node_of(target).alias("b")).where("a is not null and b is not null and a <> b and a <> '' and b <> ''")
 
 
 def url_verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -68,14 +96,16 @@ def url_verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RUL
     A page's own rule decides. A page without one takes its component's: allow if any alias is
     explicitly allowed, else block if any alias is blocked, else allow. ``redirects`` adds (a, b) url
     pairs. Null, empty or scheme-less urls have empty host and path, fit no rule and have no alias;
-    repeated rows are judged each for itself; null html has no links; further columns are left out.
+    repeated rows are judged each for itself; null html has no links; urls of any length are judged whole;
+    of several rules as long as one another an allow wins; further columns are left out.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     base = base.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
-    edges = link_edges(pages)
+    edges = link_edges(pages)  # few beside the pages
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("a")), node_of(F.col("b"))))
+    edges = stored(edges, "links")
     number = F.xxhash64  # components are of numbers
     hashed = components(edges.select(number(F.col("a")).alias("a"), number(F.col("b")).alias("b")))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("h", number(F.col("node")))
@@ -84,8 +114,10 @@ def url_verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RUL
     way = F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1)
     ruled = members.select("component", matching_rule(bare, way, rules)["verdict"].alias("v"))
     spread = ruled.groupBy("component").agg(F.max(F.col("v") == "allow").alias("any_allow"), F.max(F.col("v") == "block").alias("any_block"))
-    judged = members.join(spread, "component").select("node", "component", F.when(F.col("any_allow"), "allow").when(F.col("any_block"), "block").otherwise("allow").alias("spread"))
-    out = base.join(judged, "node", "left")
+    # both sides tables: Spark splits a large component's partition
+    judged = stored(members, "aliases").join(stored(spread, "spread"), "component").select("node", "component", F.when(F.col("any_allow"), "allow").when(F.col("any_block"), "block").otherwise("allow").alias("spread"))
+    bare = base.where("node = ''").withColumns({"component": F.lit(None).cast("long"), "spread": F.lit(None).cast("string")})  # all the same key
+    out = base.where("node <> ''").join(judged, "node", "left").unionByName(bare)
     return out.select(
         "page_id",
         "host",
