@@ -193,14 +193,18 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, votes, posterior, score, keep) of every whole text.
 
     Vote patterns are counted over all rows (at most 3 ** 11 of them); only the linear scorer is
-    fitted on a bounded sample of ``sample`` rows. Null text is empty; empty texts are scored like any
+    fitted on a bounded sample of ``sample`` rows, repeated ones once. Null text is empty; empty texts are scored like any
     other; repeated rows are each scored; an empty table gives an empty result. keep: score >= 0.5.
     """
     spark = docs.sparkSession
     base = texts(docs)
     patterns = {r.votes: r["count"] for r in base.mapInArrow(_voted, "votes string").groupBy("votes").count().collect()} or {"-" * len(LABELLERS): 1}
     prior, table = fit_labellers(patterns)
-    some = base.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", F.xxhash64("text")).limit(sample).toLocalIterator()
+    # ids and hashes are chosen first; only the chosen texts travel, one for each id and hash
+    keyed = base.withColumn("h", F.xxhash64("text"))
+    chosen = keyed.select(F.col("doc_id").alias("d"), F.col("h").alias("x")).orderBy(F.xxhash64(F.lit(1), "d"), "d", "x").limit(sample).distinct()
+    found = keyed.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x")))  # at most ``sample`` rows
+    some = found.groupBy("doc_id", "h").agg(F.first("text").alias("text")).orderBy("doc_id", "h").toLocalIterator()
     w, b = fit_scorer([(bytes(r.text), posterior(votes(bytes(r.text)), prior, table)) for r in some])
     sent = spark.sparkContext.broadcast((w, b, prior, table))
     # votes again, not joined: a second reading of the input may number its rows otherwise
