@@ -1,36 +1,43 @@
 """Language-model scores from a weighted backoff automaton.
 
-States are the start of a text, the frequent words as histories, and the root. A kept bigram is an
-arc with its discounted log-probability; every history has a failure arc to the root, weighted with
-its backoff mass; the root's arcs are the smoothed unigrams. A text is scored in one traversal from
-left to right. Every bigram of the training texts is an arc. Broadcast is the part of the automaton
-with n-grams of at least a fixed share of all training tokens, so however large the corpus, at most
-1 / share of them; the failure arcs in it weigh all arcs of their history. All other arcs, and the
-unigrams and failure arcs of all other words, stay in tables and reach the documents by equi-joins on
-(history, word) and on the word: a text is first scored as if it failed wherever the broadcast part
-has no arc, and each arc found adds what it weighs more. The shares do not change any score.
+States are pairs of words, words (with the start of a text among them) and the root. A trigram of the
+training texts is an arc from its pair, a bigram an arc from its word, a unigram an arc from the root.
+Each state's distribution is its counts and K times the next lower state's, over its count and K, so a
+state without an arc for a word fails to the next lower one with weight K / (count + K), and the weights
+sum to one everywhere. A text is scored in one traversal from left to right, which carries the state and
+adds up log-probabilities; the documents of a unit take their steps side by side.
+
+No n-gram is left out and the automaton is never in one place: documents are a table of units, coded by
+vocabularies of their own, which ask for the counts of their n-grams and traverse what comes back. Units send their distinct n-grams, as
+sorted 56-bit hashes with their own counts, to buckets of the hash; a bucket adds up and answers each
+unit with the totals alone, in the order of its question. So a bucket has of no n-gram more entries than
+there are units, and the corpus is summed with one shuffle of its distinct n-grams.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, rows, stored, texts
+from .common import crc_mod, framed, grouped, packed, rows, stored, texts, unframed, unpacked
+from .common import held as keep_nothing
 
-WORD_SHARE, BIGRAM_SHARE = 2.0**-21, 2.0**-21
-DISCOUNT, ADD = 0.75, 0.1
-BITS = 22
-#: Ids of rare words in one batch count on from here.
-TOP = 1 << BITS
+ADD = 0.1
+#: Weight of the next lower state beside a word's and a pair's own counts.
+WORD_K, PAIR_K = 8.0, 2.0
+#: Tokens of a unit, and bytes of a bucket.
+UNIT_TOKENS, BUCKET_BYTES = 2_000_000, 64 << 20
 #: The end of a text as a word; no text holds it, as words have no white space.
 END = b" "
-FLUSH = 400_000
+_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: The hash that stands for the start of a text.
+START = np.uint64(0x243F6A8885A308D3)
+_8 = np.uint64(8)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -38,238 +45,246 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _unigrams(batches, fold):
-    seen: Counter = Counter()
-    out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-    for ids, text in rows(batches):
-        for d, t in zip(ids, text):
-            if fold and crc_mod(d, fold) == 0:
-                continue
-            seen.update(words_of(t))
-            seen[END] += 1
-        if len(seen) > FLUSH:
-            yield out()
-            seen.clear()
-    if seen:
-        yield out()
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _C[1]
+    x = (x ^ (x >> np.uint64(27))) * _C[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _C[0] + b + _C[3])
+
+
+def triple_key(pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(pair * _C[0] + c + _C[4])
+
+
+class Unit:
+    """Documents as places in a vocabulary of their own, each with END at its end."""
+
+    def __init__(self):
+        self.vocabulary: dict[bytes, int] = {END: 0}
+        self.ids, self.places, self.lengths, self.total = [], [], [], 0
+
+    def add(self, doc_id: int | None, words: list[bytes]) -> None:
+        put = self.vocabulary.setdefault
+        self.places.append(np.fromiter((put(w, len(self.vocabulary)) for w in (*words, END)), dtype=np.uint32, count=len(words) + 1))
+        self.ids.append(doc_id), self.lengths.append(len(words) + 1)
+        self.total += len(words) + 1
+
+    def close(self) -> Unit:
+        self.sizes, self.flat = np.array(self.lengths, dtype=np.int64), np.concatenate(self.places)
+        self.hashes = np.fromiter(map(word_hash, self.vocabulary), dtype=np.uint64, count=len(self.vocabulary))
+        return self
+
+    def data(self) -> bytes:
+        null = bytes(d is None for d in self.ids)
+        return framed([np.array([d or 0 for d in self.ids], dtype=np.int64).tobytes(), null, self.sizes.tobytes(), packed(self.flat), packed(self.hashes)])
+
+    @classmethod
+    def of(cls, data: bytes) -> Unit:
+        self, (ids, null, sizes, flat, hashes) = cls.__new__(cls), unframed(data)
+        self.ids = [None if x else d for d, x in zip(np.frombuffer(ids, dtype=np.int64).tolist(), null)]
+        self.sizes, self.flat, self.hashes = np.frombuffer(sizes, dtype=np.int64), unpacked(flat, np.uint32), unpacked(hashes)
+        return self
+
+    def ngrams(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The hashes of the unigrams, bigrams and trigrams that end at each token, and at which ones a trigram does: not at a text's first."""
+        h = self.hashes[self.flat]
+        first = np.cumsum(self.sizes) - self.sizes
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[first] = START
+        pair = pair_key(before, h)
+        triple = np.zeros_like(h)
+        triple[1:] = triple_key(pair[:-1], h[1:])
+        inner = np.ones(len(h), dtype=bool)
+        inner[first] = False
+        return [h, pair, triple[inner]], inner
+
+
+def distinct(keys: np.ndarray, train: np.ndarray | None = None):
+    """Sorted distinct keys of 56 bits; with how many of each are ``train``, if that is given."""
+    e = (keys >> _8) << _8
+    if train is not None:
+        e |= train.astype(np.uint64)
+    e.sort()
+    key = e >> _8
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], (np.add.reduceat(e & np.uint64(1), first).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)) if train is not None else None
 
 
 class Automaton:
-    """``words``: frequent words by id (END among them), ``counts``, then bigram keys ``h << BITS | w`` and their counts.
+    """The part of the automaton that a unit's documents can reach: sorted n-gram keys of each order, and their counts.
 
-    The id of the start state is len(words); an id of -1 is a rare word, whose arc is not in here.
-    ``all_arcs``: for each state the number of all its arcs, their counts' sum and the sum of their words'
-    counts, where ``keys`` are a part of them.
+    n, v: all training tokens, and different ones; n_texts: training texts, the count of the start state.
     """
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, n_texts: int, keys: np.ndarray, pairs: np.ndarray, all_arcs: np.ndarray | None = None):
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.start = len(words)
+    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], n: int, v: int, n_texts: int):
+        self.keys, self.counts = keys, [np.append(c, 0).astype(np.float64) for c in counts]  # [-1]: no such arc
+        self.n_texts = float(n_texts)
         self.denominator = n + ADD * (v + 1)
-        p = (counts + ADD) / self.denominator
-        self.uni = np.append(np.log10(p), 0.0)  # [-1]: a rare word, added by the join
-        order = np.argsort(keys)
-        self.keys, pairs = keys[order], pairs[order].astype(float)
-        h, w = self.keys >> BITS, self.keys & ((1 << BITS) - 1)
-        of = np.append(counts, n_texts).astype(float)
-        arc = (pairs - DISCOUNT) / of[h]
-        self.arcs = np.log10(arc)
-        if all_arcs is None:
-            kept, base = np.bincount(h, arc, self.start + 1), np.bincount(h, p[w], self.start + 1)
-        else:
-            many, seen, words_seen = all_arcs
-            kept, base = (seen - DISCOUNT * many) / np.maximum(of, 1), (words_seen + ADD * many) / self.denominator
-        left = np.where(base < 1, (1 - kept) / np.maximum(1 - base, 1e-12), 1.0)
-        self.fail = np.append(np.log10(np.maximum(left, 1e-12)), 0.0)  # [-1]: the root needs no failure arc
-        self.of = of
-
-    def step(self, state: int, word: int) -> tuple[int, float]:
-        """The next state and the weight of getting there, failure arc included (rare words: without their unigram)."""
-        if state >= 0 and word >= 0:
-            key = state << BITS | word
-            k = int(np.searchsorted(self.keys, key))
-            if k < len(self.keys) and self.keys[k] == key:
-                return word, float(self.arcs[k])
-        return word, float(self.fail[state] + self.uni[word])
-
-    def traverse(self, ids: np.ndarray, states: np.ndarray) -> np.ndarray:
-        """The weights of many steps at once; states[i] is where the traversal stands before ids[i]."""
-        return self.weights(ids, states, self.find(ids, states))
-
-    def find(self, ids: np.ndarray, states: np.ndarray) -> np.ndarray:
-        """Places of the steps' arcs; -1 where there is none here."""
-        out = np.full(len(ids), -1)
-        both = np.flatnonzero((states >= 0) & (ids >= 0))
-        if len(self.keys) and len(both):
-            key = states[both] << BITS | ids[both]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[both] = np.where(self.keys[k] == key, k, -1)
-        return out
 
-    def weights(self, ids: np.ndarray, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
-        out = self.fail[states] + self.uni[ids]
-        hit = arcs >= 0
-        out[hit] = self.arcs[arcs[hit]]
+    def count(self, order: int, keys: np.ndarray) -> np.ndarray:
+        """Counts of n-grams; 0 where there is no arc."""
+        among, keys = self.keys[order - 1], keys >> _8
+        if not len(among):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+        return self.counts[order - 1][np.where(among[at] == keys, at, -1)]
+
+    def start(self, n: int):
+        """The state before the first word of n texts: word hash and count, pair key and count (none yet)."""
+        return np.full(n, START), np.full(n, self.n_texts), np.zeros(n, dtype=np.uint64), np.zeros(n)
+
+    def step(self, state, h: np.ndarray, unigrams: np.ndarray):
+        """The next states, and the log-weights of the way there: an arc of the pair, or failing to the word's, or to the root's.
+
+        h: the words' hashes; unigrams: their counts.
+        """
+        word, of_word, pair, of_pair = state
+        p = (unigrams + ADD) / self.denominator
+        next_pair = pair_key(word, h)
+        bigrams = self.count(2, next_pair)
+        p = np.where(of_word > 0, (bigrams + WORD_K * p) / (of_word + WORD_K), p)
+        deep = np.flatnonzero(of_pair > 0)  # the other pairs are no states
+        if len(deep):
+            trigrams = self.count(3, triple_key(pair[deep], h[deep]))
+            p[deep] = (trigrams + PAIR_K * p[deep]) / (of_pair[deep] + PAIR_K)
+        return (h, unigrams, next_pair, bigrams), np.log10(p)
+
+    def traverse(self, unit: Unit) -> np.ndarray:
+        """Log-probabilities of the unit's texts; the k-th step of all texts that have one is taken at once."""
+        order = np.argsort(-unit.sizes, kind="stable")
+        first, sizes = (np.cumsum(unit.sizes) - unit.sizes)[order], unit.sizes[order]
+        unigrams = self.count(1, unit.hashes)
+        score, state = np.zeros(len(sizes)), self.start(len(sizes))
+        left = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")  # texts longer than k
+        for k, live in enumerate(left.tolist()):
+            if live < len(state[0]):
+                state = tuple(x[:live] for x in state)
+            ids = unit.flat[first[:live] + k]
+            state, weight = self.step(state, unit.hashes[ids], unigrams[ids])
+            score[:live] += weight
+        out = np.empty(len(sizes))
+        out[order] = score
         return out
 
 
-def _coded(text: list[bytes], ids: dict[bytes, int], start: int, rare: dict[bytes, int]):
-    """Flat arrays over the texts: word ids with the end of each text, the states before them; and sizes. Rare words get their ids in ``rare``."""
-    words = [[*words_of(t), END] for t in text]
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    get, put = ids.get, rare.setdefault
-    flat = np.fromiter((i if (i := get(w)) is not None else put(w, TOP + len(rare)) for ws in words for w in ws), dtype=np.int64, count=int(sizes.sum()))
-    states = np.empty_like(flat)
-    states[1:] = flat[:-1]
-    states[np.cumsum(sizes) - sizes] = start
-    return flat, states, sizes
-
-
-def _names(ids: np.ndarray, rare: list[bytes]) -> pa.Array:
-    """What ids are called in tables: three bytes for a state of the automaton, byte 255 and the word for a rare one."""
-    place = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.int32)
-    place[ids] = 1
-    found = np.flatnonzero(place)
-    place[found] = np.arange(len(found))
-    names = [i.to_bytes(3, "big") if i < TOP else b"\xff" + rare[i - TOP] for i in found.tolist()]
-    return pa.array(names, pa.binary()).take(pa.array(place[ids]))
-
-
-def _is_rare(column: str):
-    return F.substring(column, 1, 1) == F.lit(b"\xff")
-
-
-def _bigrams(batches, sent, fold):
-    """(h, w, cw, c): names of history and word, the word's count (0: rare, comes by a join), how often."""
-    ids, counts = sent.value
-    held, n, rare = [], 0, {}
-
-    def out():
-        keys, c = np.unique(np.concatenate(held), return_counts=True)
-        words = list(rare)
-        for k in range(0, len(keys), 200_000):
-            h, w = keys[k : k + 200_000] >> 32, keys[k : k + 200_000] & 0xFFFFFFFF
-            cw = np.where(w < TOP, counts[np.minimum(w, len(counts) - 1)], 0)
-            yield pa.RecordBatch.from_arrays([_names(h, words), _names(w, words), pa.array(cw), pa.array(c[k : k + 200_000])], names=["h", "w", "cw", "c"])
-
-    for docs, text in rows(batches):
-        if text := [t for d, t in zip(docs, text) if not fold or crc_mod(d, fold) != 0]:
-            flat, states, _ = _coded(text, ids, len(ids), rare)
-            held.append(states << 32 | flat)
-            n += len(flat)
-        if n > 6_000_000:
-            yield from out()
-            held, n = [], 0
-            rare.clear()
-    if n:
-        yield from out()
-
-
-def _ahead(batches, sent):
-    """(h, w, more) of arcs whose history is a state of the automaton: what the arc weighs more than failing there."""
-    a = sent.value
-    behind = np.log10(np.maximum(a.of, 1)) + a.fail[:-1]
-    for b in batches:
-        if b.num_rows:
-            h = b.column(0)
-            at = int(np.frombuffer(h.buffers()[1], dtype=np.int32)[h.offset])
-            parts = np.frombuffer(h.buffers()[2], dtype=np.uint8)[at : at + 3 * b.num_rows].reshape(-1, 3).astype(np.int64)
-            cw, c = b.column(2).to_numpy(), b.column(3).to_numpy()
-            more = np.log10(c - DISCOUNT) - behind[parts @ [1 << 16, 1 << 8, 1]] - np.log10((cw + ADD) / a.denominator)
-            yield pa.RecordBatch.from_arrays([h, b.column(1), pa.array(more)], names=["h", "w", "more"])
-
-
-def _counted(who: np.ndarray, what: np.ndarray, n: int, size: int):
-    """How often each text has each thing: offsets by text, things, counts. ``what`` is less than ``size``."""
-    both, c = np.unique(who * max(size, 1) + what, return_counts=True)
-    doc, thing = np.divmod(both, max(size, 1))
-    return pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), thing, pa.array(c, pa.int32())
-
-
-def _scored(batches, sent, fold):
-    a = sent.value
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            docs, rare = part.column(0).to_pylist(), {}
-            own, before, sizes = _coded(part.column(1).to_pylist(), a.ids, a.start, rare)
-            words = list(rare)
-            flat, states = np.where(own < TOP, own, -1), np.where(before < TOP, before, -1)
-            arcs = a.find(flat, states)
-            first = np.cumsum(sizes) - sizes
-            score, base = np.add.reduceat(a.weights(flat, states, arcs), first), np.add.reduceat(a.uni[flat], first)
-            known = np.add.reduceat((flat >= 0).astype(np.int64), first)
-            who = np.repeat(np.arange(len(docs)), sizes)
-            left, few = np.flatnonzero(arcs < 0), np.flatnonzero(flat < 0)
-            pairs, which = np.unique(before[left] << 32 | own[left], return_inverse=True)
-            to, pair, n = _counted(who[left], which, len(docs), len(pairs))
-            h, w = (_names(x, words).take(pa.array(pair)) for x in (pairs >> 32, pairs & 0xFFFFFFFF))
-            pairs = pa.ListArray.from_arrays(to, pa.StructArray.from_arrays([h, w, n], fields=list(PAIRS.value_type)))
-            to, word, n = _counted(who[few], own[few] - TOP, len(docs), len(words))
-            rare = pa.ListArray.from_arrays(to, pa.StructArray.from_arrays([_names(word + TOP, words), n], fields=list(RARE.value_type)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array([fold > 0 and crc_mod(d, fold) == 0 for d in docs]), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score), rare, pairs],
-                names=["doc_id", "uid", "held_out", "n_tokens", "known", "base", "score", "rare", "pairs"],
-            )
-
-
-RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-PAIRS = pa.list_(pa.struct([("h", pa.binary()), ("w", pa.binary()), ("n", pa.int32())]))
-
-
-def scores(docs: DataFrame, fold: int = 10, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE) -> DataFrame:
+ROWS = "bucket long, unit long, data binary"
+#: The unit under which a bucket tells its sums of unigrams.
+SUMS = -1
+
+
+def _batch(found):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "unit", "data"])
+
+
+def _coded(batches, unit_tokens):
+    """(unit, data) of the documents."""
+    from pyspark import TaskContext
+
+    keep_nothing(None, None)
+    number, unit = TaskContext.get().partitionId() << 24, Unit()
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([number]), pa.array([unit.close().data()], pa.binary())], names=["unit", "data"])
+    for some, text in rows(batches, most_rows=500, most_bytes=4 << 20):
+        for d, t in zip(some, text):
+            unit.add(d, words_of(t))
+            if unit.total >= unit_tokens:
+                yield row()
+                number, unit = number + 1, Unit()
+    if unit.ids:
+        yield row()
+
+
+def _asked(batches, fold, buckets):
+    """To each bucket the n-grams of each unit in it, sorted, with the unit's own counts."""
+    for _, ((number, data),) in grouped(batches, 1):
+        unit = Unit.of(data)
+        each = np.repeat(np.array([not fold or crc_mod(d, fold) != 0 for d in unit.ids]), unit.sizes)
+        grams, inner = unit.ngrams()
+        parts = []
+        for keys, mask in zip(grams, (each, each, each[inner])):
+            key, count = distinct(keys, mask)
+            parts.append((key, count, np.searchsorted(((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(24), np.arange(buckets + 1))))
+        found, size = [], 0
+        for b in range(buckets):
+            cuts = [(key[cut[b] : cut[b + 1]], count[cut[b] : cut[b + 1]]) for key, count, cut in parts]
+            if any(len(key) for key, _ in cuts):
+                found.append((b, number, framed([x for key, count in cuts for x in (packed(np.diff(key, prepend=np.uint64(0))), packed(count))])))
+                size += len(found[-1][2])
+            if found and (size > 4 << 20 or b + 1 == buckets):
+                yield _batch(found)
+                found, size = [], 0
+        if found:
+            yield _batch(found)
+
+
+def _answered(batches):
+    """Of each bucket, to each unit the totals of its n-grams in the order it asked; and the bucket's own sums of unigrams."""
+    for bucket, group in grouped(batches):
+        data = [unframed(row[2]) for row in group]
+        answers, out = [[] for _ in group], []
+        for order in range(3):
+            keys = [np.cumsum(unpacked(d[2 * order]), dtype=np.uint64) for d in data]
+            counts = np.concatenate([unpacked(d[2 * order + 1], np.uint32) for d in data])
+            key = np.concatenate(keys)
+            turn = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.append(True, key[turn][1:] != key[turn][:-1])) if len(key) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(counts[turn].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+            totals = np.empty(len(key), dtype=np.uint64)
+            totals[turn] = np.repeat(sums, np.diff(np.append(first, len(key))))
+            at = 0
+            for answer, k in zip(answers, keys):
+                answer.append(packed(totals[at : at + len(k)]))
+                at += len(k)
+            if order == 0:
+                out.append((bucket, SUMS, int(sums.sum()).to_bytes(8, "little") + int((sums > 0).sum()).to_bytes(8, "little")))
+        yield _batch(out + [(bucket, row[1], framed(answer)) for row, answer in zip(group, answers)])
+
+
+def _scored(batches, fold, n, v, n_texts):
+    """(unit, bucket, data) sorted by unit in, the unit's own row without bucket; a row for each document out."""
+    for _, group in grouped(batches):
+        unit = Unit.of(next(row[2] for row in group if row[1] is None))
+        answers = [unframed(row[2]) for row in sorted((row for row in group if row[1] is not None), key=lambda row: row[1])]
+        counts = [np.concatenate([unpacked(a[order]) for a in answers]) for order in range(3)]
+        automaton = Automaton([distinct(keys)[0] for keys in unit.ngrams()[0]], counts, n, v, n_texts)
+        score = automaton.traverse(unit)
+        unigrams = automaton.count(1, unit.hashes)
+        first = np.cumsum(unit.sizes) - unit.sizes
+        base = np.add.reduceat(np.log10((unigrams + ADD) / automaton.denominator)[unit.flat], first)
+        known = np.add.reduceat((unigrams > 0).astype(np.int64)[unit.flat], first)
+        for at in range(0, len(unit.ids), 10_000):
+            cut = slice(at, at + 10_000)
+            held_out = [fold > 0 and crc_mod(d, fold) == 0 for d in unit.ids[cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(unit.ids[cut], pa.int64()), pa.array(held_out, pa.bool_()), pa.array(unit.sizes[cut]), pa.array(known[cut]), pa.array(np.full(len(held_out), n)), pa.array(base[cut]), pa.array(score[cut])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def scores(docs: DataFrame, fold: int = 10, unit_tokens: int = UNIT_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``.
 
     Learns from the rows whose crc32 of doc_id modulo ``fold`` is not 0 (all rows if fold is 0). Null
     text is empty: its end is its one token. Repeated rows count and are scored each; without
-    training rows every token is unknown and both scores are those of an empty count table. The
-    shares bound what is broadcast; all words and bigrams count, whatever they are.
+    training rows every token is unknown and both scores are those of an empty count table. Columns other
+    than doc_id and text are left out. A text of ``unit_tokens`` or more ends its unit; the units change no score.
     """
     spark = docs.sparkSession
     base = texts(docs)
-    uni = stored(base.mapInArrow(lambda it: _unigrams(it, fold), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "unigrams")
-    n, v, n_texts = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
-    # at most 1 / word_share rows
-    often = (F.col("c") >= max(1, n * word_share)) | (F.col("word") == F.lit(END))
-    frequent = uni.where(often).toArrow()
-    words = frequent.column("word").to_pylist()
-    counts = frequent.column("c").to_numpy()
-    if END not in words:
-        words, counts = [*words, END], np.append(counts, 0)
-    assert len(words) < 1 << BITS
-    denominator = n + ADD * (v + 1)
-    ids = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, counts))
-    pairs = stored(base.mapInArrow(lambda it: _bigrams(it, ids, fold), "h binary, w binary, cw long, c long").groupBy("h", "w", "cw").agg(F.sum("c").alias("c")), "bigrams", compression="zstd")
-    few = uni.where(~often).select(F.concat(F.lit(b"\xff"), "word").alias("w"), F.col("c").alias("cw"))
-    after_rare = stored(pairs.where(_is_rare("w")).drop("cw").join(few, "w").select("h", "w", "cw", "c"), "rare-words", compression="zstd")
-    arcs = pairs.where(~_is_rare("w")).unionByName(after_rare)
-    histories = stored(arcs.groupBy("h").agg(F.count("*").alias("many"), F.sum("c").alias("seen"), F.sum("cw").alias("words_seen")), "histories")
-    # at most 1 / word_share rows
-    of_states = histories.where(~_is_rare("h")).toArrow()
-    all_arcs = np.zeros((3, len(words) + 1))
-    all_arcs[:, [int.from_bytes(h, "big") for h in of_states.column("h").to_pylist()]] = [of_states.column(k).to_numpy() for k in ("many", "seen", "words_seen")]
-    sent_along = ~_is_rare("h") & ~_is_rare("w") & (F.col("c") >= max(1, n * bigram_share))
-    # at most 1 / bigram_share rows
-    kept = pairs.where(sent_along).toArrow()
-    h, w = (np.array([int.from_bytes(x, "big") for x in kept.column(k).to_pylist()], dtype=np.int64) for k in ("h", "w"))
-    automaton = Automaton(words, counts, n, v, n_texts, h << BITS | w, kept.column("c").to_numpy(), all_arcs)
-    sent = spark.sparkContext.broadcast(automaton)
-    whole = texts(docs).withColumn("uid", F.monotonically_increasing_id())
-    schema = "doc_id long, uid long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:binary,n:int>>, pairs array<struct<h:binary,w:binary,n:int>>"
-    done = stored(whole.mapInArrow(lambda it: _scored(it, sent, fold), schema), "scored", compression="zstd")
-
-    unigram = lambda c: F.log10((F.col(c) + F.lit(ADD)) / F.lit(denominator))
-    share = (F.col("words_seen") + F.lit(ADD) * F.col("many")) / F.lit(denominator)
-    mass = F.when(share < 1, F.lit(DISCOUNT) * F.col("many") / F.col("seen") / F.greatest(1 - share, F.lit(1e-12))).otherwise(F.lit(1.0))
-    of_rare = histories.where(_is_rare("h")).select("h", "seen", F.log10(F.greatest(mass, F.lit(1e-12))).alias("fail"))
-    from_states = arcs.where(~_is_rare("h") & ~sent_along).mapInArrow(lambda it: _ahead(it, sent), "h binary, w binary, more double")
-    from_rare = arcs.where(_is_rare("h")).join(of_rare, "h").select("h", "w", (F.log10(F.col("c") - F.lit(DISCOUNT)) - F.log10("seen") - F.col("fail") - unigram("cw")).alias("more"))
-    steps = done.select("uid", F.explode("pairs").alias("r")).select("uid", "r.h", "r.w", "r.n")
-    found = steps.join(from_states.unionByName(from_rare), ["h", "w"]).select("uid", F.lit(0.0).alias("base"), (F.col("n") * F.col("more")).alias("score"), F.lit(0).alias("seen"))
-    rare = done.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("h"), "r.n")
-    weight = F.when(F.col("seen").isNull(), F.lit(math.log10(ADD / denominator))).otherwise(unigram("seen"))
-    single = rare.join(of_rare, "h", "left").select("uid", (F.col("n") * weight).alias("base"), (F.col("n") * (weight + F.coalesce("fail", F.lit(0.0)))).alias("score"), F.when(F.col("seen") > 0, F.col("n")).otherwise(0).alias("seen"))
-    sums = found.unionByName(single).groupBy("uid").agg(F.sum("base").alias("more_base"), F.sum("score").alias("more"), F.sum("seen").alias("seen"))
-    out = done.drop("rare", "pairs").join(sums, "uid", "left")
-    none = F.lit(0.0)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0)) - F.lit(int(n == 0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", none)).alias("base_score"), (F.col("score") + F.coalesce("more", none)).alias("score"))
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % F.lit(fold) != 0 if fold else F.lit(True)
+    size, n_texts = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(train.cast("long")), F.lit(0))).first()
+    # three n-grams of eight bytes and their counts to a word of six letters
+    buckets = min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * 5 / BUCKET_BYTES)))
+    by = lambda df, key: df.repartition(key).sortWithinPartitions(key)
+    units = stored(base.mapInArrow(lambda it: _coded(it, unit_tokens), "unit long, data binary"), "coded")
+    told = stored(by(units.mapInArrow(lambda it: _asked(it, fold, buckets), ROWS), "bucket").mapInArrow(_answered, ROWS), "told")
+    # a row of two numbers for each bucket
+    sums = [np.frombuffer(r.data, dtype=np.int64) for r in told.where(F.col("unit") == SUMS).select("data").toLocalIterator()]
+    n, v = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
+    both = told.where(F.col("unit") != SUMS).select("unit", "bucket", "data").union(units.select("unit", F.lit(None).cast("long"), "data"))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return by(both, "unit").mapInArrow(lambda it: _scored(it, fold, n, v, n_texts), schema)

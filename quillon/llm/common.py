@@ -121,6 +121,46 @@ def rows(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes: i
                 start, total = i + 1, 0
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Integers by bytes of equal weight, as the upper ones of sorted or small numbers hardly change, compressed."""
+    return len(a).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind=np.uint64) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, dtype=kind)
+    raw = pa.decompress(data[8:], decompressed_size=width * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def framed(parts: list[bytes]) -> bytes:
+    return b"".join(x for p in parts for x in (len(p).to_bytes(8, "little"), p))
+
+
+def unframed(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], most: int = 200):
+    """(key, rows) of the rows with the same first value, from rows sorted by it."""
+    held, at = [], None
+    for batch in sliced(batches, most):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != at and held:
+                yield at, held
+                held = []
+            at = row[0]
+            held.append(row)
+    if held:
+        yield at, held
+
+
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Whole runs of equal first values, as numpy columns, many runs at a time, from rows sorted by it."""
     rest = None

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, contracted, lookup, rows, runs, sliced, stored, texts
+from .common import components, contracted, grouped, lookup, packed, rows, runs, sliced, stored, texts, unpacked
 from .common import held as keep_nothing
 
 FANOUT = 16
@@ -155,17 +155,6 @@ def _rows(found, names, types):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
 
-def _packed(e: np.ndarray) -> bytes:
-    """Sorted 64-bit entries by bytes of equal weight, as the upper ones hardly change, compressed."""
-    return len(e).to_bytes(8, "little") + pa.compress(e.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    raw = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, n).T).view(np.uint64).ravel()
-
-
 def _unit_rows(found):
     return _rows(found, ["bucket", "unit", "kind", "data"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 
@@ -191,10 +180,10 @@ def _units(batches, size, buckets):
         c = np.diff(np.append(first, len(h)))
         several = first[c > 1]
         doc = b"".join(np.array(x, dtype=np.int64).tobytes() for x in (ids, ns, twins))
-        found = [(unit % buckets, unit, DOCS, doc), (unit % buckets, unit, LOCAL, _packed(e[np.repeat(c > 1, c)]))]
+        found = [(unit % buckets, unit, DOCS, doc), (unit % buckets, unit, LOCAL, packed(e[np.repeat(c > 1, c)]))]
         for kind, part in ((SINGLE, e[first[c == 1]]), (MANY, h[several] << _16 | np.minimum(c[c > 1], 0xFFFF).astype(np.uint64))):
             cuts = np.searchsorted(((part >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24), np.arange(buckets + 1))
-            found += [(b, unit, kind, _packed(part[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+            found += [(b, unit, kind, packed(part[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
         return _unit_rows(found)
 
     for some, text in rows(batches, most_rows=500, most_bytes=4 << 20):
@@ -216,27 +205,13 @@ def _units(batches, size, buckets):
         yield out()
 
 
-def _grouped(batches, most: int = 200):
-    """(key, rows) of the rows with the same first value, from rows sorted by it."""
-    held, at = [], None
-    for batch in sliced(batches, most):
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != at and held:
-                yield at, held
-                held = []
-            at = row[0]
-            held.append(row)
-    if held:
-        yield at, held
-
-
 def _counted(batches):
     """Of each bucket, to each unit that asked, the entries of shingles several documents have, with how many (up to HOT)."""
-    for _, group in _grouped(batches):
+    for _, group in grouped(batches):
         out = [(0, u, k, d) for _, u, k, d in group if k in (DOCS, LOCAL)]
         group = [x for x in group if x[2] in (SINGLE, MANY)]
         if group:
-            parts = [_unpacked(x[3]) for x in group]
+            parts = [unpacked(x[3]) for x in group]
             e, who = np.concatenate(parts), np.repeat(np.arange(len(parts)), list(map(len, parts)))
             order = np.argsort(e >> _16, kind="stable")
             e, who = e[order], who[order]
@@ -251,7 +226,7 @@ def _counted(batches):
             order = np.argsort(who, kind="stable")
             e, df, who = e[order], df[order], who[order]
             cuts = np.searchsorted(who, np.arange(len(group) + 1)).tolist()
-            out += [(0, x[1], x[2], (b - a).to_bytes(8, "little") + df[a:b].tobytes() + _packed(e[a:b])) for x, a, b in zip(group, cuts, cuts[1:]) if b > a]
+            out += [(0, x[1], x[2], (b - a).to_bytes(8, "little") + df[a:b].tobytes() + packed(e[a:b])) for x, a, b in zip(group, cuts, cuts[1:]) if b > a]
         if out:
             yield _unit_rows(out)
 
@@ -261,13 +236,13 @@ SETS = "doc_id long, n long, twin long, hashes binary, often binary"
 
 def _sets(batches, num, den):
     """A row for each document; with the first document of its unit that has the same set, if another; with its shared shingles, and how many documents have each, where they are enough for a link."""
-    for _, group in _grouped(batches):
+    for _, group in grouped(batches):
         of = lambda kind: [x[2] for x in group if x[1] == kind]
         doc = of(DOCS)[0]
         m = len(doc) // 24
         ids, ns, twins = np.frombuffer(doc, dtype=np.int64).reshape(3, m)
-        local = _unpacked(of(LOCAL)[0])
-        pairs = {k: [(_unpacked(d[8 + int.from_bytes(d[:8], "little") :]), np.frombuffer(d, dtype=np.uint8, offset=8, count=int.from_bytes(d[:8], "little"))) for d in of(k)] for k in (SINGLE, MANY)}
+        local = unpacked(of(LOCAL)[0])
+        pairs = {k: [(unpacked(d[8 + int.from_bytes(d[:8], "little") :]), np.frombuffer(d, dtype=np.uint8, offset=8, count=int.from_bytes(d[:8], "little"))) for d in of(k)] for k in (SINGLE, MANY)}
         e, often = (np.concatenate([*(p[k] for p in pairs[SINGLE]), np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.uint8)))
         if len(local):
             many, df = (np.concatenate([p[k] for p in pairs[MANY]]) for k in (0, 1))
@@ -417,7 +392,7 @@ def _raw(data: bytes) -> np.ndarray:
 
 def _verified(batches, num, den):
     """(page, doc_id, n, hashes) sorted by page in, links out."""
-    for _, group in _grouped(batches):
+    for _, group in grouped(batches):
         if len(group) > 1:
             found = join_sets([_raw(g[3]) for g in group], [g[2] for g in group], num, den)
             if found:
@@ -426,7 +401,7 @@ def _verified(batches, num, den):
 
 def _crossed(batches, num, den):
     """(key, side, doc_id, n, component, hashes) sorted by key in, links between sides out."""
-    for _, group in _grouped(batches):
+    for _, group in grouped(batches):
         found = join_sets([_raw(g[5]) for g in group], [g[3] for g in group], num, den, known=[g[4] for g in group], side=[g[1] for g in group])
         if found:
             yield _edges([(group[i][2], group[j][2]) for i, j in found])
@@ -436,7 +411,7 @@ BOX = 256
 
 
 def _boxes(batches):
-    for page, group in _grouped(batches):
+    for page, group in grouped(batches):
         sets = [vector(_raw(g[3]), BOX) for g in group]
         yield pa.RecordBatch.from_pylist([{"page": page, "low": min(g[2] for g in group), "high": np.stack(sets).max(0).tolist()}])
 

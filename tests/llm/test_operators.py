@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import backoff, common, dac, gumbel, radix, recompress, rtree, suffixauto, toxcnn, urlalias, weaklabel
 
@@ -359,6 +360,57 @@ def test_url_verdicts(spark):
     assert urlalias.url_verdicts(pages).count() == len(rows) and urlalias.url_verdicts(pages.where("false")).count() == 0
 
 
+def test_links_resolve(spark):
+    """As a browser reads them: against the standard library's resolution."""
+    from urllib.parse import urljoin
+
+    page = "http://a.com/x/y/z?k=1"
+    links = ["http://b.com/p", "//c.com/q", "/r", "other.html", "../up", "./here/", "../../../far", "?only=q", "a/../b?c=http://evil.net/", "/go?u=http://evil.net/x", "..", "."]
+    found = spark.createDataFrame([(x,) for x in links], "l string").select("l", urlalias.resolved(F.lit(page), F.col("l")).alias("u")).collect()
+    assert {r.l: r.u for r in found} == {x: urljoin(page, x) for x in links}
+    none = spark.createDataFrame([("#top",), ("mailto:a@b.c",), ("javascript:x()",)], "l string").select(urlalias.resolved(F.lit(page), F.col("l")).alias("u")).collect()
+    assert [r.u for r in none] == [None] * 3
+
+
+def test_url_verdicts_over_links(spark):
+    """Against union-find in plain Python and the SQL: relative links, several links of a page, longest urls, ties and clashing columns."""
+    import duckdb
+    from urllib.parse import urldefrag, urljoin
+
+    from quillon.llm import queries
+
+    link = lambda *us: "".join(f"<link rel='canonical' href='{u}'>" for u in us)
+    hop = lambda u: f'<META content="3; URL={u}" HTTP-EQUIV="Refresh">'
+    spec = [
+        (1, "http://a.com/go", ["/go?u=http://evil.net/x"], link), (2, "http://b.com/d/e", ["../f"], link), (3, "http://b.com/f", ["http://bad.net/"], link),
+        (4, "http://c.com/1", ["2", "http://d.com/?a=1&amp;b=2"], link), (5, "http://d.com/?a=1&b=2", ["//worse.net/q"], link), (6, "http://c.com/2", [], link),
+        (7, "http://h.com/" + "l" * 70_000, ["http://bad.net/"], link), (8, "http://i.com/", ["http://j.org/fr/"], link), (9, "http://k.com/", ["http://i.com/"], link), (10, "http://k.com/x", ["http://bad.net/"], link), (8, "http://i.com/", ["http://j.org/fr/"], link), (11, None, [], link), (12, "nowhere", ["http://bad.net/"], link),
+        (13, "http://m.com/a/b", ["../c"], lambda *us: "".join(map(hop, us))), (14, "http://m.com/c", ["http://bad.net/"], lambda *us: "".join(map(hop, us))),
+    ]
+    rows = [(k, u, make(*to), "n", "h", 1) for k, u, to, make in spec]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, node string, host string, component int")
+    node = lambda u: urldefrag(u)[0].split("://", 1)[1]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for _, u, to, _ in spec:
+        for t in to:
+            if u and "://" in u:
+                up[find(node(urljoin(u, t.replace("&amp;", "&"))))] = find(node(u))
+    blocked, allowed = {find(x) for x in list(up) if x.split("/")[0].endswith(".net")}, {find(x) for x in list(up) if x.startswith("j.org/fr/")}
+    want = {k: "block" if u and "://" in u and find(node(u)) in blocked - allowed else "allow" for k, u, _, _ in spec}
+    got = urlalias.url_verdicts(pages)
+    assert {r.page_id: r.verdict for r in got.collect()} == want and got.count() == len(rows)
+    d = duckdb.connect()
+    frame = pages.select("page_id", "url", "html").toPandas()  # noqa: F841
+    d.sql("create table pages as select * from frame")
+    assert dict((r[0], r[4]) for r in d.sql(queries.SQL["op8_url_filter"]).fetchall()) == want
+
+
 def test_components(spark):
     r = random.Random(10)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(80)] + [(7, 7)]
@@ -485,54 +537,67 @@ def test_lm_scores(spark, docs, pairs, none):
     assert Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
     assert all(x.score < 0 for x in got)
     assert backoff.scores(none).count() == 0
-    rare = backoff.scores(docs, word_share=0.02, bigram_share=0.02).collect()
-    assert Counter((x.doc_id, x.n_known, round(x.base_score, 6)) for x in rare) == Counter((x.doc_id, x.n_known, round(x.base_score, 6)) for x in got)
 
 
-def test_automaton_is_a_distribution():
-    r = np.random.default_rng(4)
-    words = [b"a", b"b", b"c", backoff.END]
-    text = r.integers(0, 3, 500)
-    counts = np.append(np.bincount(text, minlength=3), 1)
-    key, n = np.unique(np.append(4, text) << backoff.BITS | np.append(text, 3), return_counts=True)
-    a = backoff.Automaton(words, counts, int(counts.sum()), 4, 1, key, n)
-    unknown = 10 ** (a.fail + math.log10(backoff.ADD / a.denominator))
-    for state in range(5):
-        assert abs(sum(10 ** a.step(state, w)[1] for w in range(4)) + unknown[state] - 1) < 1e-9
-    ids = r.integers(-1, 4, 300)
-    state, want = 4, []
-    for w in ids.tolist():
-        state, x = a.step(state, w)
-        want.append(x)
-    assert np.allclose(a.traverse(ids, np.append(4, ids[:-1])), want)
-
-
-@pytest.mark.parametrize("word_share, bigram_share", [(0.003, 0.003), (0.0, 0.02)])
-def test_lm_scores_of_all_bigrams(docs, pairs, word_share, bigram_share):
-    """Whatever the shares, the scores are those of a model with every bigram of the training texts."""
+def brute_lm(texts_):
+    """log10 p(word | words before) by plain counts of whole word tuples, orders one to three."""
+    c = [Counter(), Counter(), Counter()]
+    for w in texts_:
+        past = [None, *w]
+        c[1][(None,)] += 1
+        for i in range(1, len(past)):
+            c[0][past[i]] += 1
+            c[1][(past[i],)] += 1
+            c[2][tuple(past[i - 1 : i + 1])] += 1
+            if i > 1:
+                c[2][tuple(past[i - 2 : i + 1])] += 1
+    n, v = sum(c[0].values()), len(c[0])
+
+    def p(past, w):
+        x = (c[0][w] + backoff.ADD) / (n + backoff.ADD * (v + 1))
+        for k, weight in ((1, backoff.WORD_K), (2, backoff.PAIR_K)):
+            h = tuple(past[-k:])
+            of = c[k][h] if k == 1 else c[2][h]
+            if len(h) == k and of:
+                x = (c[2][(*h, w)] + weight * x) / (of + weight)
+        return x
+
+    return p
+
+
+@pytest.mark.parametrize("unit_tokens", [backoff.UNIT_TOKENS, 300])
+def test_lm_scores_of_all_ngrams(docs, pairs, unit_tokens):
+    """The scores are those of a model with every n-gram of the training texts, whatever the units."""
     words = lambda t: text_of(t).lower().split() + [backoff.END]
-    c, arcs = Counter(), defaultdict(Counter)
+    p = brute_lm([words(t) for d, t in pairs if crc(d) % 10])
+    want = Counter()
     for d, t in pairs:
-        if crc(d) % 10:
-            for h, w in zip([None, *words(t)], words(t)):
-                c[w] += 1
-                arcs[h][w] += 1
-    n, v = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + backoff.ADD) / (n + backoff.ADD * (v + 1))
-
-    def step(h, w):
-        total = sum(arcs[h].values())
-        if arcs[h][w]:
-            return math.log10((arcs[h][w] - backoff.DISCOUNT) / total)
-        rest = [x for x in arcs[h] if arcs[h][x]]
-        left = backoff.DISCOUNT * len(rest) / total / (1 - sum(map(uni, rest))) if total else 1
-        return math.log10(left * uni(w))
-
-    want = Counter((d, round(sum(step(h, w) for h, w in zip([None, *words(t)], words(t))), 5)) for d, t in pairs)
-    got = backoff.scores(docs, word_share=word_share, bigram_share=bigram_share).collect()
+        past = [None, *words(t)]
+        want[(d, round(sum(math.log10(p(past[:i], past[i])) for i in range(1, len(past))), 5))] += 1
+    got = backoff.scores(docs, unit_tokens=unit_tokens).collect()
     assert Counter((x.doc_id, round(x.score, 5)) for x in got) == want
 
 
+def test_automaton_is_a_distribution():
+    """From every state the weights of all words, one unknown among them, sum to one."""
+    r = random.Random(4)
+    unit = backoff.Unit()
+    for n in (200, 0, 3, 40):
+        unit.add(n, [b"abc"[k : k + 1] for k in r.choices(range(3), k=n)])
+    unit = backoff.Unit.of(unit.close().data())
+    grams, inner = unit.ngrams()
+    keys, counts = zip(*(backoff.distinct(g, np.ones(len(g), bool)) for g in grams))
+    a = backoff.Automaton(list(keys), list(counts), len(unit.flat), len(unit.hashes), 4)
+    every = np.append(unit.hashes, np.uint64(7))  # and an unknown word
+    uni = a.count(1, every)
+    assert (uni > 0).sum() == 4
+    for before in ([], [1], [1, 2], [2, 2], [1, 2, 3], [4], [1, 4], [4, 1], [4, 4]):
+        state = a.start(len(every))
+        for w in before:
+            state, _ = a.step(state, np.full(len(every), every[w]), np.full(len(every), uni[w]))
+        assert abs((10 ** a.step(state, every, uni)[1]).sum() - 1) < 1e-9
+
+
 # -- inputs that are split otherwise from job to job -------------------------------------------------
 
 
