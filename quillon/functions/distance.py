@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 
 def threshold(length: int) -> int:
@@ -41,24 +41,22 @@ def normalised_score(distance: Column, query_length: int, word_length: Column, c
     return F.greatest(F.lit(1), F.floor(100 * (1 - F.least(F.lit(1.0), distance / n)))).cast("int")
 
 
-#: Spellings that fuzzy search takes as one (fixed values), longest first.
-SPELLINGS = [("sch", "s"), ("chs", "cs"), ("sh", "s"), ("ch", "c"), ("th", "t"), ("ph", "f"), ("ck", "k"), ("ae", "a"), ("oe", "o"), ("ue", "u"), ("y", "i")]
-_SPELLING = re.compile("|".join(a for a, _ in SPELLINGS))
-_BY = dict(SPELLINGS)
+#: Spellings that fuzzy search takes as one (fixed values); beside them, a letter that stands twice counts once, and of sch the s is taken for the sc.
+SPELLINGS = [("ue", "u"), ("ae", "a"), ("oe", "o"), ("th", "t"), ("sh", "s"), ("ch", "c"), ("ck", "k"), ("ph", "f"), ("y", "i")]
+_TAKEN = r"sc(?=h)|(.)\1|" + "|".join(a for a, _ in SPELLINGS) + r"|[\s\S]"
 
 
 def fuzzy_form(word: str) -> str:
-    """One spelling for several: listed groups are replaced from left to right, then letters are doubled at most."""
-    out = _SPELLING.sub(lambda m: _BY[m[0]], word)
-    return re.sub(r"(.)\1+", r"\1\1", out)
+    """One spelling for several: from left to right the first rule that fits takes its letters, once."""
+    by = dict(SPELLINGS)
+    return "".join(by.get(m[0], m[0][:1]) for m in re.finditer(_TAKEN, word))
 
 
 def fuzzy_form_col(word: Column) -> Column:
-    @F.pandas_udf(StringType())
-    def form(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else fuzzy_form(w))
-
-    return form(word)
+    """fuzzy_form as a column expression."""
+    to = F.create_map(*[F.lit(x) for pair in SPELLINGS for x in pair])
+    taken = F.regexp_extract_all(word, F.lit(_TAKEN), F.lit(0))
+    return F.array_join(F.transform(taken, lambda t: F.coalesce(F.try_element_at(to, t), F.substring(t, 1, 1))), "")
 
 
 def ruled_distance(a: str, b: str, rules: list[tuple[str, str, float]], cutoff: float) -> float:

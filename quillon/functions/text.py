@@ -68,11 +68,19 @@ def date_token(c: Column) -> Column:
 
 
 def number_token(c: Column, before: int, after: int) -> Column:
-    """Digits before the point, zero-padded to ``before``, and after it, cut or padded to ``after``: sorts as the number does."""
+    """Digits before the point, zero-padded to ``before``, and after it, cut or padded to ``after``: sorts as the number does.
+
+    The point is the first dot, or the first comma where there is no dot. A value with more than ``before`` digits
+    before it is an error, as no token of that width could sort it.
+    """
     digits = F.regexp_replace(c, r"[^0-9,.]", "")
-    point = F.replace(digits, F.lit(","), F.lit("."))
-    whole, part = F.split_part(point, F.lit("."), F.lit(1)), F.split_part(point, F.lit("."), F.lit(2))
-    return F.concat(F.lpad(whole, before, "0"), F.rpad(part, after, "0")) if after else F.lpad(whole, before, "0")
+    dotted = digits.contains(".")
+    plain = lambda part: F.regexp_replace(part, "[,.]", "")
+    whole = plain(F.when(dotted, F.substring_index(digits, ".", 1)).otherwise(F.substring_index(digits, ",", 1)))
+    part = plain(F.when(dotted, F.regexp_extract(digits, r"^[^.]*\.(.*)$", 1)).otherwise(F.regexp_extract(digits, r"^[^,]*,(.*)$", 1)))
+    fits = F.when(F.char_length(whole) <= before, F.lpad(whole, before, "0"))
+    whole = F.when(c.isNotNull(), F.coalesce(fits, F.raise_error(F.concat(F.lit(f"more than {before} digits before the point: "), c))))
+    return F.concat(whole, F.rpad(part, after, "0")) if after else whole
 
 
 def ordering_token(c: Column, rule: str) -> Column:

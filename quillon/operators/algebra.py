@@ -1,64 +1,66 @@
 """Posting-list algebra: matches of a query part given the matches of the parts before it.
 
-``Matches.postings`` has a row for each (doc_id, word, position, score); ``Matches.carry`` a row for
-each document with the summed scores of earlier query parts. All operators are equi-joins on
-doc_id, so the shuffle key is the same throughout and one partitioning serves a whole query.
+``Matches.postings`` has a row for each (doc_id, word, position, score); where earlier parts' scores
+are carried, its column ``carried`` has their sum for the document, the same in all its rows. So each
+part of a query is planned, and scanned, once. All operators are equi-joins on doc_id, so the shuffle
+key is the same throughout and one partitioning serves a whole query.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POSTING = ["doc_id", "word", "position", "score"]
-#: Word and position under which a carried score is shown among postings (fixed values).
+#: Position under which a carried score is shown among postings (fixed value).
 CARRY_POSITION = 99999
 
 
-@dataclass
 class Matches:
-    postings: DataFrame
-    carry: DataFrame | None = None
+    def __init__(self, postings: DataFrame, carry: DataFrame | None = None):
+        """carry: (doc_id, score), a row for each document, if the postings don't have the column yet."""
+        if carry is not None:
+            postings = postings.join(carry.select("doc_id", F.col("score").cast("long").alias("carried")), "doc_id", "left")
+        self.postings = postings
+        self.carries = "carried" in postings.columns
+
+    @property
+    def carry(self) -> DataFrame | None:
+        """(doc_id, score) of the documents with a carried score; None if nothing is carried."""
+        if not self.carries:
+            return None
+        return self.postings.where("carried is not null").groupBy("doc_id").agg(F.max("carried").alias("score"))
+
+    def carried(self) -> Column:
+        return F.col("carried") if self.carries else F.lit(None).cast("long")
 
     def with_carry(self) -> DataFrame:
         """Postings, and a row without word at the last position for each carried score."""
         p = self.postings.select(*POSTING)
-        if self.carry is None:
+        if not self.carries:
             return p
-        c = self.carry.select("doc_id", F.lit(None).cast("string").alias("word"), F.lit(CARRY_POSITION).alias("position"), "score")
-        return p.unionByName(c)
+        return p.unionByName(self.carry.select("doc_id", F.lit(None).cast("string").alias("word"), F.lit(CARRY_POSITION).alias("position"), "score"))
 
 
 def aggregate(how: str) -> Column:
     return F.max("score") if how == "M" else F.sum("score")
 
 
-def _docs(p: DataFrame) -> DataFrame:
-    return p.select("doc_id").distinct()
-
-
-def _sum(frames: list[DataFrame], among: DataFrame) -> DataFrame:
-    both = frames[0]
-    for f in frames[1:]:
-        both = both.unionByName(f)
-    return both.join(among, "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("score").alias("score"))
-
-
-def per_doc(p: DataFrame, how: str = "S") -> DataFrame:
-    return p.groupBy("doc_id").agg(aggregate(how).cast("long").alias("score"))
+def per_doc(m: Matches, how: str = "S") -> DataFrame:
+    """(doc_id, score): a document's postings aggregated, carried scores always added. One aggregation."""
+    total = aggregate(how).cast("long")
+    return m.postings.groupBy("doc_id").agg((total + F.coalesce(F.max("carried"), F.lit(0)) if m.carries else total).alias("score"))
 
 
-def _carries(*some: DataFrame | None) -> list[DataFrame]:
-    return [c.select("doc_id", F.col("score").cast("long").alias("score")) for c in some if c is not None]
+def _docs(p: DataFrame) -> DataFrame:
+    return p.select("doc_id").distinct()
 
 
 def and_(one: Matches, two: Matches, how: str = "S") -> Matches:
     """Postings of the second part in documents of the first; the first part's scores are carried."""
-    kept = two.postings.join(_docs(one.postings), "doc_id", "left_semi")
-    carry = _sum([per_doc(one.postings, how), *_carries(one.carry, two.carry)], _docs(two.postings).join(_docs(one.postings), "doc_id", "left_semi"))
-    return Matches(kept, carry)
+    first = per_doc(one, how).select("doc_id", F.col("score").alias("before"))
+    both = two.postings.join(first, "doc_id")
+    return Matches(both.select(*POSTING, (F.col("before") + F.coalesce(two.carried(), F.lit(0))).alias("carried")))
 
 
 def near(one: Matches, two: Matches, low: int, high: int, same_place: bool = False) -> Matches:
@@ -82,46 +84,50 @@ def near(one: Matches, two: Matches, low: int, high: int, same_place: bool = Fal
 
 def without(one: Matches, two: Matches) -> Matches:
     """Postings of the first part in documents without the second."""
-    cut = lambda d: d.join(_docs(two.postings), "doc_id", "left_anti")
-    return Matches(cut(one.postings), cut(one.carry) if one.carry is not None else None)
+    return Matches(one.postings.join(_docs(two.postings), "doc_id", "left_anti"))
 
 
 def optionally(one: Matches, two: Matches, how: str = "S") -> Matches:
     """All postings of the first part; documents that also match the second carry its scores."""
-    carry = [per_doc(two.postings, how), *_carries(two.carry)]
-    more = _sum(carry, _docs(one.postings))
-    if one.carry is not None:
-        more = more.unionByName(*_carries(one.carry)).groupBy("doc_id").agg(F.sum("score").alias("score"))
-    return Matches(one.postings, more)
+    more = per_doc(two, how).select("doc_id", F.col("score").alias("more"))
+    both = one.postings.join(more, "doc_id", "left")
+    carried = F.when(F.col("more").isNotNull() | one.carried().isNotNull(), F.coalesce("more", F.lit(0)) + F.coalesce(one.carried(), F.lit(0)))
+    return Matches(both.select(*POSTING, carried.alias("carried")))
 
 
 def any_of(parts: list[Matches]) -> Matches:
-    """Postings of any part; the same word at the same place once, with the score of the first part that has it."""
-    tagged = [p.postings.select(*POSTING, F.lit(k).alias("k")) for k, p in enumerate(parts)]
-    both = tagged[0]
-    for t in tagged[1:]:
-        both = both.unionByName(t)
-    out = both.groupBy("doc_id", "word", "position").agg(F.min_by("score", "k").alias("score")).select(*POSTING)
-    carries = _carries(*[p.carry for p in parts])
-    carry = None
-    if carries:
-        carry = carries[0]
-        for c in carries[1:]:
-            carry = carry.unionByName(c)
-        carry = carry.groupBy("doc_id").agg(F.max("score").alias("score"))
-    return Matches(out, carry)
+    """Postings of any part; the same word at the same place once, with the score of the first part that has it.
+
+    A document carries the largest of its parts' carried scores.
+    """
+    carries = any(p.carries for p in parts)
+    both = None
+    for k, p in enumerate(parts):
+        tagged = p.postings.select(*POSTING, F.lit(k).alias("k"), *([p.carried().alias("carried")] if carries else []))
+        both = tagged if both is None else both.unionByName(tagged)
+    more = [F.max("carried").alias("carried")] if carries else []
+    out = both.groupBy("doc_id", "word", "position").agg(F.min_by("score", "k").alias("score"), *more)
+    return Matches(_spread(out, F.max) if carries else out.select(*POSTING))
+
+
+def _spread(postings: DataFrame, how) -> DataFrame:
+    """Postings with one carried score for each document."""
+    return postings.withColumn("carried", how("carried").over(Window.partitionBy("doc_id"))).select(*POSTING, "carried")
 
 
 def value_join(parts: list[Matches]) -> Matches:
-    """Postings of all parts whose word occurs in every part; carries of documents that are left."""
+    """Postings of all parts whose word occurs in every part; documents carry the sum of their parts' carried scores."""
     words = parts[0].postings.select("word").distinct()
     for p in parts[1:]:
         words = words.join(p.postings.select("word").distinct(), "word", "left_semi")
-    both = parts[0].postings.select(*POSTING)
-    for p in parts[1:]:
-        both = both.unionByName(p.postings.select(*POSTING))
-    out = both.join(words, "word", "left_semi").select(*POSTING)
-    carries = _carries(*[p.carry for p in parts])
+    carries = any(p.carries for p in parts)
+    both = None
+    for k, p in enumerate(parts):
+        tagged = p.postings.select(*POSTING, F.lit(k).alias("k"), *([p.carried().alias("carried")] if carries else []))
+        both = tagged if both is None else both.unionByName(tagged)
     if not carries:
-        return Matches(out)
-    return Matches(out, _sum(carries, _docs(out)))
+        return Matches(both.join(words, "word", "left_semi").select(*POSTING))
+    # a part's carry is the same in all its rows of a document, and counts once, also where only another part's word is left
+    once = F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("position", "word")) == 1
+    summed = both.withColumn("one", F.when(once, F.col("carried"))).withColumn("carried", F.sum("one").over(Window.partitionBy("doc_id")))
+    return Matches(summed.join(words, "word", "left_semi").select(*POSTING, "carried"))

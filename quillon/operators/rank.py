@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .algebra import Matches, aggregate
+from .algebra import Matches, aggregate, per_doc
 
 
 def scored_docs(m: Matches, how: str = "S") -> DataFrame:
     """(doc_id, score): a document's postings aggregated, carried scores always added."""
-    docs = m.postings.groupBy("doc_id").agg(aggregate(how).cast("long").alias("score"))
-    if m.carry is None:
-        return docs
-    c = m.carry.groupBy("doc_id").agg(F.sum("score").alias("carried"))
-    return docs.join(c, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("carried", F.lit(0))).alias("score"))
+    return per_doc(m, how)
+
+
+def _kept_carry(m: Matches):
+    return F.coalesce(F.max("carried"), F.lit(0)) if m.carries else F.lit(0)
 
 
 def _direction(rank: str, default: str = "d") -> tuple[str, bool]:
@@ -48,12 +48,17 @@ def word_stats(m: Matches, in_doc: str = "S", across: str = "S") -> DataFrame:
     return one.groupBy("word").agg(aggregate(across).cast("long").alias("score"), F.count("*").alias("doc_count"), F.sum("n").alias("occ_count"), F.max("doc_id").alias("last_doc"))
 
 
-def completions(m: Matches, rank: str = "0d", k: int = 0, in_doc: str = "S", across: str = "S") -> DataFrame:
-    """Word statistics ranked by 0 score, 1 documents, 2 occurrences, 3 word or 4 last document; ties by documents, then word."""
+def completions(m: Matches, rank: str = "0d", k: int = 0, in_doc: str = "S", across: str = "S", likeness: DataFrame | None = None) -> DataFrame:
+    """Word statistics ranked by 0 score, 1 documents, 2 occurrences, 3 word, 4 last document or 5 likeness (of words
+    without one: 0); ties by documents, then word."""
     letter, up = _direction(rank)
-    by = {"0": "score", "1": "doc_count", "2": "occ_count", "3": "word", "4": "last_doc"}[letter]
+    by = {"0": "score", "1": "doc_count", "2": "occ_count", "3": "word", "4": "last_doc", "5": "likeness"}[letter]
     turn = lambda c: F.col(c).asc() if up else F.col(c).desc()
-    out = word_stats(m, in_doc, across).orderBy(turn(by), turn("doc_count"), "word")
+    stats = word_stats(m, in_doc, across)
+    if letter == "5":
+        like = likeness.select("word", "likeness") if likeness is not None else None
+        stats = stats.join(like, "word", "left").fillna(0, ["likeness"]) if like is not None else stats.withColumn("likeness", F.lit(0))
+    out = stats.orderBy(turn(by), turn("doc_count"), "word").drop("likeness")
     return out.limit(k) if k else out
 
 
@@ -69,16 +74,25 @@ def facet_counts(docs: DataFrame, facets: DataFrame) -> DataFrame:
 
 
 def hits_by_completion(m: Matches, rank_words: str = "0d", k: int = 100) -> DataFrame:
-    """(doc_id, score) where each posting counts as its completion does, 1 beyond the k best."""
+    """(doc_id, score) where each posting counts as its completion does, 1 beyond the k best; carried scores are added."""
     best = completions(m, rank_words, k).select("word", F.col("score").alias("cs"))
     p = m.postings.withColumn("word", display(F.col("word"))).join(best, "word", "left")
-    return p.groupBy("doc_id").agg(F.sum(F.coalesce("cs", F.lit(1))).alias("score"))
+    return p.groupBy("doc_id").agg((F.sum(F.coalesce("cs", F.lit(1))) + _kept_carry(m)).alias("score"))
 
 
 def hits_by_likeness(m: Matches, likeness: DataFrame) -> DataFrame:
-    """(doc_id, score) where each posting is damped by its word's likeness in percent; 1 for words without one."""
+    """(doc_id, score) where each posting is damped by its word's likeness in percent, 1 for words without one; carried scores are added."""
     p = m.postings.join(likeness.select("word", "likeness"), "word", "left")
-    return p.groupBy("doc_id").agg(F.sum(F.when(F.col("likeness").isNull(), 1).otherwise(F.floor(F.col("score") * F.col("likeness") / 100))).alias("score"))
+    damped = F.sum(F.when(F.col("likeness").isNull(), 1).otherwise(F.floor(F.col("score") * F.col("likeness") / 100)))
+    return p.groupBy("doc_id").agg((damped + _kept_carry(m)).alias("score"))
+
+
+def page(docs: DataFrame, up: bool = False, k: int = 0, skip: int = 0, n: int = 0) -> DataFrame:
+    """The k best of (doc_id, score), ties by doc id upwards, then page [skip, skip + n)."""
+    out = docs.orderBy(F.col("score").asc() if up else F.col("score").desc(), "doc_id")
+    out = out.limit(k) if k else out
+    out = out.offset(skip) if skip else out
+    return out.limit(n) if n else out
 
 
 def grouped_hits(m: Matches, k: int = 10, per_group: int = 3, rank_words: str = "0d") -> DataFrame:

@@ -11,6 +11,7 @@ from collections import OrderedDict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import algebra, expand, rank
 from ..operators.algebra import Matches
 from ..operators.excerpts import excerpts
@@ -25,6 +26,7 @@ class Index:
         self.postings = rank.custom_scores(postings, custom) if custom is not None else postings.select(*algebra.POSTING)
         self.same_place, self.how, self.most_cached = same_place, max_docs, most_cached
         self._vocab: DataFrame | None = None
+        self.damp = 1.0
         self._cache: OrderedDict[tuple, Matches] = OrderedDict()
         self._pinned: set[tuple] = set()
 
@@ -53,8 +55,8 @@ class Index:
     def _of_words(self, words: DataFrame) -> Matches:
         return Matches(self.postings.join(words.select("word").distinct(), "word", "left_semi").select(*algebra.POSTING))
 
-    def likes(self, node: Q.Word, damp: float = 1.0) -> DataFrame:
-        return expand.similar_words(self.vocabulary, node.text, node.prefix, damp)
+    def likes(self, node: Q.Word) -> DataFrame:
+        return expand.similar_words(self.vocabulary, node.text, node.prefix, self.damp)
 
     # -- trees -----------------------------------------------------------------------------------
 
@@ -90,9 +92,7 @@ class Index:
         if wider is not None:
             found = self._cache[(wider, self.how, self.same_place)]
             keep = F.col("word").startswith(node.last.text) if node.last.prefix else F.col("word") == node.last.text
-            kept = found.postings.where(keep)
-            out = Matches(kept, found.carry.join(kept.select("doc_id").distinct(), "doc_id", "left_semi") if found.carry is not None else None)
-            return out
+            return Matches(found.postings.where(keep))
         return self.compile(node)
 
     def _wider(self, node):
@@ -110,7 +110,7 @@ class Index:
         key = (node, self.how, self.same_place)
         if key not in self._cache:
             m = self.matches(node)
-            self._cache[key] = Matches(m.postings.persist(), m.carry.persist() if m.carry is not None else None)
+            self._cache[key] = Matches(m.postings.persist())
             if pin:
                 self._pinned.add(key)
             while len(self._cache) > self.most_cached and (old := next((k for k in self._cache if k not in self._pinned and k != key), None)):
@@ -118,10 +118,7 @@ class Index:
         return self._cache[key]
 
     def _drop(self, key) -> None:
-        m = self._cache.pop(key)
-        m.postings.unpersist()
-        if m.carry is not None:
-            m.carry.unpersist()
+        self._cache.pop(key).postings.unpersist()
 
     def clear(self) -> None:
         for key in list(self._cache):
@@ -156,19 +153,39 @@ class Index:
         if node is None:
             t = rank.meta_info(self.postings).first()
             return {"query": p.query, "status": 0, "n_hits": t.n_docs, "n_completions": t.n_words, "completions": [], "hits": [], "first": p.first_hit}
+        self.damp = p.fuzzy_dampening
         m = self.matches(node)
+        likeness = self.likes(_last(node)) if isinstance(_last(node), Q.Word) and _last(node).fuzzy else None
         total = rank.totals(m).first()
-        words = rank.completions(m, p.rank_words, p.k_words, p.aggregation[0], p.aggregation[1]).limit(p.completions).collect()
-        ranked = rank.hits(m, p.rank_docs, p.k_hits, p.aggregation[3], p.first_hit, p.hits)
+        words = rank.completions(m, p.rank_words, p.k_words, p.aggregation[0], p.aggregation[1], likeness).limit(p.completions).collect()
+        letter, up = p.rank_docs[:1], p.rank_docs[1:] == "a"
+        if letter == "5":
+            ranked = rank.page(rank.hits_by_completion(m, p.rank_words, p.k_words), up, p.k_hits, p.first_hit, p.hits)
+        elif letter == "7":
+            none = self.spark.createDataFrame([], "word string, likeness int")
+            ranked = rank.page(rank.hits_by_likeness(m, likeness if likeness is not None else none), up, p.k_hits, p.first_hit, p.hits)
+        elif letter == "6":
+            groups = rank.grouped_hits(m, p.completions, 3, p.rank_words).orderBy(F.col("word_score").desc(), "word", "place")
+            ranked = groups.offset(p.first_hit).limit(p.hits)
+        else:
+            ranked = rank.hits(m, p.rank_docs, p.k_hits, p.aggregation[3], p.first_hit, p.hits)
         if self.docs is not None and p.excerpts:
             shown, prefixes = _highlighted(node)
-            ranked = excerpts(ranked, self.docs, shown, prefixes, p.excerpt_radius, p.excerpts)
-            letter, up = p.rank_docs[:1], p.rank_docs[1:] == "a"
+            docs = self.docs.withColumn("info", T.picked_part(F.col("info"), "\t", p.part)) if p.part else self.docs
+            ranked = excerpts(ranked, docs, shown, prefixes, p.excerpt_radius, p.excerpts)
             by = F.col("doc_id" if letter == "1" else "score")
-            ranked = ranked.orderBy(by.asc() if up else by.desc(), "doc_id")
+            order = [F.col("word_score").desc(), F.col("word"), F.col("place")] if letter == "6" else [by.asc() if up else by.desc(), F.col("doc_id")]
+            ranked = ranked.orderBy(*order)
         return {"query": p.query, "status": 0, "n_hits": total.n_hits, "n_completions": total.n_completions, "completions": [r.asDict() for r in words], "hits": [r.asDict() for r in ranked.collect()], "first": p.first_hit}
 
 
+def _last(node):
+    """The part of a query whose words are its completions."""
+    while hasattr(node, "first"):
+        node = node.first if isinstance(node, (Q.Not, Q.Optional)) else node.last
+    return node
+
+
 def _highlighted(node) -> tuple[list[str], list[str]]:
     if isinstance(node, Q.Word):
         return ([], [node.text]) if node.prefix else ([node.text], [])

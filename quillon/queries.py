@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import distance as D
 from .functions import text as T
 from .operators import expand, rank
-from .operators.algebra import Matches
+from .operators.algebra import POSTING, Matches
 from .operators.excerpts import excerpts
+from .plans.query import Word
 from .plans.session import Index
+from .plans.shared import built_index, new_path
 from .sources import ingest
 
 QUERIES: dict = {}
@@ -42,8 +41,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.text_postings(_table(spark, sf_dir, "documents"))
 
 
+def index_table(spark, sf_dir) -> DataFrame:
+    """The index of the documents, built once in a session."""
+    return built_index(spark, f"{sf_dir}/documents", lambda: postings(spark, sf_dir))
+
+
 def index(spark, sf_dir, **options) -> Index:
-    return Index(spark, postings(spark, sf_dir), **options)
+    return Index(spark, index_table(spark, sf_dir), **options)
 
 
 def facets(spark, sf_dir) -> DataFrame:
@@ -61,7 +65,7 @@ def part_records(spark, sf_dir) -> DataFrame:
 
 def part_index(spark, sf_dir) -> Index:
     r = part_records(spark, sf_dir)
-    return Index(spark, ingest.postings(r, PART), ingest.documents(r, PART))
+    return Index(spark, built_index(spark, f"{sf_dir}/part", lambda: ingest.postings(r, PART)), ingest.documents(r, PART))
 
 
 def _named(p: DataFrame) -> DataFrame:
@@ -242,18 +246,18 @@ def totals(spark, sf_dir):
 
 @query(_DOC + " select count(distinct doc_id) n_docs, count(distinct word) n_words, count(distinct (word, doc_id)) n_pairs, count(*) n_postings, max(doc_id) max_doc_id, round(count(*) / count(distinct doc_id), 6) words_per_doc, round(count(*) / count(distinct word), 6) mean_frequency from p")
 def collection_counts(spark, sf_dir):
-    out = rank.meta_info(postings(spark, sf_dir))
+    out = rank.meta_info(index_table(spark, sf_dir))
     return out.withColumns({c: F.round(c, 6) for c in ("words_per_doc", "mean_frequency")})
 
 
 @query(_DOC + " select word, count(distinct doc_id) doc_freq, count(*) occ_freq from p group by 1")
 def vocabulary(spark, sf_dir):
-    return rank.vocabulary(postings(spark, sf_dir))
+    return rank.vocabulary(index_table(spark, sf_dir))
 
 
 @query(_DOC + " select substr(word, 1, 2) block, count(*) n_postings from p group by 1")
 def block_volumes(spark, sf_dir):
-    return rank.block_volumes(postings(spark, sf_dir))
+    return rank.block_volumes(index_table(spark, sf_dir))
 
 
 # -- facets and structured words ----------------------------------------------------------------------
@@ -267,7 +271,7 @@ def facet_counts(spark, sf_dir):
 @query(_DOC + ", h as (select doc_id, count(*) n from p where starts_with(word, 'ther') group by 1) select doc_id, n + 1 score from h join documents using (doc_id) where lang = 'en'")
 def facet_drill_down(spark, sf_dir):
     words = facets(spark, sf_dir).select("doc_id", F.concat(F.lit(":facet:"), "facet", F.lit(":"), "value").alias("word"), F.lit(0).alias("position"), F.lit(1).cast("long").alias("score"))
-    return rank.scored_docs(Index(spark, postings(spark, sf_dir).unionByName(words)).query("ther* :facet:lang:en"))
+    return rank.scored_docs(Index(spark, index_table(spark, sf_dir).select(*POSTING).unionByName(words)).query("ther* :facet:lang:en"))
 
 
 @query(_PART + " select ':facet:p_brand:' || replace(p_brand, ' ', '_') word, count(*) doc_count from t where list_contains(w, (select min(x) from (select unnest(w) x from t))) group by 1")
@@ -303,7 +307,7 @@ def shown_fields(spark, sf_dir):
 
 @query(_DOC + ", v as (select word, count(*) n from p group by 1) select word, levenshtein(word, 'worthles')::int distance from v where levenshtein(word, 'worthles') <= 2 and ((select coalesce(max(n), 0) from v where word = 'worthles') <= 100 or n <= 100 or word = 'worthles')")
 def fuzzy_words(spark, sf_dir):
-    return expand.similar_words(rank.vocabulary(postings(spark, sf_dir)), "worthles").select("word", "distance")
+    return expand.similar_words(rank.vocabulary(index_table(spark, sf_dir)), "worthles").select("word", "distance")
 
 
 @query(_DOC + " select doc_id, count(*) score from p where levenshtein(word, 'worthles') <= 2 group by 1")
@@ -313,14 +317,13 @@ def fuzzy_hits(spark, sf_dir):
 
 @query(_DOC + ", v as (select distinct word from p) select word from v where least(" + ", ".join(f"levenshtein(substr(word, 1, {n}), 'worht')" for n in range(4, 7)) + ") <= 1")
 def fuzzy_prefix(spark, sf_dir):
-    return expand.similar_words(rank.vocabulary(postings(spark, sf_dir)), "worht", completion=True).select("word")
+    return expand.similar_words(rank.vocabulary(index_table(spark, sf_dir)), "worht", completion=True).select("word")
 
 
-@query(_DOC + ", l as (select word, greatest(1, floor(100 * (1 - least(1, levenshtein(word, 'worthles') / greatest(8, length(word))))))::int k from (select distinct word from p) where levenshtein(word, 'worthles') <= 2) select doc_id, sum(floor(k / 100.0))::bigint score from p join l using (word) group by 1")
+@query(_DOC + ", l as (select word, greatest(1, floor(100 * (1 - least(1, levenshtein(word, 'worthles') / greatest(8, length(word))))))::int k from (select distinct word from p) where levenshtein(word, 'worthles') <= 2) select doc_id, sum(floor(90 * k / 100.0))::bigint score from p join l using (word) group by 1")
 def hits_by_likeness(spark, sf_dir):
-    i = index(spark, sf_dir)
-    likes = expand.similar_words(i.vocabulary, "worthles")
-    return rank.hits_by_likeness(i.query("worthles~"), likes)
+    i = Index(spark, index_table(spark, sf_dir).withColumn("score", F.col("score") * 90))
+    return rank.hits_by_likeness(i.query("worthles~"), i.likes(Word("worthles", fuzzy=True)))
 
 
 @query(r"""with v as (select distinct w from (select unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) w from part)) select a.w word, b.w other, levenshtein(a.w, b.w)::int distance from v a join v b on a.w < b.w where levenshtein(a.w, b.w) <= 1""")
@@ -335,16 +338,10 @@ def synonym_hits(spark, sf_dir):
     return rank.scored_docs(index(spark, sf_dir, synonyms=expand.synonym_groups(lines)).query("idiot^"))
 
 
-@query(_DOC + ", v as (select distinct word from p where length(word) <= 12), s as (select word, i, l from (select word, i, unnest(range(6, length(word) - i + 2)) l from (select word, unnest(range(2, length(word) - 4)) i from v))), k as (select word o, i, max(l) l from s where substr(word, i, l) in (select word from v) group by 1, 2) select distinct substr(o, i, l) \"inner\", o \"outer\" from k")
-def partial_words(spark, sf_dir):
-    v = rank.vocabulary(postings(spark, sf_dir)).where(F.char_length("word") <= 12)
-    return expand.partial_words(v, 6)
-
-
 @query()
-def all_partial_words(spark, sf_dir):
-    """partial_words over the whole vocabulary; its SQL is bounded to words of 12 letters, as substrings of long ones are many."""
-    return expand.partial_words(rank.vocabulary(postings(spark, sf_dir)), 6)
+def partial_words(spark, sf_dir):
+    """Over the whole vocabulary; without SQL, as the substrings of long words are many, but held against brute force in the tests."""
+    return expand.partial_words(rank.vocabulary(index_table(spark, sf_dir)), 6)
 
 
 @query(_DOC + ", v as (select word, count(*) n from p group by 1), a as (select word, levenshtein(word, 'idiots') d from v where levenshtein(word, 'idiots') <= 2), b as (select word, levenshtein(word, 'clowns') d from v where levenshtein(word, 'clowns') <= 2), x as (select distinct doc_id, word, d from p join a using (word)), y as (select distinct doc_id, word, d from p join b using (word)) select x.word || ' ' || y.word words, floor(count(*) * greatest(0, 1 - x.d / length(x.word) - y.d / length(y.word)))::bigint score from x join y using (doc_id) group by x.word, y.word, x.d, y.d order by score desc, words limit 10")
@@ -352,9 +349,9 @@ def suggestions(spark, sf_dir):
     return index(spark, sf_dir).suggest(["idiots", "clowns"])
 
 
-@query(_DOC + ", v as (select distinct word from p), l as (select distinct word from p where word like '%worth%') select l.word, 1 distance from l where false")
+@query(_DOC + ", v as (select distinct word from p) select word, levenshtein(word, 'qqqqqqqqqqq')::int distance from v where levenshtein(word, 'qqqqqqqqqqq') <= 3")
 def unknown_word(spark, sf_dir):
-    return expand.similar_words(rank.vocabulary(postings(spark, sf_dir)), "qqqqqqqqqqq").select("word", "distance")
+    return expand.similar_words(rank.vocabulary(index_table(spark, sf_dir)), "qqqqqqqqqqq").select("word", "distance")
 
 
 # -- scalar functions ------------------------------------------------------------------------------------
@@ -379,20 +376,26 @@ def escapes(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.escape_xml(F.col("text")).alias("xml"), T.cdata(F.col("text")).alias("cdata"), T.keep_alphanumeric(F.col("text")).alias("plain"))
 
 
-@query(_DOC + ", v as (select distinct word from p) select word, translate(replace(replace(replace(replace(word, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'àâçéèêëíîïñóôúûù', 'aaceeeeiiinoouuu') norm from v where regexp_full_match(word, '[a-z0-9_äöüßàâçéèêëíîïñóôúûù]*')")
+def _norm_sql() -> str:
+    out = "word"
+    for x, y in T.EXPANDED:
+        out = f"replace({out}, '{x}', '{y}')"
+    return f"translate({out}, '{T.ACCENTED}', '{T.PLAIN}')"
+
+
+@query(_DOC + f", v as (select distinct word from p) select word, {_norm_sql()} norm from v")
 def normal_forms(spark, sf_dir):
-    v = postings(spark, sf_dir).select("word").distinct().where(F.col("word").rlike("^[a-z0-9_äöüßàâçéèêëíîïñóôúûù]*$"))
-    return v.select("word", T.normalise(F.col("word")).alias("norm"))
+    return index_table(spark, sf_dir).select("word").distinct().select("word", T.normalise(F.col("word")).alias("norm"))
 
 
 @query()
 def fuzzy_forms(spark, sf_dir):
-    return postings(spark, sf_dir).select("word").distinct().select("word", D.fuzzy_form_col(F.col("word")).alias("form"))
+    return index_table(spark, sf_dir).select("word").distinct().select("word", D.fuzzy_form_col(F.col("word")).alias("form"))
 
 
 @query()
 def ruled_distances(spark, sf_dir):
-    v = postings(spark, sf_dir).select("word").distinct()
+    v = index_table(spark, sf_dir).select("word").distinct()
     return v.select("word", D.ruled_distance_col("wortles", [("t", "th", 0.2), ("s", "ss", 0.2)], 3.0)("word").alias("distance")).where("distance <= 3")
 
 
@@ -402,13 +405,12 @@ def hit_excerpts(spark, sf_dir):
     return excerpts(rank.hits(i.query("idiot clo*"), k=50), _table(spark, sf_dir, "documents").select("doc_id", "text"), ["idiot"], ["clo"]).select("doc_id", "score", "excerpts")
 
 
-@query()
+@query(_DOC + " select word, count(*) n from p group by 1")
 def event_stream(spark, sf_dir):
     """Word counts of a stream of documents, written batch by batch and read back."""
     from .streaming.ingest import append_postings
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-stream-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     stream = spark.readStream.schema(_table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     q = append_postings(stream.select("doc_id", "text"), ingest.Options(full_text=["text"]), f"{base}/postings", f"{base}/state")
     q.awaitTermination()

@@ -62,11 +62,12 @@ def _writers(o: Options, name: str, item: Column) -> Column:
         out.append(F.transform(words, lambda w: entry(F.concat(F.lit(f"{s}filter{s}{name}{s}"), w), 1)))
     if name in o.filters_plus:
         out.append(F.transform(words, lambda w: entry(F.concat(F.lit(f"{s}filter{s}{name}{s}"), w, F.lit(s), T.underscored(item)), 1)))
+    filled = lambda words: F.when(item != "", words).otherwise(F.array().cast("array<struct<word:string,step:int>>"))  # noqa: E731  an empty field writes nothing
     for kind, fields in (("facet", o.facets), ("facetid", o.facet_ids)):
         if name in fields:
-            out.append(F.array(entry(F.concat(F.lit(f"{s}{kind}{s}{name}{s}"), T.underscored(item)), 1)))
+            out.append(filled(F.array(entry(F.concat(F.lit(f"{s}{kind}{s}{name}{s}"), T.underscored(item)), 1))))
     if name in o.orderings:
-        out.append(F.array(entry(F.concat(F.lit(f"{s}ordering{s}{name}{s}"), T.ordering_token(item, o.orderings[name])), 1)))
+        out.append(filled(F.array(entry(F.concat(F.lit(f"{s}ordering{s}{name}{s}"), T.ordering_token(item, o.orderings[name])), 1))))
     return F.concat(*out) if out else F.array().cast("array<struct<word:string,step:int>>")
 
 

@@ -79,7 +79,7 @@ def read_words(spark: SparkSession, path: str, form: str = "htdig", dedup: bool
     else:
         f = F.split("value", "\t", -1)
         n = 4 if form == "htdig" else 3
-        lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.octet_length("value") <= most_bytes) & (F.size(f) == n))
+        lines = spark.read.text(path).where((F.octet_length("value") <= most_bytes) & (F.size(f) == n))  # a comment has other fields; words may begin with #
         try_long = lambda c: c.try_cast("long")
         out = lines.select(try_long(f[1]).alias("doc_id"), f[0].alias("word"), try_long(f[n - 1]).cast("int").alias("position"), (try_long(f[2]) if form == "htdig" else F.lit(1).cast("long")).alias("score"))
         out = out.where("word <> '' and doc_id is not null and position is not null and score is not null")

@@ -1,5 +1,6 @@
 """Scalar functions, fuzzy words, synonyms, partial words, excerpts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon import queries
@@ -23,9 +24,12 @@ def test_distances(spark):
     assert D.ruled_distance("fone", "phone", [("f", "ph", 0.25)], 2) == 0.25
 
 
-def test_fuzzy_forms():
-    assert D.fuzzy_form("philosophy") == "filosofi"
-    assert D.fuzzy_form("tttt") == "tt"
+def test_fuzzy_forms(spark):
+    # forms that have to be these (fixed values)
+    want = {"chshysh": "csis", "marjan": "marjan", "qwertrewq": "qwertrewq", "123456789": "123456789", "ckaaashhsue": "kaashsu", "": "", "ueoeaessss": "uoass", "philosophy": "filosofi", "tttt": "tt", "letter": "leter", "schule": "shule"}
+    assert {w: D.fuzzy_form(w) for w in want} == want
+    found = spark.createDataFrame([(w,) for w in want], "w string").select("w", D.fuzzy_form_col(F.col("w")).alias("f")).collect()
+    assert {r.w: r.f for r in found} == want
 
 
 def test_similar_words(spark):
@@ -63,7 +67,7 @@ def test_partial_words_of_any_length(spark):
             if inner:
                 want.add((inner, outer))
     assert any(len(outer) > 12 for _, outer in want)
-    assert {(r.inner, r.outer) for r in queries.QUERIES["all_partial_words"](spark, sf).collect()} == want
+    assert {(r.inner, r.outer) for r in queries.QUERIES["partial_words"](spark, sf).collect()} == want
 
 
 def test_suggestions(spark):
@@ -79,6 +83,9 @@ def test_text_functions(spark):
     assert v(T.convert_date(lit("7.1.2010"))) == "07-01-2010" and v(T.convert_date(lit("2010-1-22"))) == "22-01-2010" and v(T.convert_date(lit("31-31-2010"))) == ""
     assert v(T.date_token(lit("22-01-2010"))) == "20100122"
     assert v(T.number_token(lit("1.12345678"), 2, 8)) == "0112345678" and v(T.number_token(lit("12345678.9"), 8, 2)) == "1234567890"
+    assert v(T.number_token(lit("1.234,5"), 2, 4)) == "012345" and v(T.number_token(lit("3,25"), 2, 2)) == "0325" and v(T.number_token(lit("17"), 4, 1)) == "00170"
+    with pytest.raises(Exception, match="more than 4 digits"):
+        v(T.number_token(lit("12345.67"), 4, 2))
     assert v(T.tokens(lit("c+ c++"), ["c++"])) == ["c", "c++"]
     assert v(T.tokens(lit("yahoo? +yahoo!."), ["yahoo!"])) == ["yahoo", "yahoo!"]
     assert v(T.normalise(lit("Müller Café"))) == "mueller cafe"
