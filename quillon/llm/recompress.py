@@ -5,7 +5,8 @@ name, says whether it may open or close a pair), so equal passages get the same
 whatever stands around them. A name is computed from what it stands for and so agrees on all
 executors. Each window of words is represented by one interior symbol of its highest round with its
 neighbours, chosen by the window's content alone; a Spark round tells which such names several
-documents share, and a second one verifies the windows themselves and finds their first document.
+documents share, and a second one tells these windows apart by 128 bits of a hash of their words and
+finds their first document.
 
 Both rounds answer to the part of the documents a question came from, by tables in the shared folder,
 so texts are never shuffled. Documents are first written as a table in which every row has the label
@@ -14,6 +15,7 @@ of its part; what partitions later jobs read that table in doesn't matter.
 
 from __future__ import annotations
 
+import re
 from itertools import groupby
 
 import numpy as np
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, rows, stored, texts
+from .common import new_path, rows, runs, stored, texts
 
 WINDOW, ROUNDS = 13, 1
 #: Names a task gathers before it sends them.
@@ -44,12 +46,12 @@ class Batch:
         self.sizes = np.fromiter(map(len, self.words), dtype=np.int64, count=len(text))
         self.start = np.cumsum(self.sizes + 1) - self.sizes - 1
         total = int(self.sizes.sum()) + len(text)
-        names = np.empty(total, dtype=np.uint64)
         mark = np.zeros(total, dtype=bool)
         mark[self.start + self.sizes] = True
-        names[~mark] = np.fromiter((h for w in self.words for h in map(xxhash.xxh3_64_intdigest, w)), dtype=np.uint64, count=int(self.sizes.sum()))
-        names[mark] = np.arange(len(text), dtype=np.uint64)
-        self.names, self.mark = names, mark
+        both = np.zeros((2, total), dtype=np.uint64)
+        both[:, ~mark] = np.frombuffer(b"".join(h for w in self.words for h in map(xxhash.xxh3_128_digest, w)), dtype=np.uint64).reshape(-1, 2).T
+        both[0, mark] = np.arange(len(text), dtype=np.uint64)
+        (self.names, self.checks), self.mark = both, mark
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First places of all windows of ``size`` words, and the text each is in."""
@@ -57,12 +59,19 @@ class Batch:
         who = np.repeat(np.arange(len(n)), n)
         return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + self.start[who], who
 
-    def window_names(self, size: int, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(max(0, len(self.names) - size + 1), dtype=np.uint64)
+    def _over(self, values: np.ndarray, size: int, by: np.uint64) -> np.ndarray:
+        out = np.zeros(max(0, len(values) - size + 1), dtype=np.uint64)
         for j in range(size):
-            out *= _M[0]
-            out += self.names[j : len(self.names) - size + 1 + j]
-        return mix(out[at] + _M[3])
+            out *= by
+            out += values[j : len(values) - size + 1 + j]
+        return out
+
+    def window_names(self, size: int, at: np.ndarray) -> np.ndarray:
+        return mix(self._over(self.names, size, _M[0])[at] + _M[3])
+
+    def window_checks(self, size: int, at: np.ndarray) -> np.ndarray:
+        """The other half of the windows' 128 bits, from the other half of the words'."""
+        return mix(self._over(self.checks, size, _M[4])[at] + _M[1])
 
 
 def one_round(names: np.ndarray, mark: np.ndarray):
@@ -128,7 +137,7 @@ def anchors(batch: Batch, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.
 def _by_part(batches, each):
     """What ``each`` makes of the rows of one part, (doc_id, text) batches and the part's label, for each run of them."""
 
-    def runs():
+    def parts():
         for batch in batches:
             p = batch.column(2).to_numpy()
             cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
@@ -136,7 +145,7 @@ def _by_part(batches, each):
                 if b > a:
                     yield int(p[a]), batch.slice(a, b - a)
 
-    for p, found in groupby(runs(), key=lambda x: x[0]):
+    for p, found in groupby(parts(), key=lambda x: x[0]):
         yield from each((batch for _, batch in found), p)
 
 
@@ -168,26 +177,9 @@ def _sent(batches, p, size, rounds):
         yield out()
 
 
-def _runs(batches):
-    """Whole runs of equal first values, as numpy columns, many at a time, from rows sorted by it."""
-    rest = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        if not len(cols[0]):
-            continue
-        cut = np.searchsorted(cols[0], cols[0][-1], side="left")
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield [c[:cut] for c in cols]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
 def _shared(batches):
     """The names several documents have, for each part that asked."""
-    for name, source in _runs(batches):
+    for name, source in runs(batches):
         first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         sizes = np.diff(np.append(first, len(name)))
         many = np.repeat((sizes > 1) | (np.maximum.reduceat(source & 1, first) > 0), sizes)
@@ -195,11 +187,11 @@ def _shared(batches):
 
 
 def _told(path: str, p: int, columns: list[str]):
-    """What the shared table tells this part: columns, sorted by the first."""
+    """What the shared table tells this part: columns, sorted by the first. Schemes are those Arrow opens (file, hdfs, s3, gs, abfss)."""
     import pyarrow.fs as pfs
     import pyarrow.parquet as pq
 
-    fs, root = pfs.FileSystem.from_uri(path)
+    fs, root = pfs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
     found = fs.get_file_info(pfs.FileSelector(f"{root}/p={p}", allow_not_found=True))
     parts = [pq.ParquetFile(fs.open_input_file(f.path)).read(columns=columns) for f in found if f.base_name.endswith(".parquet")]
     cols = [np.concatenate([t.column(c).to_numpy() for t in parts]) if parts else np.zeros(0, dtype=np.int64) for c in columns]
@@ -215,25 +207,34 @@ def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == values, at, -1)
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
 def _asked(batches, p, path, size, rounds):
-    """(window name, first and last document here, part) of the windows whose representative is shared."""
+    """(window name and check, first and last document here, part) of the windows whose representative is shared."""
     (shared,) = _told(path, p, ["name"])
     held, n = [], 0
 
     def out():
-        names, docs = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((docs, names))
-        names, docs = names[order], docs[order]
-        first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        names, checks, docs = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((docs, checks, names))
+        names, checks, docs = names[order], checks[order], docs[order]
+        first = _changes(names, checks)
         last = np.append(first[1:], len(names)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(names[first]), pa.array(docs[first]), pa.array(docs[last]), pa.array(np.full(len(first), p, dtype=np.int64))], names=["name", "low", "high", "p"])
+        cols = [names[first], checks[first], docs[first], docs[last], np.full(len(first), p, dtype=np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["name", "check", "low", "high", "p"])
 
     for ids, text in rows(batches, most_rows=300, most_bytes=1 << 20):
         b = Batch(text)
-        _, who, chosen, whole = anchors(b, size, rounds)
+        at, who, chosen, whole = anchors(b, size, rounds)
         known = (_within(chosen.view(np.int64), shared) >= 0) & ~np.array([d is None for d in ids])[who]
-        held.append((whole[known].view(np.int64), np.array([d or 0 for d in ids], dtype=np.int64)[who[known]]))
-        n += len(held[-1][0])
+        if known.any():
+            held.append((whole[known].view(np.int64), b.window_checks(size, at[known]).view(np.int64), np.array([d or 0 for d in ids], dtype=np.int64)[who[known]]))
+            n += len(held[-1][0])
         if n > BUFFER:
             yield out()
             held, n = [], 0
@@ -242,23 +243,36 @@ def _asked(batches, p, path, size, rounds):
 
 
 def _earliest(batches):
-    """(p, window name, its first document), to the parts that have the window in a later one."""
-    for name, low, high, p in _runs(batches):
-        first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+    """(p, window name and check, its first document), to the parts that have the window in a later one."""
+    for name, check, low, high, p in runs(batches):
+        first = _changes(name, check)
         least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(name))))
         later = high > least
-        yield pa.RecordBatch.from_arrays([pa.array(p[later]), pa.array(name[later]), pa.array(least[later])], names=["p", "name", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[later]) for c in (p, name, check, least)], names=["p", "name", "check", "low"])
+
+
+def _same(names, checks, among, among_checks) -> np.ndarray:
+    """Places of (name, check) among those sorted by name; -1 where missing."""
+    at = _within(names, among)
+    while True:  # one step for each further entry of the same name
+        wrong = np.flatnonzero(at >= 0)
+        wrong = wrong[among_checks[at[wrong]] != checks[wrong]]
+        if not len(wrong):
+            return at
+        after = at[wrong] + 1
+        more = (after < len(among)) & (among[np.minimum(after, len(among) - 1)] == names[wrong])
+        at[wrong] = np.where(more, after, -1)
 
 
 def _cut(batches, p, path, size):
-    names, low = _told(path, p, ["name", "low"])
+    names, checks, low = _told(path, p, ["name", "check", "low"])
     for ids, text in rows(batches, most_rows=300, most_bytes=1 << 20):
         b = Batch(text)
         at, who = b.windows(size)
         covered = np.zeros(len(b.names) + 1, dtype=np.int64)
         if len(at) and len(names):
-            found = _within(b.window_names(size, at).view(np.int64), names)
             doc = np.array([-(1 << 63) if d is None else d for d in ids], dtype=np.int64)[who]
+            found = _same(b.window_names(size, at).view(np.int64), b.window_checks(size, at).view(np.int64), names, checks)
             hit = at[(found >= 0) & (low[found] < doc)]
             np.add.at(covered, hit, 1)
             np.add.at(covered, hit + size, -1)
@@ -284,11 +298,13 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) ->
     base = stored(texts(docs, p=F.spark_partition_id().cast("long")), "parts", compression="zstd")
     names = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _sent(part, p, size, rounds)), "name long, source long")
     shared = names.repartition("name").sortWithinPartitions("name").mapInArrow(_shared, "p long, name long")
-    to_p = lambda df, path: df.repartition("p").sortWithinPartitions("p").write.partitionBy("p").parquet(path)
+    # dealt by the label itself: hashing so few values would give some tasks several times the others' share
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to_p = lambda df, path: df.repartitionById(tasks, F.col("p").cast("int")).sortWithinPartitions("p").write.partitionBy("p").parquet(path)
     first, second = new_path(spark, "shared-names"), new_path(spark, "first-documents")
     to_p(shared, first)
-    asked = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _asked(part, p, first, size, rounds)), "name long, low long, high long, p long")
-    found = asked.repartition("name").sortWithinPartitions("name").mapInArrow(_earliest, "p long, name long, low long")
+    asked = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _asked(part, p, first, size, rounds)), "name long, check long, low long, high long, p long")
+    found = asked.repartition("name").sortWithinPartitions("name", "check").mapInArrow(_earliest, "p long, name long, check long, low long")
     to_p(found, second)
     return base.mapInArrow(lambda it: _by_part(it, lambda part, p: _cut(part, p, second, size)), "doc_id long, n_words long, removed array<struct<a:int,b:int>>, kept binary")
 

@@ -296,6 +296,19 @@ def test_repeated_spans(spark, docs, pairs, none, rounds):
     assert recompress.repeated_spans(none).count() == 0
 
 
+def test_windows_of_one_name_are_told_apart():
+    names, checks = np.array([3, 5, 5, 5, 9]), np.array([1, 4, 6, 7, 2])
+    asked = np.array([[5, 7], [5, 4], [5, 8], [9, 2], [3, 2], [4, 1], [10, 0]]).T
+    assert recompress._same(*asked, names, checks).tolist() == [3, 1, -1, 4, -1, -1, -1]
+    assert recompress._same(*asked, names[:0], checks[:0]).tolist() == [-1] * 7
+    text = [b"a b c a b d", b"", b"b a c a b d"]
+    b = recompress.Batch(text)
+    at, _ = b.windows(3)
+    want = [tuple(t.split()[i : i + 3]) for t in text for i in range(max(0, len(t.split()) - 2))]
+    for found in (b.window_names(3, at), b.window_checks(3, at)):
+        assert [[x == y for x in found] for y in found] == [[x == y for x in want] for y in want]
+
+
 # -- 7 ---------------------------------------------------------------------------------------------
 
 
