@@ -58,9 +58,12 @@ def lookup(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` made and nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stored_at)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:

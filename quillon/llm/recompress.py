@@ -5,7 +5,7 @@ name, says whether it may open or close a pair), so equal passages get the same
 whatever stands around them. A name is computed from what it stands for and so agrees on all
 executors. Each window of words is represented by one interior symbol of its highest round with its
 neighbours, chosen by the window's content alone; a Spark round tells which such names several
-documents share, and a second one tells these windows apart by 128 bits of a hash of their words and
+documents share, and a second one tells these windows apart by 96 bits of hashes of their words and
 finds their first document.
 
 Both rounds answer to the part of the documents a question came from, by tables in the shared folder,
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, rows, runs, stored, texts
+from .common import delete, new_path, rows, runs, stored, texts
 
 WINDOW, ROUNDS = 13, 1
 #: Names a task gathers before it sends them.
@@ -70,8 +70,8 @@ class Batch:
         return mix(self._over(self.names, size, _M[0])[at] + _M[3])
 
     def window_checks(self, size: int, at: np.ndarray) -> np.ndarray:
-        """The other half of the windows' 128 bits, from the other half of the words'."""
-        return mix(self._over(self.checks, size, _M[4])[at] + _M[1])
+        """32 bits more of the windows, from the other half of the words' bits."""
+        return (mix(self._over(self.checks, size, _M[4])[at] + _M[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def one_round(names: np.ndarray, mark: np.ndarray):
@@ -233,7 +233,7 @@ def _asked(batches, p, path, size, rounds):
         at, who, chosen, whole = anchors(b, size, rounds)
         known = (_within(chosen.view(np.int64), shared) >= 0) & ~np.array([d is None for d in ids])[who]
         if known.any():
-            held.append((whole[known].view(np.int64), b.window_checks(size, at[known]).view(np.int64), np.array([d or 0 for d in ids], dtype=np.int64)[who[known]]))
+            held.append((whole[known].view(np.int64), b.window_checks(size, at[known]), np.array([d or 0 for d in ids], dtype=np.int64)[who[known]]))
             n += len(held[-1][0])
         if n > BUFFER:
             yield out()
@@ -272,7 +272,7 @@ def _cut(batches, p, path, size):
         covered = np.zeros(len(b.names) + 1, dtype=np.int64)
         if len(at) and len(names):
             doc = np.array([-(1 << 63) if d is None else d for d in ids], dtype=np.int64)[who]
-            found = _same(b.window_names(size, at).view(np.int64), b.window_checks(size, at).view(np.int64), names, checks)
+            found = _same(b.window_names(size, at).view(np.int64), b.window_checks(size, at), names, checks)
             hit = at[(found >= 0) & (low[found] < doc)]
             np.add.at(covered, hit, 1)
             np.add.at(covered, hit + size, -1)
@@ -303,9 +303,10 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) ->
     to_p = lambda df, path: df.repartitionById(tasks, F.col("p").cast("int")).sortWithinPartitions("p").write.partitionBy("p").parquet(path)
     first, second = new_path(spark, "shared-names"), new_path(spark, "first-documents")
     to_p(shared, first)
-    asked = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _asked(part, p, first, size, rounds)), "name long, check long, low long, high long, p long")
-    found = asked.repartition("name").sortWithinPartitions("name", "check").mapInArrow(_earliest, "p long, name long, check long, low long")
+    asked = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _asked(part, p, first, size, rounds)), "name long, check int, low long, high long, p long")
+    found = asked.repartition("name").sortWithinPartitions("name", "check").mapInArrow(_earliest, "p long, name long, check int, low long")
     to_p(found, second)
+    delete(spark, first)
     return base.mapInArrow(lambda it: _by_part(it, lambda part, p: _cut(part, p, second, size)), "doc_id long, n_words long, removed array<struct<a:int,b:int>>, kept binary")
 
 
