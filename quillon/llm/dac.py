@@ -272,7 +272,7 @@ def _segments(batches):
         yield flush()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: int | None = None, by_word: bool = True) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: int | None = None, by_word: bool = False) -> str:
     """Encode every whole text, append ``end_id``, and write segments to ``path`` in ascending doc_id order.
 
     ``parts`` ranges of doc_id (default: the shuffle partitions) are cut at quantiles of the ids of all
@@ -331,6 +331,32 @@ def _crcs(docs, start, ids, a, b):
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start, pa.int64()), pa.array(b - a, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    path = write_tokens(docs, new_path(docs.sparkSession, "tokens"), tokenizer, end_id)
+def tokens_at(spark, path: str, positions: list[int]) -> DataFrame:
+    """(position, token) of the given places among all ids of a token file, each place once.
+
+    Only segments that hold one are opened, and of these only the chunks of the token asked for: the
+    rank directories lead from level to level and nothing is decoded. A place outside is an IndexError.
+    """
+    table = spark.read.parquet(path)
+    sizes = sorted(map(tuple, table.groupBy("part").agg(F.sum("n_tokens")).collect()))  # one row for each range
+    ends = np.cumsum([n for _, n in sizes], dtype=np.int64)
+    asked = sorted(set(positions))
+    if asked and not (len(ends) and 0 <= asked[0] and asked[-1] < ends[-1]):
+        raise IndexError("a position outside the file")
+    which = np.searchsorted(ends, np.array(asked, dtype=np.int64), side="right").tolist()
+    wanted = [(sizes[k][0], int(i - ends[k] + sizes[k][1]), i) for i, k in zip(asked, which)]
+    places = spark.createDataFrame(wanted, "at_part int, place long, position long")
+    here = (F.col("part") == F.col("at_part")) & (F.col("place") >= F.col("part_start")) & (F.col("place") < F.col("part_start") + F.col("n_tokens"))
+    found = table.where(F.col("part").isin([p for p, _, _ in wanted])).join(F.broadcast(places), here)
+    return found.select("position", (F.col("place") - F.col("part_start")).alias("i"), "image").mapInArrow(_picked, "position long, token long")
+
+
+def _picked(batches):
+    for batch in batches:
+        tokens = [Segment(image)[i] for i, image in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], names=["position", "token"])
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, by_word: bool = False) -> DataFrame:
+    path = write_tokens(docs, new_path(docs.sparkSession, "tokens"), tokenizer, end_id, by_word=by_word)
     return read_digests(docs.sparkSession, path)

@@ -14,7 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_output(spark, sf_dir):
     import public_tokenizers
 
-    return dac.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    # this tokenizer drops white space, so words can be encoded one by one
+    return dac.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True)
 
 
 def op2_quality(spark, sf_dir):

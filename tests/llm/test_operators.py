@@ -80,7 +80,7 @@ def test_token_files(spark, docs, pairs, none):
 
     path = public.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in dac.encoded(docs, path).collect()))
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in dac.encoded(docs, path, by_word=True).collect()))
     start, want = 0, Counter()
     for d, t in sorted(pairs, key=lambda x: (x[0] is not None, x[0] or 0)):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
@@ -92,10 +92,17 @@ def test_token_files(spark, docs, pairs, none):
         assert s == start
         start += n
     assert dac.encoded(none, path).count() == 0
-    whole = dac.write_tokens(docs, common.new_path(spark, "whole"), path, by_word=False)
+    whole = dac.write_tokens(docs, common.new_path(spark, "whole"), path)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in dac.read_digests(spark, whole).collect()) == want
     lists = dac.read_tokens(spark, whole).where("doc_id = 51").first()
     assert lists.ids == tok.encode("one two", add_special_tokens=False).ids + [1]
+    flat = {r.start + i: x for r in dac.read_tokens(spark, whole).collect() for i, x in enumerate(r.ids)}
+    some = [0, 1, len(flat) - 1, *range(5, len(flat), 97), 5]
+    assert sorted(map(tuple, dac.tokens_at(spark, whole, some).collect())) == sorted((i, flat[i]) for i in set(some))
+    assert dac.tokens_at(spark, whole, []).count() == 0
+    for outside in (-1, len(flat)):
+        with pytest.raises(IndexError):
+            dac.tokens_at(spark, whole, [0, outside])
 
 
 def test_words_like_the_library():
@@ -135,6 +142,19 @@ def test_quality(spark, docs, pairs, none):
     assert min(out[k] for k, _ in good) > max(out[k] for k, _ in bad)
 
 
+def test_quality_as_one_pass(docs, pairs):
+    """All rows on one machine: patterns counted, labellers fitted, every distinct row in the scorer's sample."""
+    rows = list(dict.fromkeys((d, text_of(t)) for d, t in pairs))
+    prior, tables = weaklabel.fit_labellers(dict(Counter(weaklabel.votes(text_of(t)) for _, t in pairs)))
+    truth = lambda t: weaklabel.posterior(weaklabel.votes(t), prior, tables)
+    w, b = weaklabel.fit_scorer([(t, truth(t)) for _, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))])
+    weights = weaklabel._Weights(w)
+    want = sorted((d or -1, weaklabel.votes(t), truth(t), weaklabel.score(t, weights, b)) for d, t in ((d, text_of(t)) for d, t in pairs))
+    got = sorted((r.doc_id or -1, r.votes, r.posterior, r.score) for r in weaklabel.quality(docs).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2:] for x in got], [x[2:] for x in want], atol=1e-6)
+
+
 # -- 3 ---------------------------------------------------------------------------------------------
 
 
