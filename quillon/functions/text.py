@@ -37,6 +37,14 @@ def normalise(c: Column) -> Column:
     return F.translate(out, ACCENTED, PLAIN)
 
 
+def normal_form(word: str) -> str:
+    """``normalise`` for a word of a query."""
+    word = word.lower()
+    for a, b in EXPANDED:
+        word = word.replace(a, b)
+    return word.translate(str.maketrans(ACCENTED, PLAIN))
+
+
 def underscored(c: Column) -> Column:
     return F.replace(c, F.lit(" "), F.lit("_"))
 

@@ -30,13 +30,20 @@ def excerpt_column(text: Column, matches, radius: int, most: int, before: str =
 
 
 def matcher(words: list[str], prefixes: list[str]):
-    """Whether a word is one of ``words`` or begins with one of ``prefixes``; parts of a word joined by ^ match each for itself."""
+    """Whether a word is one of ``words`` or begins with one of ``prefixes``.
+
+    In a word with ^ before its parts, every part begins an end of the word: ``^flug^hafen`` is flughafen and hafen, not
+    flug, and begins as these do. ^^ parts words of their own.
+    """
     def matches(w: Column) -> Column:
         out = w.isin(*words) if words else F.lit(False)
         for p in prefixes:
             out = out | w.startswith(p)
         return out
-    return lambda w: F.exists(F.split(w, r"\^"), matches)
+    def ends(word: Column) -> Column:
+        parts = F.filter(F.split(word, r"\^"), lambda x: x != "")
+        return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts) - i), ""))
+    return lambda w: F.exists(F.flatten(F.transform(F.split(w, r"\^{2,}"), ends)), matches)
 
 
 def clean_markers(c: Column) -> Column:

@@ -21,12 +21,13 @@ from . import query as Q
 class Index:
     """postings (doc_id, word, position, score); docs (doc_id, url, title, info, text), synonyms and custom scores if any."""
 
-    def __init__(self, spark: SparkSession, postings: DataFrame, docs: DataFrame | None = None, synonyms: DataFrame | None = None, custom: DataFrame | None = None, most_cached: int = 200, same_place: bool = False, max_docs: str = "S"):
+    def __init__(self, spark: SparkSession, postings: DataFrame, docs: DataFrame | None = None, synonyms: DataFrame | None = None, custom: DataFrame | None = None, most_cached: int = 200, same_place: bool = False, max_docs: str = "S", normalise: bool = False):
         self.spark, self.docs, self.synonyms = spark, docs, synonyms
         self.postings = rank.custom_scores(postings, custom) if custom is not None else postings.select(*algebra.POSTING)
         self.same_place, self.how, self.most_cached = same_place, max_docs, most_cached
         self._vocab: DataFrame | None = None
         self.damp = 1.0
+        self.normalise = normalise  # the postings have words norm:<normal form>:<word>
         self._cache: OrderedDict[tuple, Matches] = OrderedDict()
         self._pinned: set[tuple] = set()
 
@@ -131,8 +132,12 @@ class Index:
 
     # -- answers ---------------------------------------------------------------------------------
 
+    def tree(self, q: str, window: tuple[int, int] = (-10, 10)):
+        q = Q.cleaned(q)
+        return Q.parse(Q.normalised(q) if self.normalise else q, window)
+
     def query(self, q: str, window: tuple[int, int] = (-10, 10)) -> Matches:
-        return self.matches(Q.parse(Q.cleaned(q), window))
+        return self.matches(self.tree(q, window))
 
     def facets(self, q: str, facets: DataFrame) -> DataFrame:
         return rank.facet_counts(self.query(q).postings, facets)
@@ -149,7 +154,7 @@ class Index:
 
     def answer(self, p: Q.Parameters) -> dict:
         """Ranked rows of a request, ready for sinks.response."""
-        node = Q.parse(Q.cleaned(p.query), p.window)
+        node = self.tree(p.query, p.window)
         if node is None:
             t = rank.meta_info(self.postings).first()
             return {"query": p.query, "status": 0, "n_hits": t.n_docs, "n_completions": t.n_words, "completions": [], "hits": [], "first": p.first_hit}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.sinks import read_index, write_index
+from ..sources.sinks import read_index, write_index, write_store
 
 _own: dict[str, str] = {}
 _built: dict[tuple, str] = {}
@@ -39,3 +39,13 @@ def built_index(spark: SparkSession, key: str, postings: Callable[[], DataFrame]
         write_index(postings(), path)
         _built[at] = path
     return read_index(spark, _built[at])
+
+
+def built_store(spark: SparkSession, key: str, docs: Callable[[], DataFrame]) -> str:
+    """Where the store of ``docs()`` is, written the first time a session asks for ``key``."""
+    at = (spark.sparkContext.applicationId, f"store {key}")
+    if at not in _built:
+        path = new_path(spark, "store")
+        write_store(docs(), path)
+        _built[at] = path
+    return _built[at]

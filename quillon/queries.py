@@ -12,8 +12,8 @@ from .operators.algebra import POSTING, Matches
 from .operators.excerpts import excerpts
 from .plans.query import Word
 from .plans.session import Index
-from .plans.shared import built_index, new_path
-from .sources import ingest
+from .plans.shared import built_index, built_store, new_path
+from .sources import ingest, sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -326,10 +326,11 @@ def hits_by_likeness(spark, sf_dir):
     return rank.hits_by_likeness(i.query("worthles~"), i.likes(Word("worthles", fuzzy=True)))
 
 
-@query(r"""with v as (select distinct w from (select unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) w from part)) select a.w word, b.w other, levenshtein(a.w, b.w)::int distance from v a join v b on a.w < b.w where levenshtein(a.w, b.w) <= 1""")
+@query(_DOC + """, v as (select distinct word from p), f as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) form from (select word, unnest(range(1, length(word) + 1)) i from v)),
+pairs as (select f.word a, form b from f join v on form = v.word union select a.word, b.word from f a join f b using (i, form) where a.word < b.word)
+select distinct least(a, b) word, greatest(a, b) other, 1 distance from pairs""")
 def similar_pairs(spark, sf_dir):
-    v = _table(spark, sf_dir, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("word")).distinct()
-    return expand.similar_pairs(v, 1, prefix=64)
+    return expand.similar_pairs(rank.vocabulary(index_table(spark, sf_dir)))
 
 
 @query(_DOC + " select doc_id, count(*) score from p where word in ('idiot', 'clown', 'loser') group by 1")
@@ -344,6 +345,17 @@ def partial_words(spark, sf_dir):
     return expand.partial_words(rank.vocabulary(index_table(spark, sf_dir)), 6)
 
 
+@query(_DOC + """, v as (select distinct word from p), longer as (select word l from v where starts_with(word, 'chlich') and length(word) > 6),
+places as (select word, i from (select word, unnest(range(2, length(word) - 4)) i from v where instr(word, 'chlich') > 0) where substr(word, i, 6) = 'chlich'),
+o as (select distinct word from places where not exists (select 1 from longer where starts_with(substr(places.word, i), l)))
+select doc_id, count(*) score from p join o using (word) group by 1""")
+def partial_word_hits(spark, sf_dir):
+    """Documents with words that hold the query word inside, by an index that has partial words as words."""
+    plain = index_table(spark, sf_dir)
+    table = built_index(spark, f"{sf_dir}/documents/partial", lambda: expand.with_partial_words(plain, expand.partial_words(rank.vocabulary(plain), 6)))
+    return rank.scored_docs(Index(spark, table).query("chlich:*"))
+
+
 @query(_DOC + ", v as (select word, count(*) n from p group by 1), a as (select word, levenshtein(word, 'idiots') d from v where levenshtein(word, 'idiots') <= 2), b as (select word, levenshtein(word, 'clowns') d from v where levenshtein(word, 'clowns') <= 2), x as (select distinct doc_id, word, d from p join a using (word)), y as (select distinct doc_id, word, d from p join b using (word)) select x.word || ' ' || y.word words, floor(count(*) * greatest(0, 1 - x.d / length(x.word) - y.d / length(y.word)))::bigint score from x join y using (doc_id) group by x.word, y.word, x.d, y.d order by score desc, words limit 10")
 def suggestions(spark, sf_dir):
     return index(spark, sf_dir).suggest(["idiots", "clowns"])
@@ -388,6 +400,22 @@ def normal_forms(spark, sf_dir):
     return index_table(spark, sf_dir).select("word").distinct().select("word", T.normalise(F.col("word")).alias("norm"))
 
 
+@query(_DOC + f""", n as (select doc_id, word, {_norm_sql()} norm from p)
+select doc_id, sum((norm = 'fuer')::int + (word = 'für')::int)::bigint score from n where norm = 'fuer' and doc_id not in (select doc_id from n where norm in ('ueber')) group by 1""")
+def normalised_hits(spark, sf_dir):
+    """A request over normalised words, which every spelling of a word's normal form answers."""
+    o = ingest.Options(full_text=["text"], normalise=True)
+    table = built_index(spark, f"{sf_dir}/documents/normalised", lambda: ingest.postings(_table(spark, sf_dir, "documents").select("doc_id", "text"), o))
+    return rank.scored_docs(Index(spark, table, normalise=True).query("für -Über"))
+
+
+@query(f"select doc_id, text, lang from documents where doc_id in ({', '.join(str(x) for x in range(3, 900, 29))})")
+def stored_documents(spark, sf_dir):
+    """Whole documents of a page of hits, out of the store."""
+    at = built_store(spark, f"{sf_dir}/documents", lambda: _table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return sinks.stored_documents(spark, at, list(range(3, 900, 29)))
+
+
 @query()
 def fuzzy_forms(spark, sf_dir):
     return index_table(spark, sf_dir).select("word").distinct().select("word", D.fuzzy_form_col(F.col("word")).alias("form"))

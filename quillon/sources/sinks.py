@@ -40,6 +40,19 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_store(docs: DataFrame, path: str) -> None:
+    """Whole documents in ranges of doc_id, compressed, in row groups small enough that few ids read little."""
+    rows = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def stored_documents(spark: SparkSession, path: str, ids: list[int], most: int = 10_000) -> DataFrame:
+    """The documents of ``ids``, a page of hits; more than ``most`` are an error, as such a list belongs in a join."""
+    if len(ids) > most:
+        raise ValueError(f"{len(ids)} ids, more than {most}: join with the store instead")
+    return spark.read.parquet(path).where(F.col("doc_id").isin(list(ids)))
+
+
 def response(result: dict, form: str = "xml", callback: str = "") -> str:
     """A result of session.Index.answer as XML, JSON or, with a callback, JSONP; only ranked rows reach this point."""
     if form in ("json", "jsonp") or callback:

@@ -47,6 +47,17 @@ def test_normalised_words_share_positions(spark):
     assert words(spark, {"f": "Müller à"}, full_text=["f"], normalise=True) == [("müller", 1, 1), ("norm!mueller!müller", 1, 1), ("norm!a!à", 2, 1), ("à", 2, 1)]
 
 
+def test_store(spark, tmp_path):
+    """A page of documents comes back whole, by a filter that reaches the reader; long lists are refused."""
+    at = str(tmp_path / "store")
+    sinks.write_store(spark.createDataFrame([(i, "x" * i) for i in range(50)], "doc_id long, text string"), at)
+    got = sinks.stored_documents(spark, at, [3, 40, 99])
+    assert sorted((r.doc_id, len(r.text)) for r in got.collect()) == [(3, 3), (40, 40)]
+    assert "In(doc_id, [3,40,99])" in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="more than 2"):
+        sinks.stored_documents(spark, at, [1, 2, 3], most=2)
+
+
 def test_shown_items(spark):
     df = spark.createDataFrame([(1, "item1#item2#*item3#item4")], "doc_id long, f string")
     d = ingest.documents(df, ingest.Options(show=["f"], multiple=["f"])).first()

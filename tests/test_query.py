@@ -41,6 +41,16 @@ def test_rewrites():
     assert Q.separators_mapped(":facet:a:*") == "!facet!a!*"
 
 
+def test_normal_forms_of_special_words():
+    # only the part that is a word of text
+    same = [":fil*", ":filter:Ü*", "C:32:*", ":facet:Ort:Köln*", "ce:author:Ü_x:*", ":Ä:ü"]
+    assert [Q.normalised_part(p) for p in same] == same
+    want = {"Köln*": "koeln*", "Café:*": "cafe:*", ":filter:Ort:Köln*": ":filter:Ort:koeln*", "Öl:C:7:*": "oel:C:7:*", "Öl:S:7:*": "oel:S:7:*", ":filter:Ä:Öl:Ü*": ":filter:Ä:oel:Ü*", ":filter:Ä:C:7:Öl:Ü": ":filter:Ä:C:7:oel:Ü", ":filter:A:Ä--:filter:A:Ö*": ":filter:A:ae--:filter:A:oe*"}
+    assert {p: Q.normalised_part(p) for p in want} == want
+    assert Q.normalised("Öl -Ü :filter:F:Ä* ä--ö x~") == "norm:oel:*|Öl -norm:ue:*|Ü :filter:F:ae* ae--oe x~"
+    assert Q.parse(Q.normalised('"a.ä"')) == Q.Or((Q.Word("norm:a.ae:", prefix=True), Q.Word("a.ä")))
+
+
 def test_parameters():
     p = Q.Parameters.from_url("/?q=a+b%2A&h=5&f=10&c=3&rd=1a&n=-3,7&fd=0.5&s=smms&format=json&en=99999")
     assert (p.query, p.hits, p.first_hit, p.completions, p.rank_docs, p.window, p.fuzzy_dampening, p.aggregation, p.format, p.excerpts) == ("a b*", 5, 10, 3, "1a", (-3, 7), 0.5, "SMMS", "json", 1000)

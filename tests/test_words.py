@@ -103,6 +103,26 @@ def test_excerpts(spark):
     assert len(cut(["one", "six", "twelve"], [], 1, 2)) == 2
 
 
+def test_words_of_parts(spark):
+    def found(words, prefixes, word):
+        return value(spark, matcher(words, prefixes)(F.lit(word)))
+
+    assert all(found([w], [], "^flug^hafen") for w in ("flughafen", "hafen")) and found(["flug"], [], "flug")
+    assert not any(found([w], [], "^flug^hafen") for w in ("flug", "flughafe", "hafe", "ughafen"))
+    assert all(found([], [p], "^flug^hafen") for p in ("fl", "flug", "flughaf", "haf"))
+    assert not any(found([], [p], "^flug^hafen") for p in ("ug", "afen", "flughaxe"))
+    assert found(["flug"], [], "^flug^^hafen") and not found(["flughafen"], ["flugh"], "^flug^^hafen")
+
+
+def test_similar_pairs_of_any_length(spark):
+    """Deletion forms of beginnings, by the default, against all pairs: errors before, at and beyond their end."""
+    words = [w[:n] + x + w[n + cut :] for w in ("abcdefghij", "zyxw", "q") for n in range(len(w)) for x in ("", "m") for cut in (0, 1)]
+    v = sorted(set(words) - {""})
+    df = spark.createDataFrame([(w,) for w in v], "word string")
+    all_pairs = df.crossJoin(df.withColumnRenamed("word", "other")).where("word < other").where(F.levenshtein("word", "other") <= 1)
+    assert {(r.word, r.other) for r in expand.similar_pairs(df).collect()} == {(r.word, r.other) for r in all_pairs.collect()}
+
+
 def test_ranking_modes(spark):
     p = spark.createDataFrame([(1, "a", 1, 5), (1, "b", 2, 1), (2, "b", 1, 9), (3, "norm:x:a", 1, 2)], "doc_id long, word string, position int, score long")
     m = Matches(p)
