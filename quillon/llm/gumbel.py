@@ -26,7 +26,7 @@ from .common import held, rows, sliced, texts
 
 SPACE = "▁"
 #: Lattice nodes a worker keeps.
-NODES = 1_500_000
+NODES = 2_250_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)]
 
 
@@ -87,6 +87,10 @@ class Vocabulary:
             ends[states[p]] = self.pieces[p]
         order = np.argsort(keys)
         self.keys, self.leads, self.ends = np.array(keys)[order], np.array(leads)[order], np.array(ends)
+        # from the root, where every character starts, by the character itself
+        self.root = np.full(0x110000, -1, np.int32)
+        here = self.keys < 1 << 21
+        self.root[self.keys[here]] = self.leads[here]
         self.lps = np.full(n, -np.inf)
         for i, x in self.lp.items():
             self.lps[i] = x
@@ -127,19 +131,21 @@ class Lattices:
         size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         end = np.repeat(np.cumsum(size), size)
         src, dst, piece, lp = [], [], [], []
-        at, state, far = np.arange(len(text)), np.zeros(len(text), np.int64), np.arange(len(text))
+        state = v.root[text]
+        at = np.flatnonzero(state >= 0)
+        far, state = at + 1, state[at].astype(np.int64)
         single = np.zeros(len(text), bool)
         while len(at):
-            key = state << 21 | text[far]
-            k = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            ok = v.keys[k] == key
-            at, far, state = at[ok], far[ok] + 1, v.leads[k[ok]]
             e = v.ends[state]
             full = e >= 0
             src.append(at[full]), dst.append(far[full]), piece.append(e[full]), lp.append(v.lps[e[full]])
             single[at[full & (far == at + 1)]] = True
             ok = far < end[at]
             at, far, state = at[ok], far[ok], state[ok]
+            key = state << 21 | text[far]
+            k = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+            ok = v.keys[k] == key
+            at, far, state = at[ok], far[ok] + 1, v.leads[k[ok]]
         raw = np.flatnonzero(~single)
         width = 1 + (text[raw] >= 0x80) + (text[raw] >= 0x800) + (text[raw] >= 0x10000)
         src.append(raw), dst.append(raw + 1), piece.append(np.where(text[raw] < 0x80, v.byte_ids[np.minimum(text[raw], 0x7F)], -1 - text[raw])), lp.append(v.byte_lp * width)
@@ -364,6 +370,14 @@ def _digests(batches, model):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(text, pa.int64()), *batch.columns[3:]], names=["doc_id", "sample", "n_ids", "ids_crc32", "text_crc32", "log_prob", "score", "inclusion"])
 
 
+DIGEST = "doc_id long, sample int, n_ids long, ids_crc32 long, text_crc32 long, log_prob double, score double, inclusion double"
+
+
 def digest(found: DataFrame, model: str) -> DataFrame:
     """A row for each sample with hashes of its ids and of the text they decode to."""
-    return found.mapInArrow(lambda it: _digests(it, model), "doc_id long, sample int, n_ids long, ids_crc32 long, text_crc32 long, log_prob double, score double, inclusion double")
+    return found.mapInArrow(lambda it: _digests(it, model), DIGEST)
+
+
+def sampled_digest(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, seed: int = 0) -> DataFrame:
+    """The rows of ``digest(sampled(docs, model, k, alpha, seed), model)`` in one pass: no ids leave the worker that draws them."""
+    return texts(docs).mapInArrow(lambda it: _digests(_sampled(it, model, k, alpha, seed), model), DIGEST)

@@ -30,7 +30,7 @@ def op4_subword_sampling(spark, sf_dir):
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return gumbel.digest(gumbel.sampled(_table(spark, sf_dir, "documents"), model, k=2), model)
+    return gumbel.sampled_digest(_table(spark, sf_dir, "documents"), model, k=2)
 
 
 def op5_decontamination(spark, sf_dir):

@@ -223,6 +223,10 @@ def test_sampled_round_trip(docs, pairs, none):
     again = gumbel.sampled(docs.repartition(7), model, k=2)
     assert found.select("doc_id", "sample", "ids", "score").exceptAll(again.select("doc_id", "sample", "ids", "score")).count() == 0
     assert gumbel.digest(gumbel.sampled(none, model), model).count() == 0
+    whole = ["doc_id", "sample", "n_ids", "ids_crc32", "text_crc32"]
+    one, two = gumbel.sampled_digest(docs, model, k=2), gumbel.digest(gumbel.sampled(docs, model, k=2), model)
+    assert one.schema == two.schema and Counter(one.select(*whole).collect()) == Counter(two.select(*whole).collect())
+    assert gumbel.sampled_digest(none, model).count() == 0
 
 
 # -- 5 ---------------------------------------------------------------------------------------------
