@@ -53,7 +53,7 @@ def sampled_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return gumbel.digest(gumbel.sampled(docs, model, k=2), model)
+    return gumbel.sampled_digest(docs, model, k=2)
 
 
 STAGES = [
