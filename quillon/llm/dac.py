@@ -156,6 +156,23 @@ class _Memo(dict):
             self.clear()
 
 
+class _Pieces(_Memo):
+    """Ids, as bytes, of the pieces words are cut into; one that is new goes to ``model``."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.marks = model.tokenize, _byte_marks()
+
+    def __missing__(self, p):
+        value = self.old.get(p)
+        if value is None:
+            marked = p if p.isascii() else "".join(map(self.marks.__getitem__, p.encode()))
+            ids = [t.id for t in self.tokenize(marked)]
+            value = struct.pack(f"<{len(ids)}I", *ids)
+        self[p] = value
+        return value
+
+
 #: Words of printable ASCII and single Latin letters, on which normalising is lower-casing alone.
 _SIMPLE = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 _LETTERS = "a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F"
@@ -180,38 +197,27 @@ class _Words:
     """
 
     def __init__(self, path: str):
-        self.tok, self.known, self.pieces = _tokenizer(path), _Memo(), _Memo()
+        self.tok, self.known = _tokenizer(path), _Memo()
+        self.pieces = _Pieces(self.tok.model)
         d = json.loads(self.tok.to_str())
         steps = [x.get("type") for x in (d.get("normalizer") or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex", "") for x in (d.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.simple = steps == ["NFC", "Replace", "Lowercase"] and len(split) == 2 and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in split[0] and d["model"]["type"] == "BPE"
         endings = split[0].split("|[")[0] if self.simple else ""
         self.cut = re.compile(f"{endings}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
-        self.marks = _byte_marks()
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
-    def _piece(self, p: str) -> bytes:
-        try:
-            return self.pieces[p]
-        except KeyError:
-            marked = p if p.isascii() else "".join(map(self.marks.__getitem__, p.encode()))
-            out = np.array([t.id for t in self.tok.model.tokenize(marked)], dtype="<u4").tobytes()
-            self.pieces[p] = out
-            return out
-
     def learn(self, texts: list[list[bytes]]) -> None:
         """The words of these texts that are new; those that are not simple as one text, cut again where each word begins."""
         self.known.room(), self.pieces.room()
-        known, old = self.known, self.known.old
+        known, piece, cut, whole = self.known, self.pieces.__getitem__, self.cut, _SIMPLE.fullmatch
         rest = []
-        for w in set().union(*texts):
-            if w in known or w in old:
-                continue
+        for w in set().union(*texts).difference(known).difference(known.old):
             s = w.decode()
-            if self.simple and _SIMPLE.fullmatch(s) and "<|" not in s:
-                known[w] = b"".join(map(self._piece, self.cut(s.lower())))
+            if self.simple and whole(s) and "<|" not in s:
+                known[w] = b"".join(map(piece, cut(s.lower())))
             else:
                 rest.append((w, s))
         for at in range(0, len(rest), 2000):
