@@ -9,14 +9,16 @@ documents share, and a second one tells these windows apart by 96 bits of hashes
 finds their first document.
 
 Both rounds answer to the part of the documents a question came from, by tables in the shared folder,
-so texts are never shuffled. Documents are first written as a table in which every row has the label
-of its part; what partitions later jobs read that table in doesn't matter.
+so texts are never shuffled. Windows travel packed: a part sends each bucket of names its distinct
+windows in a row, and the bucket answers a part in a row. Documents are first written as a table in
+which every row has the label of its part; what partitions later jobs read that table in doesn't matter.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, new_path, rows, runs, stored, texts
+from .common import delete, framed, new_path, packed, rows, runs, stored, texts, unframed, unpacked
 
 WINDOW, ROUNDS = 13, 1
 #: Names a task gathers before it sends them.
 BUFFER = 1_500_000
+#: Bytes of text for each bucket of window names, which a task holds at once.
+BUCKET_BYTES = 16 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -186,17 +190,24 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(source[many] >> 1), pa.array(name[many])], names=["p", "name"])
 
 
-def _told(path: str, p: int, columns: list[str]):
-    """What the shared table tells this part: columns, sorted by the first. Schemes are those Arrow opens (file, hdfs, s3, gs, abfss)."""
+def _told(path: str, p: int, column: str) -> list[pa.ChunkedArray]:
+    """What the shared table tells this part, file by file. Schemes are those Arrow opens (file, hdfs, s3, gs, abfss)."""
     import pyarrow.fs as pfs
     import pyarrow.parquet as pq
 
     fs, root = pfs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
     found = fs.get_file_info(pfs.FileSelector(f"{root}/p={p}", allow_not_found=True))
-    parts = [pq.ParquetFile(fs.open_input_file(f.path)).read(columns=columns) for f in found if f.base_name.endswith(".parquet")]
-    cols = [np.concatenate([t.column(c).to_numpy() for t in parts]) if parts else np.zeros(0, dtype=np.int64) for c in columns]
-    order = np.argsort(cols[0], kind="stable")
-    return [c[order] for c in cols]
+    return [pq.ParquetFile(fs.open_input_file(f.path)).read(columns=[column]).column(column) for f in found if f.base_name.endswith(".parquet")]
+
+
+def _packed(names: np.ndarray, *more: np.ndarray) -> bytes:
+    """Rows sorted by name, which so differ by little."""
+    return framed([packed(np.diff(names, prepend=np.uint64(0))), *map(packed, more)])
+
+
+def _unpacked(data: bytes, *kinds) -> list[np.ndarray]:
+    names, *more = unframed(data)
+    return [np.cumsum(unpacked(names), dtype=np.uint64), *(unpacked(x, kind) for x, kind in zip(more, kinds))]
 
 
 def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -214,9 +225,9 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _asked(batches, p, path, size, rounds):
-    """(window name and check, first and last document here, part) of the windows whose representative is shared."""
-    (shared,) = _told(path, p, ["name"])
+def _asked(batches, p, path, size, rounds, buckets):
+    """To each bucket this part's windows whose representative is shared: name, check, first document here and how far the last is."""
+    shared = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *(c.to_numpy() for c in _told(path, p, "name"))]))
     held, n = [], 0
 
     def out():
@@ -225,30 +236,51 @@ def _asked(batches, p, path, size, rounds):
         names, checks, docs = names[order], checks[order], docs[order]
         first = _changes(names, checks)
         last = np.append(first[1:], len(names)) - 1
-        cols = [names[first], checks[first], docs[first], docs[last], np.full(len(first), p, dtype=np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["name", "check", "low", "high", "p"])
+        cols = [names[first], checks[first], docs[first], docs[last] - docs[first]]
+        bucket = ((cols[0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        found, held_bytes = [], 0
+        for a, b in pairwise([*_changes(bucket).tolist(), len(bucket)]):
+            found.append((int(bucket[a]), p, _packed(*(c[a:b] for c in cols))))
+            held_bytes += len(found[-1][2])
+            if held_bytes > 4 << 20 or b == len(bucket):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "p", "data"])
+                found, held_bytes = [], 0
 
     for ids, text in rows(batches, most_rows=300, most_bytes=1 << 20):
         b = Batch(text)
         at, who, chosen, whole = anchors(b, size, rounds)
         known = (_within(chosen.view(np.int64), shared) >= 0) & ~np.array([d is None for d in ids])[who]
         if known.any():
-            held.append((whole[known].view(np.int64), b.window_checks(size, at[known]), np.array([d or 0 for d in ids], dtype=np.int64)[who[known]]))
+            held.append((whole[known], b.window_checks(size, at[known]), np.array([d or 0 for d in ids], dtype=np.int64)[who[known]]))
             n += len(held[-1][0])
         if n > BUFFER:
-            yield out()
+            yield from out()
             held, n = [], 0
     if n:
-        yield out()
+        yield from out()
 
 
 def _earliest(batches):
-    """(p, window name and check, its first document), to the parts that have the window in a later one."""
-    for name, check, low, high, p in runs(batches):
-        first = _changes(name, check)
-        least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(name))))
-        later = high > least
-        yield pa.RecordBatch.from_arrays([pa.array(c[later]) for c in (p, name, check, least)], names=["p", "name", "check", "low"])
+    """To each part those of its windows in this bucket that it has in a later document than their first one, with that."""
+    asked = []
+    for batch in batches:
+        for p, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            cols = _unpacked(data, np.int32, np.int64, np.int64)
+            asked.append([*cols, np.full(len(cols[0]), p)])
+    if not asked:
+        return
+    names, checks, low, more, p = (np.concatenate(x) for x in zip(*asked))
+    order = np.lexsort((checks, names))
+    names, checks, low, more, p = (c[order] for c in (names, checks, low, more, p))
+    first = _changes(names, checks)
+    least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(names))))
+    later = np.flatnonzero(low + more > least)
+    later = later[np.argsort(p[later], kind="stable")]
+    p, *cols = (c[later] for c in (p, names, checks, least))
+    once = _changes(p, *cols)  # a part may ask several times
+    p, *cols = (c[once] for c in (p, *cols))
+    for a, b in pairwise([*_changes(p).tolist(), len(p)]):
+        yield pa.RecordBatch.from_arrays([pa.array([int(p[a])]), pa.array([_packed(*(c[a:b] for c in cols))], pa.binary())], names=["p", "data"])
 
 
 def _same(names, checks, among, among_checks) -> np.ndarray:
@@ -265,14 +297,17 @@ def _same(names, checks, among, among_checks) -> np.ndarray:
 
 
 def _cut(batches, p, path, size):
-    names, checks, low = _told(path, p, ["name", "check", "low"])
+    told = [_unpacked(x, np.int32, np.int64) for c in _told(path, p, "data") for x in c.to_pylist()]
+    names, checks, low = (np.concatenate(x) for x in zip([np.zeros(0, k) for k in (np.uint64, np.int32, np.int64)], *told))
+    order = np.argsort(names, kind="stable")
+    names, checks, low = names[order], checks[order], low[order]
     for ids, text in rows(batches, most_rows=300, most_bytes=1 << 20):
         b = Batch(text)
         at, who = b.windows(size)
         covered = np.zeros(len(b.names) + 1, dtype=np.int64)
         if len(at) and len(names):
             doc = np.array([-(1 << 63) if d is None else d for d in ids], dtype=np.int64)[who]
-            found = _same(b.window_names(size, at).view(np.int64), b.window_checks(size, at), names, checks)
+            found = _same(b.window_names(size, at), b.window_checks(size, at), names, checks)
             hit = at[(found >= 0) & (low[found] < doc)]
             np.add.at(covered, hit, 1)
             np.add.at(covered, hit + size, -1)
@@ -286,13 +321,13 @@ def _cut(batches, p, path, size):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(b.sizes), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "removed", "kept"])
 
 
-def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, removed, kept) of each row: removed spans of words as (start, end), kept words joined by a space.
 
     A window is ``size`` words between ASCII white space. Every word goes that a window covers which
     also starts in a document of smaller doc_id, judged on the input. Null text has no words; rows with
     null doc_id are not compared and keep all words; of repeated rows with one doc_id neither is
-    earlier; texts of fewer words have no window; other columns are left out.
+    earlier; texts of fewer words have no window; other columns are left out. ``bucket_bytes`` changes no result.
     """
     spark = docs.sparkSession
     base = stored(texts(docs, p=F.spark_partition_id().cast("long")), "parts", compression="zstd")
@@ -303,8 +338,9 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) ->
     to_p = lambda df, path: df.repartitionById(tasks, F.col("p").cast("int")).sortWithinPartitions("p").write.partitionBy("p").parquet(path)
     first, second = new_path(spark, "shared-names"), new_path(spark, "first-documents")
     to_p(shared, first)
-    asked = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _asked(part, p, first, size, rounds)), "name long, check int, low long, high long, p long")
-    found = asked.repartition("name").sortWithinPartitions("name", "check").mapInArrow(_earliest, "p long, name long, check int, low long")
+    buckets = min(1 << 20, max(1, math.ceil((base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / bucket_bytes)))
+    asked = base.mapInArrow(lambda it: _by_part(it, lambda part, p: _asked(part, p, first, size, rounds, buckets)), "bucket int, p long, data binary")
+    found = asked.repartitionById(buckets, "bucket").mapInArrow(_earliest, "p long, data binary")
     to_p(found, second)
     delete(spark, first)
     return base.mapInArrow(lambda it: _by_part(it, lambda part, p: _cut(part, p, second, size)), "doc_id long, n_words long, removed array<struct<a:int,b:int>>, kept binary")

@@ -320,6 +320,48 @@ def test_repeated_spans(spark, docs, pairs, none, rounds):
     assert recompress.repeated_spans(none).count() == 0
 
 
+def shuffled(spark):
+    """Bytes written for shuffles by each stage so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_shared_windows_travel_packed(spark):
+    """A window that is shared costs less in the shuffles than its row of five numbers did, in however many buckets and questions."""
+    r = random.Random(12)
+    found = [(10 * k + side * (1 if k % 2 else -1), t) for k, t in enumerate([prose(r, 400, 10**9) for _ in range(300)], 1) for side in (0, 1)]
+    found += [(-(1 << 63), found[0][1]), ((1 << 63) - 1, found[0][1])]
+    before = shuffled(spark)
+    got = recompress.digest(recompress.repeated_spans(table(spark, found).repartition(4))).collect()
+    assert Counter(map(tuple, got)) == brute_removed(found)
+    windows = sum(len(t.split()) - 12 for _, t in found)
+    sent = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert 0 < sent / windows < 37
+
+
+def test_buckets_and_questions_of_windows(spark, pairs, tmp_path, monkeypatch):
+    want = brute_removed(pairs)
+    for size in (1 << 30, 2000, 100):
+        assert Counter(map(tuple, recompress.digest(recompress.repeated_spans(table(spark, pairs).repartition(3), bucket_bytes=size)).collect())) == want
+    # a part that asks several times for one window is told its first document once
+    monkeypatch.setattr(recompress, "BUFFER", 1)
+    monkeypatch.setattr(recompress, "_told", lambda path, p, column: [recompress.pa.chunked_array([recompress.pa.array(names, recompress.pa.int64())])])
+    w = prose(r := random.Random(5), 40, 10**9)
+    batch = lambda d, t: recompress.pa.RecordBatch.from_pydict({"doc_id": recompress.pa.array([d]), "text": recompress.pa.array([t.encode()])})
+    names = np.unique(recompress.anchors(recompress.Batch([w.encode()]))[2]).view(np.int64)
+    asked = [b for p, ids in ((0, [7, 9, 8]), (1, [5]), (2, [6])) for b in recompress._asked([batch(d, x) for d in ids for x in (w, prose(r, 20))], p, "", 13, 1, 3)]
+    assert len(asked) == 5
+    told = Counter()
+    for bucket in range(3):
+        for b in recompress._earliest([a.filter(recompress.pa.compute.equal(a.column(0), bucket)) for a in asked]):
+            for p, data in zip(*b.to_pydict().values()):
+                _, _, low = recompress._unpacked(data, np.int32, np.int64)
+                told.update((p, int(x)) for x in low)
+    assert told == {(0, 5): 28, (2, 5): 28}
+
+
 def test_windows_of_one_name_are_told_apart():
     names, checks = np.array([3, 5, 5, 5, 9]), np.array([1, 4, 6, 7, 2])
     asked = np.array([[5, 7], [5, 4], [5, 8], [9, 2], [3, 2], [4, 1], [10, 0]]).T
