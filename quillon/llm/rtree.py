@@ -28,8 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, contracted, grouped, lookup, packed, rows, runs, sliced, stored, texts, unpacked
-from .common import held as keep_nothing
+from .common import components, contracted, grouped, lean, lookup, packed, rows, runs, sliced, stored, texts, unpacked
 
 FANOUT = 16
 #: Of a page: sets and shingles at most (a single larger set is a page of its own).
@@ -38,6 +37,8 @@ PAGE_SETS, PAGE_SHINGLES = 2000, 1_000_000
 UNIT_DOCS, UNIT_SHINGLES, BUCKET_BYTES = 60_000, 1_500_000, 64 << 20
 #: Documents from which a shingle is too frequent for a cell.
 HOT = 255
+#: Entries of a bucket that are counted at once.
+RANGE = 500_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _LOW, _16 = np.uint64(0xFFFF), np.uint64(16)
 
@@ -168,7 +169,6 @@ def _units(batches, size, buckets):
     """
     from pyspark import TaskContext
 
-    keep_nothing(None, None)
     unit = TaskContext.get().partitionId() << 24
     ids, ns, twins, held, seen, total = [], [], [], [], {}, 0
 
@@ -208,27 +208,51 @@ def _units(batches, size, buckets):
 def _counted(batches):
     """Of each bucket, to each unit that asked, the entries of shingles several documents have, with how many (up to HOT)."""
     for _, group in grouped(batches):
-        out = [(0, u, k, d) for _, u, k, d in group if k in (DOCS, LOCAL)]
-        group = [x for x in group if x[2] in (SINGLE, MANY)]
-        if group:
-            parts = [unpacked(x[3]) for x in group]
-            e, who = np.concatenate(parts), np.repeat(np.arange(len(parts)), list(map(len, parts)))
-            order = np.argsort(e >> _16, kind="stable")
-            e, who = e[order], who[order]
-            h = e >> _16
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            many = np.array([x[2] == MANY for x in group])[who]
-            df = np.add.reduceat(np.where(many, (e & _LOW).astype(np.int64), 1), first)
-            c = np.diff(np.append(first, len(h)))
-            df = np.repeat(df, c)
-            keep = df > 1
-            e, who, df = e[keep], who[keep], np.minimum(df[keep], HOT).astype(np.uint8)
-            order = np.argsort(who, kind="stable")
-            e, df, who = e[order], df[order], who[order]
-            cuts = np.searchsorted(who, np.arange(len(group) + 1)).tolist()
-            out += [(0, x[1], x[2], (b - a).to_bytes(8, "little") + df[a:b].tobytes() + packed(e[a:b])) for x, a, b in zip(group, cuts, cuts[1:]) if b > a]
-        if out:
-            yield _unit_rows(out)
+        yield from _bucket(group)
+
+
+def _bucket(group):
+    """The answers of one bucket; counted by ranges of hashes one after another, as the columns beside the entries take several times their room."""
+    out = [(0, u, k, d) for _, u, k, d in group if k in (DOCS, LOCAL)]
+    group = [x for x in group if x[2] in (SINGLE, MANY)]
+    if group:
+        parts = [unpacked(x[3]) for x in group]
+        is_many = np.array([x[2] == MANY for x in group])
+        low, high = (int(f(p[i] >> _16 for p in parts)) for f, i in ((min, 0), (max, -1)))
+        n = 1 + sum(map(len, parts)) // RANGE
+        edges = np.array([low + (high + 1 - low) * i // n << 16 for i in range(1, n)], dtype=np.uint64)
+        cuts = [[0, *np.searchsorted(p, edges).tolist(), len(p)] for p in parts]
+        kept = [[] for _ in parts]
+        for i in range(n):
+            for k, *found in _several([p[c[i] : c[i + 1]] for p, c in zip(parts, cuts)], is_many):
+                kept[k].append(found)
+        for x, found in zip(group, kept):
+            if found:
+                e, df = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                out.append((0, x[1], x[2], len(e).to_bytes(8, "little") + df.tobytes() + packed(e)))
+    if out:
+        yield _unit_rows(out)
+
+
+def _several(parts, is_many):
+    """(part, entries, numbers of documents) of the shingles several documents have; parts and entries in their order."""
+    e, who = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), list(map(len, parts)))
+    if not len(e):
+        return
+    order = np.argsort(e >> _16, kind="stable")
+    e, who = e[order], who[order]
+    h = e >> _16
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    df = np.add.reduceat(np.where(is_many[who], (e & _LOW).astype(np.int64), 1), first)
+    df = np.repeat(df, np.diff(np.append(first, len(h))))
+    keep = df > 1
+    e, who, df = e[keep], who[keep], np.minimum(df[keep], HOT).astype(np.uint8)
+    order = np.argsort(who, kind="stable")
+    e, df, who = e[order], df[order], who[order]
+    cuts = np.searchsorted(who, np.arange(len(parts) + 1)).tolist()
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            yield k, e[a:b], df[a:b]
 
 
 SETS = "doc_id long, n long, twin long, hashes binary, often binary"
@@ -237,35 +261,39 @@ SETS = "doc_id long, n long, twin long, hashes binary, often binary"
 def _sets(batches, num, den):
     """A row for each document; with the first document of its unit that has the same set, if another; with its shared shingles, and how many documents have each, where they are enough for a link."""
     for _, group in grouped(batches):
-        of = lambda kind: [x[2] for x in group if x[1] == kind]
-        doc = of(DOCS)[0]
-        m = len(doc) // 24
-        ids, ns, twins = np.frombuffer(doc, dtype=np.int64).reshape(3, m)
-        local = unpacked(of(LOCAL)[0])
-        pairs = {k: [(unpacked(d[8 + int.from_bytes(d[:8], "little") :]), np.frombuffer(d, dtype=np.uint8, offset=8, count=int.from_bytes(d[:8], "little"))) for d in of(k)] for k in (SINGLE, MANY)}
-        e, often = (np.concatenate([*(p[k] for p in pairs[SINGLE]), np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.uint8)))
-        if len(local):
-            many, df = (np.concatenate([p[k] for p in pairs[MANY]]) for k in (0, 1))
-            order = np.argsort(many)
-            e, often = np.concatenate([e, local]), np.concatenate([often, df[order][np.searchsorted(many[order] >> _16, local >> _16)]])
-        place = (e & _LOW).astype(np.int64)
-        order = np.lexsort((e, place))
-        h, often, place = (e >> _16)[order], often[order], place[order]
-        cuts = np.searchsorted(place, np.arange(m + 1))
-        is_open = (np.diff(cuts) * den >= num * ns) & (ns > 0)
-        cuts = cuts.tolist()
-        for at in range(0, m, 1000):
-            span = range(at, min(at + 1000, m))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(ids[i]) if ns[i] >= 0 else None for i in span], pa.int64()),
-                    pa.array([int(ns[i]) if ns[i] >= 0 else int(-1 - ns[i]) for i in span], pa.int64()),
-                    pa.array([int(ids[twins[i]]) if twins[i] >= 0 and ids[twins[i]] != ids[i] else None for i in span], pa.int64()),
-                    pa.array([h[cuts[i] : cuts[i + 1]].tobytes() if is_open[i] else None for i in span], pa.binary()),
-                    pa.array([often[cuts[i] : cuts[i + 1]].tobytes() if is_open[i] else None for i in span], pa.binary()),
-                ],
-                names=["doc_id", "n", "twin", "hashes", "often"],
-            )
+        yield from _unit_sets(group, num, den)
+
+
+def _unit_sets(group, num, den):
+    of = lambda kind: [x[2] for x in group if x[1] == kind]
+    doc = of(DOCS)[0]
+    m = len(doc) // 24
+    ids, ns, twins = np.frombuffer(doc, dtype=np.int64).reshape(3, m)
+    local = unpacked(of(LOCAL)[0])
+    pairs = {k: [(unpacked(d[8 + int.from_bytes(d[:8], "little") :]), np.frombuffer(d, dtype=np.uint8, offset=8, count=int.from_bytes(d[:8], "little"))) for d in of(k)] for k in (SINGLE, MANY)}
+    e, often = (np.concatenate([*(p[k] for p in pairs[SINGLE]), np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.uint8)))
+    if len(local):
+        many, df = (np.concatenate([p[k] for p in pairs[MANY]]) for k in (0, 1))
+        order = np.argsort(many)
+        e, often = np.concatenate([e, local]), np.concatenate([often, df[order][np.searchsorted(many[order] >> _16, local >> _16)]])
+    place = (e & _LOW).astype(np.int64)
+    order = np.lexsort((e, place))
+    h, often, place = (e >> _16)[order], often[order], place[order]
+    cuts = np.searchsorted(place, np.arange(m + 1))
+    is_open = (np.diff(cuts) * den >= num * ns) & (ns > 0)
+    cuts = cuts.tolist()
+    for at in range(0, m, 1000):
+        span = range(at, min(at + 1000, m))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(ids[i]) if ns[i] >= 0 else None for i in span], pa.int64()),
+                pa.array([int(ns[i]) if ns[i] >= 0 else int(-1 - ns[i]) for i in span], pa.int64()),
+                pa.array([int(ids[twins[i]]) if twins[i] >= 0 and ids[twins[i]] != ids[i] else None for i in span], pa.int64()),
+                pa.array([h[cuts[i] : cuts[i + 1]].tobytes() if is_open[i] else None for i in span], pa.binary()),
+                pa.array([often[cuts[i] : cuts[i + 1]].tobytes() if is_open[i] else None for i in span], pa.binary()),
+            ],
+            names=["doc_id", "n", "twin", "hashes", "often"],
+        )
 
 
 # -- cells -----------------------------------------------------------------------------------------
@@ -443,14 +471,14 @@ def jaccard_links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # eight bytes for a shingle, of which a word of six letters begins one
     buckets = min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 8 / 6 / BUCKET_BYTES)))
-    asked = base.mapInArrow(lambda it: _units(it, size, buckets), UNITS)
-    told = _by(asked, "bucket").mapInArrow(_counted, UNITS).drop("bucket")
-    every = stored(_by(told, "unit").mapInArrow(lambda it: _sets(it, num, den), SETS), "sets", compression="zstd")
+    asked = base.mapInArrow(lean(lambda it: _units(it, size, buckets)), UNITS)
+    told = _by(asked, "bucket").mapInArrow(lean(_counted), UNITS).drop("bucket")
+    every = stored(_by(told, "unit").mapInArrow(lean(lambda it: _sets(it, num, den)), SETS), "sets", compression="zstd")
     same = every.where("twin is not null").select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
     reps = every.where("hashes is not null").select("doc_id", "n", "hashes", "often")
-    cells = reps.mapInArrow(lambda it: _dealt(it, num, den, frequent, False), CELLS)
-    pairs = _by(cells, "cell").mapInArrow(lambda it: _joined_cells(it, num, den), "a long, b long")
-    often = stored(reps.mapInArrow(lambda it: _dealt(it, num, den, frequent, True), CELLS).select("cell", "doc_id"), "frequent")
+    cells = reps.mapInArrow(lean(lambda it: _dealt(it, num, den, frequent, False)), CELLS)
+    pairs = _by(cells, "cell").mapInArrow(lean(lambda it: _joined_cells(it, num, den)), "a long, b long")
+    often = stored(reps.mapInArrow(lean(lambda it: _dealt(it, num, den, frequent, True)), CELLS).select("cell", "doc_id"), "frequent")
     heads = stored(often.groupBy(F.col("cell").alias("c")).agg(F.min("doc_id").alias("head")), "heads")
     hub = often.join(heads, F.col("cell") == F.col("c")).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     near = stored(components(stored(pairs.union(hub), "pairs")), "near")
@@ -461,7 +489,7 @@ def jaccard_links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
 
 def _within(members: DataFrame, links: DataFrame, num: int, den: int, limits: tuple[int, int]) -> DataFrame:
     """``links`` and those among the members (cluster, doc_id, n, hashes) of each cluster."""
-    inside = lambda p, key: _by(p.select(F.col(key).alias("page"), "doc_id", "n", "hashes"), "page").mapInArrow(lambda it: _verified(it, num, den), "a long, b long")
+    inside = lambda p, key: _by(p.select(F.col(key).alias("page"), "doc_id", "n", "hashes"), "page").mapInArrow(lean(lambda it: _verified(it, num, den)), "a long, b long")
     sums = members.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     large = stored(sums.where(((F.col("k") > limits[0]) | (F.col("s") > limits[1])) & (F.col("k") > 2)).select("c"), "large")
     small = members.join(large, F.col("cluster") == F.col("c"), "left_anti")
@@ -489,7 +517,7 @@ def _within(members: DataFrame, links: DataFrame, num: int, den: int, limits: tu
     open_ = stored(placed.join(main, F.col("cluster") == F.col("c")).drop("c"), "open", compression="zstd")
     rest = _pages(open_.where("component <> main").drop("page"), limits, num, den)
     rest = stored(rest.withColumnRenamed("page", "ask"), "rest", compression="zstd")
-    boxes = lambda p, key: _by(p.select(F.col(key).alias("page"), "doc_id", "n", "hashes"), "page").mapInArrow(_boxes, "page long, low long, high array<long>")
+    boxes = lambda p, key: _by(p.select(F.col(key).alias("page"), "doc_id", "n", "hashes"), "page").mapInArrow(lean(_boxes), "page long, low long, high array<long>")
     one = stored(boxes(rest, "ask"), "boxes").select(F.col("page").alias("ask"), F.col("low").alias("l1"), F.col("high").alias("h1"))
     two = stored(boxes(open_, "page"), "boxes").select("page", F.col("low").alias("l2"), F.col("high").alias("h2"))
     one = rest.select("ask", "cluster").distinct().join(one, "ask")
@@ -498,7 +526,7 @@ def _within(members: DataFrame, links: DataFrame, num: int, den: int, limits: tu
     todo = stored(one.join(two, "cluster").where(bound * (num + den) >= num * (F.col("l1") + F.col("l2"))).select(F.xxhash64("ask", "page").alias("key"), "ask", "page"), "todo")
     first = rest.join(todo.select("key", "ask"), "ask").select("key", F.lit(0).alias("side"), "doc_id", "n", "component", "hashes")
     second = open_.join(todo.select("key", "page"), "page").select("key", F.lit(1).alias("side"), "doc_id", "n", "component", "hashes")
-    return links.union(stored(_by(first.union(second), "key").mapInArrow(lambda it: _crossed(it, num, den), "a long, b long"), "links"))
+    return links.union(stored(_by(first.union(second), "key").mapInArrow(lean(lambda it: _crossed(it, num, den)), "a long, b long"), "links"))
 
 
 def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
