@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -285,10 +286,11 @@ def sample_batch(lat: Lattices, keys: list[int], text: list[str], k: int, seed:
     if lat.n_nodes > NODES:
         lat.clear()
     units = [lat.v.unit.findall(" " + t) if t else [] for t in text]
-    new = list(dict.fromkeys(u for us in units for u in us if u not in lat.base))
+    flat = list(chain.from_iterable(units))
+    new = [u for u in dict.fromkeys(flat) if u not in lat.base]
     if new:
         lat.add(new)
-    nodes = [np.fromiter(map(lat.base.__getitem__, us), dtype=np.int64, count=len(us)) for us in units]
+    nodes = np.split(np.fromiter(map(lat.base.__getitem__, flat), dtype=np.int64, count=len(flat)), np.cumsum([len(us) for us in units])[:-1])
     row = mix(np.array(keys, dtype=np.int64).view(np.uint64) + _times(seed, _M[0]))
     root = -np.log(-np.log(uniform(row + _M[4])))
     none = np.zeros(0, np.int64)
