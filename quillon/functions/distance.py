@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,9 +78,48 @@ def ruled_distance(a: str, b: str, rules: list[tuple[str, str, float]], cutoff:
     return d[m][n] if d[m][n] <= cutoff else cutoff + 1
 
 
+def most_edits(a: str, rules: list[tuple[str, str, float]], cutoff: float) -> int:
+    """The largest Levenshtein distance from ``a`` of a word within the cutoff of ``ruled_distance``.
+
+    A rule saves at most what its letters would cost in single edits, and applies at most as often as its letters stand apart in ``a``.
+    """
+    saved = sum(a.count(x) * max(0.0, ruled_distance(x, y, [], float(len(x) + len(y))) - c) for x, y, c in rules if x)
+    return int(cutoff + saved + 1e-9)
+
+
+def ruled_distances(a: str, words: list[str], rules: list[tuple[str, str, float]], cutoff: float) -> np.ndarray:
+    """``ruled_distance`` of ``a`` and each word, a cell of the table for all words at once."""
+    out, most, m = np.full(len(words), float(cutoff + 1)), most_edits(a, rules, cutoff), len(a)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.flatnonzero(np.abs(sizes - m) <= most)
+    if not len(at):
+        return out
+    n = int(sizes[at].max())
+    letters = np.array([words[k] for k in at], f"U{max(n, 1)}").view(np.uint32).reshape(len(at), -1).T
+    d: list[list[np.ndarray]] = []
+    for i in range(m + 1):
+        d.append([])
+        for j in range(n + 1):
+            if i * j == 0:
+                d[i].append(np.full(len(at), float(i + j)))
+                continue
+            best = np.minimum(np.minimum(d[i - 1][j], d[i][j - 1]) + 1, d[i - 1][j - 1] + (letters[j - 1] != ord(a[i - 1])))
+            for x, y, c in rules:
+                if x and len(y) <= j and a.endswith(x, 0, i):
+                    fits = np.logical_and.reduce([letters[j - len(y) + k] == ord(z) for k, z in enumerate(y)]) if y else True
+                    best = np.where(fits, np.minimum(best, d[i - len(x)][j - len(y)] + c), best)
+            d[i].append(best)
+    found = np.stack(d[m])[sizes[at], np.arange(len(at))]
+    out[at] = np.where(found <= cutoff, found, cutoff + 1)
+    return out
+
+
 def ruled_distance_col(query: str, rules: list[tuple[str, str, float]], cutoff: float):
     @F.pandas_udf(DoubleType())
     def distance(word: pd.Series) -> pd.Series:
-        return word.map(lambda w: None if w is None else ruled_distance(query, w, rules, cutoff))
+        out = pd.Series(np.nan, word.index)
+        known = word.notna()
+        out[known] = ruled_distances(query, word[known].tolist(), rules, cutoff)
+        return out.astype("Float64")
 
     return distance

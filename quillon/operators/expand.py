@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import edit_distance, normalised_score, prefix_distance, threshold
+from ..functions.distance import edit_distance, most_edits, normalised_score, prefix_distance, ruled_distances, threshold
 
 
 def similar_words(vocab: DataFrame, query: str, completion: bool = False, damp: float = 1.0) -> DataFrame:
@@ -28,6 +28,23 @@ def similar_words(vocab: DataFrame, query: str, completion: bool = False, damp:
     return out.select("word", F.col("distance").cast("int").alias("distance"), normalised_score(F.col("distance"), len(query), F.char_length("word"), completion).alias("likeness"))
 
 
+def ruled_words(vocab: DataFrame, query: str, rules: list[tuple[str, str, float]], cutoff: float) -> DataFrame:
+    """(word, distance) of vocabulary words within the cutoff of a distance with rules.
+
+    Words too far by plain edits don't reach Python. The words are compared as rows of their own, as the optimiser would push
+    a condition on a function of the word below what makes the vocabulary, and so ask once for each posting.
+    """
+    def compared(batches):
+        for b in batches:
+            b = b.assign(distance=ruled_distances(query, b["word"].tolist(), rules, cutoff))
+            yield b[b["distance"] <= cutoff]
+
+    most = most_edits(query, rules, cutoff)
+    known = vocab.groupBy("word").agg(F.count("*").alias("n"))
+    near = known.where(F.when(F.col("n") > 0, F.levenshtein("word", F.lit(query), most)) >= 0)  # with n: after the grouping
+    return near.select("word").mapInPandas(compared, "word string, distance double")
+
+
 def deletions(vocab: DataFrame, most: int = 1, prefix: int = 7) -> DataFrame:
     """(form, word): each word's first ``prefix`` letters with up to ``most`` letters deleted; equal forms are candidates."""
     form = F.array(F.substring("word", 1, prefix))

@@ -131,3 +131,21 @@ def test_ranking_modes(spark):
     like = spark.createDataFrame([("b", 50)], "word string, likeness int")
     assert {(r.doc_id, r.score) for r in rank.hits_by_likeness(m, like).collect()} == {(1, 1), (2, 4), (3, 1)}
     assert rank.capped_blocks(p, 1, 1).count() == 3
+
+
+def test_ruled_words(spark):
+    """Against the plain table of each word; the comparison stays above the grouping of words, so that a word is asked for once."""
+    rules = [("t", "th", 0.2), ("s", "ss", 0.2), ("ou", "u", 0.5), ("e", "", 0.25), ("", "x", 0.1)]
+    words = ["wortles", "worthless", "worthles", "wort", "", "w", "wurtles", "worthlessnessless", "\U0001d400ortles", "weirdest", "wortls", "vrtles", "thththth"]
+    for cutoff in (0.0, 1.5, 3.0):
+        for query in ("wortles", "woutless", "t", ""):
+            want = [D.ruled_distance(query, w, rules, cutoff) for w in words]
+            assert D.ruled_distances(query, words, rules, cutoff).tolist() == want
+            if cutoff == 3.0 and query:
+                v = spark.createDataFrame([(w,) for w in words + words[:4]], "word string")
+                found = sorted((r.word, r.distance) for r in expand.ruled_words(v, query, rules, cutoff).collect())
+                assert found == sorted((w, x) for w, x in zip(words, want) if x <= cutoff)
+    some = spark.createDataFrame([(w,) for w in [*words, None]], "word string").select("word", D.ruled_distance_col("wortles", rules, 3.0)("word").alias("d")).collect()
+    assert {r.word: r.d for r in some} == {None: None, **{w: D.ruled_distance("wortles", w, rules, 3.0) for w in words}}
+    plan = queries.QUERIES["ruled_distances"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInPandas") < plan.index("levenshtein") < plan.index("Aggregate")
