@@ -109,9 +109,18 @@ def with_documents(ranked: DataFrame, docs: DataFrame) -> DataFrame:
     return ranked.join(docs, "doc_id")
 
 
-def custom_scores(postings: DataFrame, custom: DataFrame) -> DataFrame:
-    """Scores times the factor that (word, factor) has for the word."""
-    return postings.join(custom, "word", "left").select("doc_id", "word", "position", (F.col("score") * F.coalesce("factor", F.lit(1))).cast("long").alias("score"))
+#: Custom scores are looked up by every task up to so many words; of more, each word's postings are dealt to so many tasks (fixed values).
+LOOKED_UP, SHARES = 1_000_000, 64
+
+
+def custom_scores(postings: DataFrame, custom: DataFrame, most: int = LOOKED_UP) -> DataFrame:
+    """Scores times the factor that (word, factor) has for the word. No task gets all postings of a word."""
+    if custom.limit(most + 1).count() <= most:
+        both = postings.join(F.broadcast(custom), "word", "left")
+    else:
+        shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+        both = postings.withColumn("share", F.pmod(F.hash("doc_id"), F.lit(SHARES))).join(custom.withColumn("share", shares), ["word", "share"], "left")
+    return both.select("doc_id", "word", "position", (F.col("score") * F.coalesce("factor", F.lit(1))).cast("long").alias("score"))
 
 
 def best_match_bonus(postings: DataFrame, word: str, bonus: int) -> DataFrame:

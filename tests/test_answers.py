@@ -61,3 +61,21 @@ def test_each_part_is_scanned_once(spark, name, scans):
     pushed = re.findall(r"PushedFilters: \[([^\]]*)", plan)
     assert plan.count("FileScan parquet") == scans and len(pushed) == scans
     assert all(re.search(r"(EqualTo|StringStartsWith)\(word,", x) for x in pushed)
+
+
+def test_custom_scores_deal_out_a_word(spark):
+    """Looked up or dealt in shares, with the same scores; no shuffle is by the word alone."""
+    rows = [(k, w, 1, 2) for k in range(300) for w in ("tree", "moss", "fern")]
+    p = spark.createDataFrame(rows, "doc_id long, word string, position int, score long")
+    custom = spark.createDataFrame([("tree", 3), ("moss", 0)], "word string, factor int")
+    factor = {"tree": 3, "moss": 0}
+    for most in (10, 1):
+        found = rank.custom_scores(p, custom, most)
+        assert sorted(map(tuple, found.collect())) == sorted((d, w, at, s * factor.get(w, 1)) for d, w, at, s in rows)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(word#\d+, (?!share)", plan)
+
+
+@pytest.mark.parametrize("name", ["custom_scores"])
+def test_custom_scores_shuffle_no_word(spark, name):
+    assert "hashpartitioning(word#" not in queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
