@@ -76,6 +76,6 @@ def test_custom_scores_deal_out_a_word(spark):
         assert not re.search(r"hashpartitioning\(word#\d+, (?!share)", plan)
 
 
-@pytest.mark.parametrize("name", ["custom_scores"])
+@pytest.mark.parametrize("name", ["custom_scores", "max_aggregation"])
 def test_custom_scores_shuffle_no_word(spark, name):
     assert "hashpartitioning(word#" not in queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
