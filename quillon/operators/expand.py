@@ -45,20 +45,25 @@ def ruled_words(vocab: DataFrame, query: str, rules: list[tuple[str, str, float]
     return near.select("word").mapInPandas(compared, "word string, distance double")
 
 
-def deletions(vocab: DataFrame, most: int = 1, prefix: int = 7) -> DataFrame:
-    """(form, word): each word's first ``prefix`` letters with up to ``most`` letters deleted; equal forms are candidates."""
-    form = F.array(F.substring("word", 1, prefix))
+def deletions(vocab: DataFrame, most: int = 1, prefix: int | None = 7) -> DataFrame:
+    """(form, word): each word's first ``prefix`` letters, or all where it is None, with up to ``most`` letters deleted; equal forms are candidates."""
+    form = F.array(F.col("word") if prefix is None else F.substring("word", 1, prefix))
     for _ in range(most):
         cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.char_length(w))))
         form = F.array_distinct(F.concat(form, F.flatten(F.transform(form, cut))))
-    return vocab.select(F.explode(form).alias("form"), "word").distinct()
+    return vocab.select(F.explode(form).alias("form"), "word")
 
 
-def similar_pairs(vocab: DataFrame, most: int = 1, prefix: int = 7) -> DataFrame:
-    """(word, other, distance) of all vocabulary words within ``most`` errors: an equi-join of deletion forms, then the distance."""
+def similar_pairs(vocab: DataFrame, most: int = 1, prefix: int | None = None) -> DataFrame:
+    """(word, other, distance) of all vocabulary words within ``most`` errors: an equi-join of deletion forms, then the distance.
+
+    Forms are of whole words unless ``prefix`` asks for those of beginnings, with the same pairs: words with a beginning in
+    common grow in number with the vocabulary, and their pairs with its square, while few share a form of all their letters.
+    """
     forms = deletions(vocab.select("word"), most, prefix)
-    pairs = forms.join(forms.select("form", F.col("word").alias("other")), "form").where("word < other").select("word", "other").distinct()
-    return pairs.withColumn("distance", F.levenshtein("word", "other", most)).where("distance >= 0")
+    pairs = forms.join(forms.select("form", F.col("word").alias("other")), "form").where("word < other")
+    near = pairs.select("word", "other", F.levenshtein("word", "other", most).alias("distance")).where("distance >= 0")
+    return near.distinct()
 
 
 def synonym_groups(lines: DataFrame) -> DataFrame:

@@ -149,3 +149,14 @@ def test_ruled_words(spark):
     assert {r.word: r.d for r in some} == {None: None, **{w: D.ruled_distance("wortles", w, rules, 3.0) for w in words}}
     plan = queries.QUERIES["ruled_distances"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInPandas") < plan.index("levenshtein") < plan.index("Aggregate")
+
+
+def test_similar_pairs_of_a_common_beginning(spark):
+    """Candidates of many words that begin alike are no more than the pairs of words with a deletion form in common."""
+    words = [f"abcdefghij{k:04d}" for k in range(1000)]
+    v = spark.createDataFrame([(w,) for w in words], "word string")
+    forms = expand.deletions(v, 1, None)
+    assert forms.groupBy("form").count().agg(F.max("count")).first()[0] <= 40  # ten digits at four places
+    pairs = expand.similar_pairs(v)
+    assert pairs.count() == sum(sum(x != y for x, y in zip(a, b)) == 1 for a in words for b in words if a < b)
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in expand.similar_pairs(v, 1, 7).collect()}
