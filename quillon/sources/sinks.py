@@ -30,10 +30,28 @@ def write_vocabulary(p: DataFrame, path: str, by: str = "occ_freq") -> None:
     vocabulary(p).select("word", F.col(by).alias("freq")).write.parquet(path)
 
 
+#: Bytes of a table's files for each range of the index made from it (fixed value): a range is sorted in memory.
+RANGE_BYTES = 8 << 20
+
+
+def ranges(p: DataFrame) -> int | None:
+    """How many ranges of words suit postings made row by row from one table of files; None for others, whose size is not known beforehand."""
+    leaves = p._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = int(leaves.apply(0).stats().sizeInBytes()) if leaves.size() == 1 else 1 << 63
+    if size >= 1 << 50:
+        return None
+    return max(p.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+
+
 def write_index(p: DataFrame, path: str, length: int = 2) -> None:
-    """Postings in ranges of words, so that a prefix reads few row groups; within a range by word, document and position."""
-    rows = p.withColumn("block", block_of(F.col("word"), length))
-    rows.repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id", "position").write.parquet(path)
+    """Postings in ranges of words, so that a prefix reads few row groups; within a range by word, document and position.
+
+    Ranges grow in number with the table, not in size, so that sorting them does not spill; blocks are told after the shuffle.
+    """
+    n = ranges(p)
+    dealt = p.repartitionByRange(n, "word", "doc_id") if n else p.repartitionByRange("word", "doc_id")
+    rows = dealt.sortWithinPartitions("word", "doc_id", "position")
+    rows.withColumn("block", block_of(F.col("word"), length)).write.parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

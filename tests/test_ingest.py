@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.plans.query import Parameters
 from quillon.plans.session import Index
@@ -135,3 +136,19 @@ def test_query_list_is_never_cut(spark, tmp_path):
     path.write_text(path.read_text() + "one more\n")
     with pytest.raises(ValueError):
         records.read_query_list(spark, str(path))
+
+
+def test_index_ranges_follow_the_table(spark, tmp_path, monkeypatch):
+    """Ranges are more for a larger table, whatever the session's number of shuffle partitions; the blocks stay out of the shuffle and the sort."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    p = ingest.text_postings(docs)
+    monkeypatch.setattr(sinks, "RANGE_BYTES", 10_000)
+    assert sinks.ranges(p) > spark.sparkContext.defaultParallelism and sinks.ranges(p) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sinks.ranges(spark.createDataFrame([(1, "a")], "doc_id long, word string")) is None
+    sinks.write_index(p, f"{tmp_path}/i")
+    got = spark.read.parquet(f"{tmp_path}/i")
+    assert len(got.inputFiles()) > 8 and got.columns == ["doc_id", "word", "position", "score", "block"]
+    assert got.drop("block").exceptAll(p).isEmpty() and p.exceptAll(got.drop("block")).isEmpty()
+    assert got.where("block <> substring(word, 1, 2)").isEmpty()
+    parts = sorted(tuple(r) for r in got.groupBy(F.input_file_name()).agg(F.min(F.struct("word", "doc_id")).alias("a"), F.max(F.struct("word", "doc_id")).alias("b")).select("a", "b").collect())
+    assert all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
