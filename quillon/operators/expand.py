@@ -85,18 +85,36 @@ def partial_words(vocab: DataFrame, least: int = 6) -> DataFrame:
     of the outer word the longest one."""
     n = F.char_length("word")
     starts = F.when(n > least, F.sequence(F.lit(2), n - least + 1)).otherwise(F.array().cast("array<int>"))
-    spots = vocab.select(F.col("word").alias("outer"), F.explode(starts).alias("at"))
+    spots = vocab.select(F.col("word").alias("outer"), F.explode(starts).alias("at")).select("outer", "at", F.expr(f"substring(outer, at, {least})").alias("head"))
+    heads = vocab.where(n >= least).select(F.substring("word", 1, least).alias("head")).distinct()
+    begun = spots.join(heads, "head", "left_semi")  # places where some word may begin, before all their lengths
     sizes = F.sequence(F.lit(least), F.char_length("outer") - F.col("at") + 1)
-    parts = spots.select("outer", "at", F.explode(sizes).alias("size")).select("outer", "at", "size", F.expr("substring(outer, at, size)").alias("inner"))
-    known = parts.join(vocab.select(F.col("word").alias("inner")), "inner", "left_semi")
-    best = known.groupBy("outer", "at").agg(F.max_by("inner", "size").alias("inner"))
-    return best.select("inner", "outer").distinct()
+    parts = begun.select("outer", "at", F.explode(sizes).alias("size")).select("outer", "at", "size", F.expr("substring(outer, at, size)").alias("inner"))
+    known = parts.join(vocab.select(F.col("word").alias("inner")), "inner", "left_semi").select("outer", "at", "size")
+    best = known.repartition("outer").groupBy("outer", "at").agg(F.max("size").alias("size"))
+    return best.select(F.expr("substring(outer, at, size)").alias("inner"), "outer").distinct()
+
+
+def partial_specials(partial: DataFrame) -> DataFrame:
+    """(word, plain): the special word ``inner:outer`` that stands where its outer word does."""
+    return partial.select(F.concat_ws(":", "inner", "outer").alias("word"), F.col("outer").alias("plain"))
+
+
+#: Special words that a query asks for are looked up by every task up to so many (fixed value).
+LOOKED_UP = 1_000_000
+
+
+def special_postings(postings: DataFrame, specials: DataFrame, most: int = LOOKED_UP) -> DataFrame:
+    """Postings of special words (word, plain), each where its plain word stands; looked up where they are no more than ``most``."""
+    few = specials.limit(most + 1).count() <= most
+    named = specials.select(F.col("word").alias("special"), F.col("plain").alias("word"))
+    both = postings.join(F.broadcast(named) if few else named, "word")
+    return both.select("doc_id", F.col("special").alias("word"), "position", "score")
 
 
 def with_partial_words(postings: DataFrame, partial: DataFrame) -> DataFrame:
     """Postings, and for words that hold another one the word ``inner:outer`` at the same place."""
-    more = postings.join(partial, postings["word"] == partial["outer"]).select("doc_id", F.concat_ws(":", "inner", "outer").alias("word"), "position", "score")
-    return postings.select("doc_id", "word", "position", "score").unionByName(more)
+    return postings.select("doc_id", "word", "position", "score").unionByName(special_postings(postings, partial_specials(partial)))
 
 
 def suggestions(postings: DataFrame, likes: list[DataFrame], gaps: list[bool], k: int = 10) -> DataFrame:

@@ -19,15 +19,17 @@ from . import query as Q
 
 
 class Index:
-    """postings (doc_id, word, position, score); docs (doc_id, url, title, info, text), synonyms and custom scores if any."""
+    """postings (doc_id, word, position, score); docs (doc_id, url, title, info, text), synonyms and custom scores if any;
+        specials (word, plain): words that stand wherever a plain word of the postings does, kept once and not by posting."""
 
-    def __init__(self, spark: SparkSession, postings: DataFrame, docs: DataFrame | None = None, synonyms: DataFrame | None = None, custom: DataFrame | None = None, most_cached: int = 200, same_place: bool = False, max_docs: str = "S", normalise: bool = False):
+    def __init__(self, spark: SparkSession, postings: DataFrame, docs: DataFrame | None = None, synonyms: DataFrame | None = None, custom: DataFrame | None = None, most_cached: int = 200, same_place: bool = False, max_docs: str = "S", normalise: bool = False, specials: DataFrame | None = None):
         self.spark, self.docs, self.synonyms = spark, docs, synonyms
         self.postings = rank.custom_scores(postings, custom) if custom is not None else postings.select(*algebra.POSTING)
         self.same_place, self.how, self.most_cached = same_place, max_docs, most_cached
         self._vocab: DataFrame | None = None
         self.damp = 1.0
-        self.normalise = normalise  # the postings have words norm:<normal form>:<word>
+        self.normalise = normalise  # the postings or specials have words norm:<normal form>:<word>
+        self.specials = specials
         self._cache: OrderedDict[tuple, Matches] = OrderedDict()
         self._pinned: set[tuple] = set()
 
@@ -42,16 +44,22 @@ class Index:
     def scan(self, node) -> DataFrame:
         word = F.col("word")
         if isinstance(node, Q.Range):
-            return self.postings.where((word >= node.low) & self._below(node))
-        return self.postings.where(word.startswith(node.text) if node.prefix else word == node.text)
+            fits = (word >= node.low) & self._below(node)
+        else:
+            fits = word.startswith(node.text) if node.prefix else word == node.text
+        found = self.postings.where(fits)
+        if self.specials is None or (asked := self.specials.where(fits)).isEmpty():
+            return found
+        return found.unionByName(expand.special_postings(self.postings, asked))
 
     def _below(self, node: Q.Range):
         """Up to the last word with the prefix, or up to the first word from the upper bound on, itself included."""
         word = F.col("word")
         if node.high_prefix:
             return (word <= node.high) | word.startswith(node.high)
-        top = self.postings.where(F.col("word") >= node.high).agg(F.min("word")).first()[0]
-        return word <= top if top is not None else F.lit(True)
+        words = [t.where(word >= node.high).agg(F.min("word")).first()[0] for t in (self.postings, self.specials) if t is not None]
+        tops = [w for w in words if w is not None]
+        return word <= min(tops, key=str.encode) if tops else F.lit(True)
 
     def _of_words(self, words: DataFrame) -> Matches:
         return Matches(self.postings.join(words.select("word").distinct(), "word", "left_semi").select(*algebra.POSTING))

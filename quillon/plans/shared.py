@@ -49,3 +49,13 @@ def built_store(spark: SparkSession, key: str, docs: Callable[[], DataFrame]) ->
         write_store(docs(), path)
         _built[at] = path
     return _built[at]
+
+
+def built_specials(spark: SparkSession, key: str, specials: Callable[[], DataFrame]) -> DataFrame:
+    """Special words (word, plain) of an index, in ranges of words, written the first time a session asks for ``key``."""
+    at = (spark.sparkContext.applicationId, f"specials {key}")
+    if at not in _built:
+        path = new_path(spark, "specials")
+        specials().repartitionByRange("word").sortWithinPartitions("word").write.parquet(path)
+        _built[at] = path
+    return spark.read.parquet(_built[at])

@@ -9,6 +9,7 @@ from quillon.functions import text as T
 from quillon.operators import expand, rank
 from quillon.operators.algebra import Matches
 from quillon.operators.excerpts import excerpt_column, matcher
+from quillon.plans.session import Index
 
 
 def value(spark, c):
@@ -160,3 +161,22 @@ def test_similar_pairs_of_a_common_beginning(spark):
     pairs = expand.similar_pairs(v)
     assert pairs.count() == sum(sum(x != y for x, y in zip(a, b)) == 1 for a in words for b in words if a < b)
     assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in expand.similar_pairs(v, 1, 7).collect()}
+
+
+def test_special_words(spark):
+    """An index with special words answers as one that has them in its postings; looked up, no posting is shuffled."""
+    rows = [(1, "hauptbahnhof", 1, 2), (1, "bahnhof", 2, 1), (2, "hauptbahnhof", 4, 3), (2, "am", 5, 1), (3, "bahnhofshalle", 1, 1)]
+    p = spark.createDataFrame(rows, "doc_id long, word string, position int, score long")
+    partial = spark.createDataFrame([("bahnhof", "hauptbahnhof"), ("shalle", "bahnhofshalle")], "inner string, outer string")
+    want = {(1, "bahnhof:hauptbahnhof", 1, 2), (2, "bahnhof:hauptbahnhof", 4, 3), (3, "shalle:bahnhofshalle", 1, 1)}
+    specials = expand.partial_specials(partial)
+    for most in (2, 1):
+        found = expand.special_postings(p, specials, most)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        assert most == 1 or "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = expand.with_partial_words(p, partial)
+    assert sorted(map(tuple, whole.collect())) == sorted([*rows, *want])
+    one, two = Index(spark, p, specials=specials), Index(spark, whole)
+    for q in ("bahnhof:*", "bahnhof*", "bahnhof:hauptbahnhof", "am bahnhof:*", "bahnhof--bahnhofs", "bahnhof--bahnhof:*", "am--shalle", "s--zz", "am", "none*"):
+        assert sorted(map(tuple, rank.scored_docs(one.query(q)).collect())) == sorted(map(tuple, rank.scored_docs(two.query(q)).collect())), q
+        assert sorted(map(repr, one.query(q).with_carry().collect())) == sorted(map(repr, two.query(q).with_carry().collect())), q
