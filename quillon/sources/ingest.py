@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .records import searchable, shown, split_items
+from .sinks import writable
 
 
 @dataclass
@@ -46,36 +47,33 @@ def _items(o: Options, name: str) -> Column:
 
 
 def _writers(o: Options, name: str, item: Column) -> Column:
-    """Arrays of (word, step) of one item; step 1 takes a new position, 0 shares the one before."""
+    """Arrays of (word, normal) of one item, each at a position of its own; a normal word's normal form shares it."""
     s, words = o.sign, T.tokens(item, o.index_words)
-    entry = lambda w, step: F.struct(w.alias("word"), F.lit(step).alias("step"))
+    entry = lambda w, normal=False: F.struct(w.alias("word"), F.lit(normal).alias("normal"))
     whole = T.underscored(F.lower(item))
     out = []
     if name in o.full_text:
-        if o.normalise:
-            out.append(F.flatten(F.transform(words, lambda w: F.array(entry(w, 1), entry(F.concat(F.lit(f"norm{s}"), T.normalise(w), F.lit(s), w), 0)))))
-        else:
-            out.append(F.transform(words, lambda w: entry(w, 1)))
+        out.append(F.transform(words, lambda w: entry(w, o.normalise)))
     if name in o.phrases:
-        out.append(F.when(item.contains(" "), F.transform(words, lambda w: entry(F.concat(w, F.lit(s), whole), 1))).otherwise(F.array().cast("array<struct<word:string,step:int>>")))
+        out.append(F.when(item.contains(" "), F.transform(words, lambda w: entry(F.concat(w, F.lit(s), whole)))).otherwise(F.array().cast("array<struct<word:string,normal:boolean>>")))
     if name in o.filters:
-        out.append(F.transform(words, lambda w: entry(F.concat(F.lit(f"{s}filter{s}{name}{s}"), w), 1)))
+        out.append(F.transform(words, lambda w: entry(F.concat(F.lit(f"{s}filter{s}{name}{s}"), w))))
     if name in o.filters_plus:
-        out.append(F.transform(words, lambda w: entry(F.concat(F.lit(f"{s}filter{s}{name}{s}"), w, F.lit(s), T.underscored(item)), 1)))
-    filled = lambda words: F.when(item != "", words).otherwise(F.array().cast("array<struct<word:string,step:int>>"))  # noqa: E731  an empty field writes nothing
+        out.append(F.transform(words, lambda w: entry(F.concat(F.lit(f"{s}filter{s}{name}{s}"), w, F.lit(s), T.underscored(item)))))
+    filled = lambda words: F.when(item != "", words).otherwise(F.array().cast("array<struct<word:string,normal:boolean>>"))  # noqa: E731  an empty field writes nothing
     for kind, fields in (("facet", o.facets), ("facetid", o.facet_ids)):
         if name in fields:
-            out.append(filled(F.array(entry(F.concat(F.lit(f"{s}{kind}{s}{name}{s}"), T.underscored(item)), 1))))
+            out.append(filled(F.array(entry(F.concat(F.lit(f"{s}{kind}{s}{name}{s}"), T.underscored(item))))))
     if name in o.orderings:
-        out.append(filled(F.array(entry(F.concat(F.lit(f"{s}ordering{s}{name}{s}"), T.ordering_token(item, o.orderings[name])), 1))))
-    return F.concat(*out) if out else F.array().cast("array<struct<word:string,step:int>>")
+        out.append(filled(F.array(entry(F.concat(F.lit(f"{s}ordering{s}{name}{s}"), T.ordering_token(item, o.orderings[name]))))))
+    return F.concat(*out) if out else F.array().cast("array<struct<word:string,normal:boolean>>")
 
 
 def _field(o: Options, name: str) -> Column:
     """All a field writes for a document, in order."""
     written = F.flatten(F.transform(_items(o, name), lambda item: _writers(o, name, item)))
     score = F.lit(o.scores.get(name, 1)).cast("long").alias("score")
-    return F.transform(written, lambda x: F.struct(x["word"].alias("word"), x["step"].alias("step"), score))
+    return F.transform(written, lambda x: F.struct(x["word"].alias("word"), x["normal"].alias("normal"), score))
 
 
 def _roles(o: Options) -> list[str]:
@@ -87,15 +85,27 @@ def postings(records: DataFrame, o: Options) -> DataFrame:
     """(doc_id, word, position, score); words longer than 1000 bytes, empty or with a space are left out but keep their position."""
     names = [n for n in records.columns if n in _roles(o)]
     fields = [_field(o, n) for n in names]
-    every = F.concat(*fields) if fields else F.array().cast("array<struct<word:string,step:int,score:bigint>>")
+    every = F.concat(*fields) if fields else F.array().cast("array<struct<word:string,normal:boolean,score:bigint>>")
     one = records.select(F.col("doc_id").cast("long").alias("doc_id"), every.alias("w")).select("doc_id", F.posexplode("w").alias("k", "x"))
+    out = one.select("doc_id", "x.word", (F.col("k") + 1).alias("position"), "x.score", "x.normal")
     if o.normalise:
-        w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-        one = one.withColumn("position", F.sum("x.step").over(w))
-    else:
-        one = one.withColumn("position", F.col("k") + 1)
-    out = one.select("doc_id", "x.word", F.col("position").cast("int").alias("position"), "x.score")
-    return out.where(F.octet_length("word").between(1, 1000) & ~F.contains("word", F.lit(" ")))
+        both = F.explode(F.array("word", F.when(F.col("normal"), normal_word(F.col("word"), o.sign)))).alias("word")
+        out = out.select("doc_id", both, "position", "score")
+    return writable(out.select("doc_id", "word", "position", "score"))
+
+
+def normal_word(word: Column, sign: str = ":") -> Column:
+    """The special word by which a word's normal form finds it."""
+    return F.concat(F.lit(f"norm{sign}"), T.normalise(word), F.lit(sign), word)
+
+
+def normal_words(vocab: DataFrame, sign: str = ":") -> DataFrame:
+    """(word, plain): for each word the special word of its normal form, as ``normalise`` adds it wherever the word stands.
+
+    Words may repeat. Forms name the count of their word, so that the optimiser can't push the condition on them below the grouping.
+    """
+    known = vocab.groupBy("word").agg(F.count("*").alias("n"))
+    return writable(known.select(F.when(F.col("n") > 0, normal_word(F.col("word"), sign)).alias("word"), F.col("word").alias("plain")))
 
 
 def info_words(o: Options, encoding: str = "utf-8", date: str = "") -> list[str]:

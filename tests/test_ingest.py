@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import expand
 from quillon.plans.query import Parameters
 from quillon.plans.session import Index
 from quillon.sources import ingest, records, sinks
@@ -152,3 +153,22 @@ def test_index_ranges_follow_the_table(spark, tmp_path, monkeypatch):
     assert got.where("block <> substring(word, 1, 2)").isEmpty()
     parts = sorted(tuple(r) for r in got.groupBy(F.input_file_name()).agg(F.min(F.struct("word", "doc_id")).alias("a"), F.max(F.struct("word", "doc_id")).alias("b")).select("a", "b").collect())
     assert all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_normal_forms_need_no_shuffle(spark):
+    """Normal forms stand at the place of their words, whether made with the postings or from an index of them; long words have one without the other."""
+    long = "ä" * 300
+    df = spark.createDataFrame([(1, f"Die Straße {long} über", "Grün"), (2, None, ""), (3, "x", "Öl am Öl")], "doc_id long, f string, g string")
+    o = ingest.Options(full_text=["f", "g"], filters=["g"], normalise=True)
+    p = ingest.postings(df, o)
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.word, r.position) for r in p.collect()}
+    assert {(1, "straße", 2), (1, "norm:strasse:straße", 2), (1, long, 3), (1, "über", 4), (1, "norm:ueber:über", 4), (1, "norm:gruen:grün", 5), (1, ":filter:g:grün", 6)} <= got
+    assert not any(w.startswith("norm:ae") for _, w, _ in got) and {at for d, _, at in got if d == 3} == set(range(1, 8))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    whole = ingest.postings(docs, ingest.Options(full_text=["text"], normalise=True))
+    plain = ingest.text_postings(docs)
+    both = sinks.writable(plain).unionByName(expand.special_postings(plain, ingest.normal_words(plain)))
+    assert both.exceptAll(whole).isEmpty() and whole.exceptAll(both).isEmpty()
+    plan = ingest.normal_words(plain)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("translate(") < plan.index("Aggregate") and plan.rindex("translate(") < plan.index("Aggregate")
