@@ -55,13 +55,14 @@ def deletions(vocab: DataFrame, most: int = 1, prefix: int | None = 7) -> DataFr
 
 
 def similar_pairs(vocab: DataFrame, most: int = 1, prefix: int | None = None) -> DataFrame:
-    """(word, other, distance) of all vocabulary words within ``most`` errors: an equi-join of deletion forms, then the distance.
+    """(word, other, distance) of all vocabulary words within ``most`` errors: the words of each deletion form, then their distances.
 
     Forms are of whole words unless ``prefix`` asks for those of beginnings, with the same pairs: words with a beginning in
     common grow in number with the vocabulary, and their pairs with its square, while few share a form of all their letters.
     """
     forms = deletions(vocab.select("word"), most, prefix)
-    pairs = forms.join(forms.select("form", F.col("word").alias("other")), "form").where("word < other")
+    groups = forms.groupBy("form").agg(F.collect_list("word").alias("words")).where(F.size("words") > 1)
+    pairs = groups.select("words", F.explode("words").alias("word")).select("word", F.explode("words").alias("other")).where("word < other")
     near = pairs.select("word", "other", F.levenshtein("word", "other", most).alias("distance")).where("distance >= 0")
     return near.distinct()
 
