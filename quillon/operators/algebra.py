@@ -95,6 +95,20 @@ def optionally(one: Matches, two: Matches, how: str = "S") -> Matches:
     return Matches(both.select(*POSTING, carried.alias("carried")))
 
 
+#: Bytes of the largest table behind postings for each task that they are dealt to (fixed value).
+SHARE_BYTES = 8 << 20
+
+
+def _dealt(p: DataFrame) -> DataFrame:
+    """Postings dealt by document, to more tasks for a larger table, so that what a task holds doesn't grow with it."""
+    leaves = p._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    known = [x for x in sizes if x < 1 << 50]  # Spark's guess of a table it doesn't know is larger
+    if not known:
+        return p.repartition("doc_id")
+    return p.repartition(max(p.sparkSession.sparkContext.defaultParallelism, -(-max(known) // SHARE_BYTES)), "doc_id")
+
+
 def any_of(parts: list[Matches]) -> Matches:
     """Postings of any part; the same word at the same place once, with the score of the first part that has it.
 
@@ -106,7 +120,7 @@ def any_of(parts: list[Matches]) -> Matches:
         tagged = p.postings.select(*POSTING, F.lit(k).alias("k"), *([p.carried().alias("carried")] if carries else []))
         both = tagged if both is None else both.unionByName(tagged)
     more = [F.max("carried").alias("carried")] if carries else []
-    out = both.groupBy("doc_id", "word", "position").agg(F.min_by("score", "k").alias("score"), *more)
+    out = _dealt(both).groupBy("doc_id", "word", "position").agg(F.min_by("score", "k").alias("score"), *more)
     return Matches(_spread(out, F.max) if carries else out.select(*POSTING))
 
 

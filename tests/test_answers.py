@@ -79,3 +79,11 @@ def test_custom_scores_deal_out_a_word(spark):
 @pytest.mark.parametrize("name", ["custom_scores", "max_aggregation"])
 def test_custom_scores_shuffle_no_word(spark, name):
     assert "hashpartitioning(word#" not in queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alternatives_are_dealt_by_document_first(spark, monkeypatch):
+    """No task groups postings before they are dealt, and a larger table is dealt to more tasks; one shuffle serves both groupings."""
+    monkeypatch.setattr(algebra, "SHARE_BYTES", 10_000)
+    plan = queries.QUERIES["or_query"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")
+    assert int(re.search(r"hashpartitioning\(doc_id#\d+L, (\d+)\)", plan)[1]) > spark.sparkContext.defaultParallelism
